@@ -83,6 +83,7 @@ def path_measures(
     normalized: bool = False,
     pivots: DataFrame | None = None,
     all_vertices: DataFrame | None = None,
+    with_betweenness: bool = True,
 ) -> DataFrame:
     """``(vertex, betweenness, closeness, eccentricity)`` of every vertex.
 
@@ -110,24 +111,24 @@ def path_measures(
                 F.sum("dist").alias("total"), F.count_if(F.col("dist") > 0).alias("reached"), F.max("dist").alias("eccentricity")
             )
         )
-        shares.append(_dependencies(arcs, levels))
+        if with_betweenness:
+            shares.append(_dependencies(arcs, levels))
     distance = reduce(DataFrame.unionByName, distances)
-    share = reduce(DataFrame.unionByName, shares).groupBy("vertex").agg(F.sum("share").alias("share"))
     unit = F.col("reached") if normalized else F.lit(1.0)
-    return (
-        every.join(distance, "vertex", "left")
-        .join(share, "vertex", "left")
-        .select(
-            "vertex",
-            (F.coalesce("share", F.lit(0.0)) * (scale / 2)).alias("betweenness"),
-            F.try_divide(unit.cast("double"), F.col("total")).alias("closeness"),
-            "eccentricity",
-        )
+    measured = every.join(distance, "vertex", "left").select(
+        "vertex", F.try_divide(unit.cast("double"), F.col("total")).alias("closeness"), "eccentricity"
+    )
+    if not with_betweenness:
+        return measured
+    share = reduce(DataFrame.unionByName, shares).groupBy("vertex").agg(F.sum("share").alias("share"))
+    total = F.coalesce("share", F.lit(0.0)) * (scale / 2)
+    return measured.join(share, "vertex", "left").select(
+        "vertex", total.alias("betweenness"), "closeness", "eccentricity"
     )
 
 
 def closeness(edges: DataFrame, batch: int | None = None, normalized: bool = False) -> DataFrame:
-    return path_measures(edges, batch, normalized).select("vertex", "closeness")
+    return path_measures(edges, batch, normalized, with_betweenness=False).select("vertex", "closeness")
 
 
 def betweenness(edges: DataFrame, batch: int | None = None, pivots: DataFrame | None = None) -> DataFrame:
@@ -136,4 +137,4 @@ def betweenness(edges: DataFrame, batch: int | None = None, pivots: DataFrame |
 
 def diameter(edges: DataFrame, batch: int | None = None) -> DataFrame:
     """Longest shortest path within the components."""
-    return path_measures(edges, batch).agg(F.max("eccentricity").alias("diameter"))
+    return path_measures(edges, batch, with_betweenness=False).agg(F.max("eccentricity").alias("diameter"))
