@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from labelweave.operators.clean import filter_any_flag
 from labelweave.operators.dedupe import union_first
 from labelweave.operators.synonyms import apply_synonyms
+from labelweave.runtime import stage
 
 FLAGS = ("oncogene", "tsg")
 
@@ -223,6 +224,8 @@ def label_entities(
     key: str = "symbol",
 ) -> DataFrame:
     """Lists to labels in one plan: synonyms, consolidation and priority labels."""
+    # staged once: its file size is known, so Catalyst can broadcast it to every source's join
+    mapping = stage(mapping, "mapping")
     canonical = canonical_list(canonical_sources, mapping, key)
     candidate = candidate_list(candidate_sources, pathway_sources, mapping, key)
     return assign_labels(universe, canonical, candidate, key)

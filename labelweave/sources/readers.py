@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,6 +143,11 @@ def read_network_json(
     return nodes, edges
 
 
+def _folder_name(part: Column) -> Column:
+    """Folder name, also of a ``column=value`` partition folder."""
+    return F.regexp_replace(F.url_decode(part), r"^\w+=", "")
+
+
 def read_reports(spark: SparkSession, path: str, file_name: str | None = None) -> DataFrame:
     """Whole text reports below ``path``: ``(file_path, run, model, content)``.
 
@@ -155,8 +160,8 @@ def read_reports(spark: SparkSession, path: str, file_name: str | None = None) -
     parts = F.split("file_path", "/")
     return files.select(
         "file_path",
-        F.url_decode(F.try_element_at(parts, F.lit(-3))).alias("run"),
-        F.url_decode(F.try_element_at(parts, F.lit(-2))).alias("model"),
+        _folder_name(F.try_element_at(parts, F.lit(-3))).alias("run"),
+        _folder_name(F.try_element_at(parts, F.lit(-2))).alias("model"),
         F.col("value").alias("content"),
     )
 
@@ -191,10 +196,10 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     )
     parts = F.split("file_path", "/")
     aliases = F.create_map(*[F.lit(x) for pair in MODEL_ALIASES.items() for x in pair])
-    folder = F.lower(F.element_at(parts, -2))
+    folder = F.lower(_folder_name(F.element_at(parts, -2)))
     priority = F.array_position(F.array(*[F.lit(f) for f in PREDICTION_FILES]), F.element_at(parts, -1))
     tagged = files.select(
-        F.element_at(parts, -3).alias("run"),
+        _folder_name(F.element_at(parts, -3)).alias("run"),
         F.coalesce(F.try_element_at(aliases, folder), folder).alias("model"),
         "file_path",
         F.when(priority > 0, priority).otherwise(F.lit(len(PREDICTION_FILES) + 1)).alias("priority"),
