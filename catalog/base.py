@@ -163,8 +163,8 @@ EDGES = "SELECT DISTINCT least(l_partkey, l_suppkey) AS src, greatest(l_partkey,
 NAMED_EDGES = f"SELECT {name_of('l_partkey')} AS src, {name_of('l_suppkey')} AS dst FROM {{lineitem}}"
 
 #: network of conversation turns: neighbours in time, and the opening turn with every assistant turn
-TURN_EDGES = """SELECT conv_id * 1000 + turn - 1 AS src, conv_id * 1000 + turn AS dst FROM {conversations} WHERE turn > 0
-UNION SELECT conv_id * 1000, conv_id * 1000 + turn FROM {conversations} WHERE turn > 0 AND role = 'assistant'"""
+TURN_EDGES = """SELECT conv_id * 100000000 + turn - 1 AS src, conv_id * 100000000 + turn AS dst FROM {conversations} WHERE turn > 0
+UNION SELECT conv_id * 100000000, conv_id * 100000000 + turn FROM {conversations} WHERE turn > 0 AND role = 'assistant'"""
 
 #: predictions of all line items: model, three-class truth, prediction and probabilities
 PREDICTIONS = """

@@ -177,10 +177,10 @@ def turns(spark, folder):
 
 @query(
     "bfs_distances",
-    with_inputs("SELECT source, vertex, dist FROM dist WHERE source % 1000 = 0", **{k: PATH_INPUTS[k] for k in ("e", "arcs", "walks", "dist")}),
+    with_inputs("SELECT source, vertex, dist FROM dist WHERE source % 100000000 = 0", **{k: PATH_INPUTS[k] for k in ("e", "arcs", "walks", "dist")}),
 )
 def bfs_distances(spark, folder):
-    opening = table(spark, folder, "conversations").filter("turn = 0").select((F.col("conv_id") * 1000).alias("vertex"))
+    opening = table(spark, folder, "conversations").filter("turn = 0").select((F.col("conv_id") * 100000000).alias("vertex"))
     edges = stage(turns(spark, folder), "edges")
     starts = opening.join(graph.vertices(edges), "vertex", "left_semi")
     return paths.bfs_distances(edges, starts)

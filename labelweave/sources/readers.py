@@ -153,10 +153,9 @@ def read_reports(spark: SparkSession, path: str, file_name: str | None = None) -
 
     Run and model are the two folders above the file.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("wholetext", True)
-    if file_name:
-        reader = reader.option("pathGlobFilter", file_name)
-    files = reader.text(path).select("value", F.col("_metadata.file_path").alias("file_path"))
+    files = spark.read.text(
+        path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=file_name
+    ).select("value", F.col("_metadata.file_path").alias("file_path"))
     parts = F.split("file_path", "/")
     return files.select(
         "file_path",
