@@ -111,7 +111,7 @@ def search_trials(
     complete = mean.filter(F.col("folds") == inner).select(F.col("trial").cast("bigint").alias("trial"), "score")
     overridden = trials
     for name, value in (overrides or {}).items():
-        kept = F.map_filter("params", lambda k, v, n=name: k != n)
+        kept = F.map_filter("params", lambda k, v: k != F.lit(name))
         overridden = overridden.withColumn("params", F.map_concat(kept, F.create_map(F.lit(name), F.lit(value))))
     return overridden.join(complete, "trial").select("study", "trial", "params", "score")
 

@@ -93,9 +93,12 @@ def _block_best(
 
 def _blocks(points: DataFrame, sizes: DataFrame, prefix: str) -> DataFrame:
     """One row per block: ids and the flattened coordinates of at most about ``BLOCK_ROWS`` points."""
-    block = F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
+    # the row number spreads rows even when a key is repeated; the staged table keeps it stable
+    spread = F.xxhash64("id", F.monotonically_increasing_id())
+    block = F.pmod("_spread", F.col("n_blocks")).cast("int")
     packed = (
-        points.join(F.broadcast(sizes), "cell")
+        points.withColumn("_spread", spread)
+        .join(F.broadcast(sizes), "cell")
         .groupBy(F.col("cell").alias(f"{prefix}_cell"), block.alias(f"{prefix}_block"))
         .agg(F.collect_list(F.struct("id", "features")).alias("points"))
     )
