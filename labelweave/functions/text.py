@@ -80,7 +80,7 @@ def parse_run_folder(column: Column | str) -> Column:
     reduced = F.element_at(parts, -1) == "less"
     last = F.when(reduced, size - 1).otherwise(size)
     strategy = F.when(last > 5, F.array_join(F.slice(parts, F.lit(6), F.greatest(last - 5, F.lit(0))), "_"))
-    stamp = F.concat_ws("_", F.element_at(parts, 1), F.element_at(parts, 2))
+    stamp = F.concat_ws("_", F.element_at(parts, 1), F.try_element_at(parts, F.lit(2)))
     return F.struct(
         F.try_to_timestamp(stamp, F.lit("yyyyMMdd_HHmmss")).alias("started"),
         F.try_element_at(parts, F.lit(3)).alias("source"),
