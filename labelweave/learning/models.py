@@ -228,7 +228,7 @@ def _fit_boosting(preset: BoostingPreset) -> Fit:
 
 
 def fit_knn(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: int) -> Scorer:
-    rows = stage(train.select("key", "features", "label"), "train")
+    rows = train.select("key", "features", "label")
 
     def score(df: DataFrame) -> DataFrame:
         voted = knn_classify(
@@ -308,7 +308,9 @@ def fit_svm(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: i
         gamma = 1.0 / (width * (flat.agg(F.var_pop("x")).first()[0] or 1.0))
     mapping = kernel_features(kernel, width, gamma, int(params.get("degree", 3)), max(256, width), seed)
     project = (lambda df: df) if kernel == "linear" else (lambda df: _mapped(df, mapping))
-    rows = stage(project(train.select("key", "features", "label")), "kernel")
+    rows = train.select("key", "features", "label")
+    if kernel != "linear":
+        rows = stage(project(rows), "kernel")
     n_rows = rows.count()
 
     def svm() -> LinearSVC:
@@ -381,27 +383,45 @@ def register_model(name: str, fit: Fit) -> None:
     FAMILIES[name] = fit
 
 
+@dataclass(frozen=True)
+class Training:
+    """Training rows, standardised and written once, with their scaler.
+
+    Every trial on the same fold shares one.
+    """
+
+    rows: DataFrame
+    scaler: tuple[list[float], list[float]]
+
+
+def prepare_training(train: DataFrame) -> Training:
+    rows = train.select(
+        "key", F.col("features").cast("array<double>").alias("features"), F.col("label").cast("int").alias("label")
+    )
+    scaler = fit_standardizer(rows)
+    return Training(stage(apply_standardizer(rows, scaler), "training"), scaler)
+
+
 def fit_model(
     name: str,
-    train: DataFrame,
+    train: DataFrame | Training,
     params: Mapping[str, str] | None = None,
     n_classes: int = 2,
     seed: int = 42,
     params_processor: Callable[[dict], dict] | None = None,
 ) -> Scorer:
-    """Standardise on the training rows, fit, and return the scorer of raw rows."""
+    """Standardise on the training rows, fit, and return the scorer of raw rows.
+
+    ``train`` is a frame, or a ``Training`` shared by several fits.
+    """
     if name not in FAMILIES:
         raise ValueError(f"unknown model {name!r}; known are {sorted(FAMILIES)}")
     chosen = {**DEFAULT_PARAMS.get(name, {}), **(params or {})}
     if params_processor:
         chosen = params_processor(chosen)
-    rows = stage(
-        train.select("key", F.col("features").cast("array<double>").alias("features"), F.col("label").cast("int").alias("label")),
-        "fit",
-    )
-    scaler = fit_standardizer(rows)
-    scorer = FAMILIES[name](apply_standardizer(rows, scaler), chosen, n_classes, seed)
-    return lambda df: scorer(apply_standardizer(df.select("key", "features", "label"), scaler))
+    training = train if isinstance(train, Training) else prepare_training(train)
+    scorer = FAMILIES[name](training.rows, chosen, n_classes, seed)
+    return lambda df: scorer(apply_standardizer(df.select("key", "features", "label"), training.scaler))
 
 
 def predict(scorer: Scorer, df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.learning.models import fit_model
+from labelweave.learning.models import Training, fit_model, prepare_training
 from labelweave.learning.spaces import DEFAULT_TRIALS, TRIALS_BY_MODEL, param_space, trial_table
 from labelweave.operators import metrics
 from labelweave.operators.balance import balance
@@ -92,8 +92,8 @@ def search_trials(
     trials = stage(trial_table(spark, study, n_trials, model, reduced, _task(n_classes), seed), "trials")
     drawn = [(r.trial, {**r.params, **(overrides or {})}) for r in trials.orderBy("trial").collect()]
     folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", inner, seed), "inner")
-    # each training fold is balanced once, not once per trial
-    train = {i: _balanced(folded.filter(F.col("fold") != i), strategy) for i in range(inner)}
+    # each training fold is balanced, scaled and written once, not once per trial
+    train = {i: prepare_training(_balanced(folded.filter(F.col("fold") != i), strategy)) for i in range(inner)}
 
     def job(params, i):
         return lambda: fit_model(model, train[i], params, n_classes, seed)(folded.filter(F.col("fold") == i))
@@ -200,13 +200,19 @@ def holdout_grid(
     spark = data.sparkSession
     split = stage(stratified_holdout(data.select("key", "features", "label"), "key", "label", 0.2, seed), "holdout")
     train, test = split.filter("NOT is_test"), split.filter("is_test")
-    balanced: dict[str, DataFrame] = {}
+    balanced: dict[str, Training | Exception] = {}
+    for strategy in strategies:
+        try:
+            balanced[strategy] = prepare_training(_balanced(train, strategy))
+        except Exception as error:  # noqa: BLE001 - the jobs of the strategy report it
+            balanced[strategy] = error
 
     def job(strategy: str, params: Mapping[str, str]):
         def run() -> DataFrame:
-            if strategy not in balanced:
-                balanced[strategy] = _balanced(train, strategy)
-            return fit_model(model, balanced[strategy], params, n_classes, seed)(test)
+            training = balanced[strategy]
+            if isinstance(training, Exception):
+                raise training
+            return fit_model(model, training, params, n_classes, seed)(test)
 
         return run
 
@@ -266,11 +272,12 @@ def evaluate_default(
     for i in range(n_folds):
         sets[i] = (folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i))
     sets = {i: (_balanced_default(train, strategy), held) for i, (train, held) in sets.items()}
+    trainings = {i: prepare_training(train) for i, (train, _) in sets.items()}
 
     def job(model: str, params: Mapping[str, str], fold: int):
         def run() -> DataFrame:
             train, held = sets[fold]
-            scorer = fit_model(model, train, params, n_classes, seed)
+            scorer = fit_model(model, trainings[fold], params, n_classes, seed)
             return scorer(train).withColumn("split", F.lit("train")).unionByName(
                 scorer(held).withColumn("split", F.lit("valid" if fold >= 0 else "test"))
             )
@@ -313,12 +320,13 @@ def feature_group_cv(
         part = stage(select_feature_group(folded, "features", group), "group")
         for i in range(n_folds):
             train, held = part.filter(F.col("fold") != i), part.filter(F.col("fold") == i)
+            training = prepare_training(train)
             for model, params in given.items():
                 for weighting in ("plain", "balanced"):
                     extra = {"class_weight": "balanced"} if weighting == "balanced" else {}
 
-                    def run(model=model, params=params, extra=extra, train=train, held=held):
-                        scorer = fit_model(model, train, {**params, **extra}, n_classes, seed)
+                    def run(model=model, params=params, extra=extra, training=training, train=train, held=held):
+                        scorer = fit_model(model, training, {**params, **extra}, n_classes, seed)
                         return scorer(train).withColumn("split", F.lit("train")).unionByName(
                             scorer(held).withColumn("split", F.lit("test"))
                         )

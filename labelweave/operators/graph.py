@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.operators.clean import drop_self_loops
-from labelweave.operators.ordering import first_rows
 from labelweave.operators.synonyms import translate_edges
 from labelweave.runtime import stage
 
@@ -48,10 +47,11 @@ def union_networks(networks: Mapping[str, DataFrame]) -> DataFrame:
 def clean_network(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Translate, drop nulls and self loops, order endpoints and de-duplicate.
 
-    Equal pairs are collapsed before the two dictionary joins, so repeated edges join once.
+    With a dictionary small enough to broadcast the only shuffle is the final de-duplication,
+    which collapses repeated edges per task first; with a larger one AQE splits hot endpoints.
     """
-    once = edges.select("src", "dst").dropna().distinct()
-    return dedupe_edges(drop_self_loops(translate_edges(once, mapping)))
+    pairs = edges.select("src", "dst").dropna()
+    return dedupe_edges(drop_self_loops(translate_edges(pairs, mapping)))
 
 
 def induced_subgraph(edges: DataFrame, keep: DataFrame, key: str = "vertex") -> DataFrame:
@@ -76,19 +76,17 @@ def graph_summary(edges: DataFrame) -> DataFrame:
 
 def degree_stats(edges: DataFrame) -> DataFrame:
     """Mean and maximum degree and the smallest vertex that attains the maximum."""
-    best = F.max_by(F.struct("degree", "vertex"), F.col("degree"))
-    d = degree(edges)
-    top = d.agg(F.max("degree").alias("max_degree")).scalar()
-    return d.agg(
+    return degree(edges).agg(
         F.avg("degree").alias("mean_degree"),
         F.max("degree").alias("max_degree"),
-        F.min(F.when(F.col("degree") == top, F.col("vertex"))).alias("max_vertex"),
+        F.min_by("vertex", F.struct(-F.col("degree"), F.col("vertex"))).alias("max_vertex"),
     )
 
 
 def degree_distribution(edges: DataFrame) -> DataFrame:
     """``(degree, n)`` and whether it is the modal degree (smallest on ties)."""
-    counts = degree(edges).groupBy("degree").agg(F.count("*").alias("n"))
+    # one row per distinct degree, written once because it is read twice
+    counts = stage(degree(edges).groupBy("degree").agg(F.count("*").alias("n")), "degrees")
     mode = counts.agg(F.max(F.struct("n", -F.col("degree"))).alias("m")).scalar()
     is_mode = F.struct("n", (-F.col("degree")).alias("col2")) == mode
     return counts.withColumn("is_mode", is_mode)
@@ -157,16 +155,11 @@ def local_clustering(edges: DataFrame) -> DataFrame:
     )
 
 
-def fit_minmax(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Minimum and maximum per column: one aggregate, one row."""
-    row = df.agg(
-        *[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]
-    ).first()
-    return {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in columns}
-
-
 def minmax_normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(x - min) / (max - min)`` per column; null where the column is constant."""
+    """``(x - min) / (max - min)`` per column; null where the column is constant.
+
+    The bounds are a scalar subquery over ``df``: stage an expensive input first.
+    """
     bounds = df.agg(
         F.struct(
             *[F.min(c).cast("double").alias(f"lo_{c}") for c in columns],

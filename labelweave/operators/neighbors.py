@@ -190,9 +190,10 @@ def knn_join(
     )
     work = (
         spark.createDataFrame(pairs, "q_cell INT, d_cell INT, nq INT, nd INT")
-        .repartition(spark.sparkContext.defaultParallelism)
         .select("q_cell", "d_cell", "nd", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q_block"))
         .select("q_cell", "d_cell", "q_block", F.explode(F.sequence(F.lit(0), F.col("nd") - 1)).alias("d_block"))
+        # the pairs of one large cell spread over all tasks
+        .repartition(spark.sparkContext.defaultParallelism)
     )
     joined = (
         work.join(q_blocks, ["q_cell", "q_block"])

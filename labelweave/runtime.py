@@ -44,9 +44,19 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{work_folder(spark)}/labelweave-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the work folder."""
-    return f"{work_folder(spark)}/labelweave/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the work folder."""
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release_staged(spark: SparkSession) -> bool:
+    """Delete the staged tables of this application; results that read them must be consumed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -57,7 +67,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Stage ``df`` and mark it for broadcast only when its row count is below ``max_rows``.
 
     Beyond the bound the plain table is returned and the join shuffles.

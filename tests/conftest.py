@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from labelweave.runtime import release_staged  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -23,4 +25,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release_staged(session)
     session.stop()
