@@ -131,15 +131,15 @@ def curve_on_grid(
     # every group has a point in some cell; the grid is attached per group, n rows each
     grid = cells.select(*groups).distinct().select(*groups, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("g"))
     full = grid.join(cells, [*groups, "g"], "left")
-    by_cell = Window.partitionBy(*groups).orderBy("g")
-    before = by_cell.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_cell.rowsBetween(1, Window.unboundedFollowing)
+    # both look-ups are running frames; a frame up to the end would be quadratic in the grid
+    before = Window.partitionBy(*groups).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*groups).orderBy(F.col("g").desc()).rowsBetween(Window.unboundedPreceding, -1)
     ends = full.select(
         *groups,
         "g",
         grid_x(F.col("g")).alias("x"),
         F.coalesce("node", F.last("last", ignorenulls=True).over(before)).alias("lo"),
-        F.coalesce("inside", F.first("first", ignorenulls=True).over(after)).alias("hi"),
+        F.coalesce("inside", F.last("first", ignorenulls=True).over(after)).alias("hi"),
     )
     slope = F.try_divide(F.col("hi.y") - F.col("lo.y"), F.col("hi.x") - F.col("lo.x"))
     value = (

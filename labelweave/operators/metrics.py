@@ -167,6 +167,16 @@ def pr_auc_trapezoid(df: DataFrame, groups: Sequence[str]) -> DataFrame:
     return binary_ranking(df, groups).select(*groups, "pr_auc_trapezoid")
 
 
+def score_counts(df: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``(groups..., y_true, class, score, n)``: examples per true class and score of every class.
+
+    One-vs-rest and one-vs-one curves are both sums of these counts, so each example is expanded
+    once per class and collapsed in the same stage.
+    """
+    rows = df.select(*groups, "y_true", F.size("proba").alias("n_classes"), F.posexplode("proba").alias("class", "score"))
+    return rows.groupBy(*groups, "n_classes", "y_true", "class", "score").agg(F.count("*").alias("n"))
+
+
 def one_vs_rest_scores(df: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Collapsed scores of every class against the rest: ``(groups..., class, score, pos, neg)``."""
     rows = df.select(*groups, "y_true", F.posexplode("proba").alias("class", "p"))
@@ -209,28 +219,25 @@ def averaged_auc(df: DataFrame, groups: Sequence[str]) -> DataFrame:
 def ovo_scores(df: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Collapsed one-vs-one scores ``(groups..., class_a, class_b, direction, score, pos, neg)``.
 
-    A row takes part in the pairs of its own class only, once per direction.
+    The direction of a pair is the class whose score is used.  Examples of that class are its
+    positives against every other class; examples of another class are negatives of that one pair.
     """
-    others = F.filter(
-        F.sequence(F.lit(0), F.size("proba") - 1), lambda c: c != F.col("y_true")
-    )
-    pairs = df.select(*groups, "y_true", "proba", F.explode(others).alias("other"))
-    sides = pairs.select(
+    counts = score_counts(df, groups)
+    own = F.col("y_true") == F.col("class")
+    others = F.when(
+        own, F.filter(F.sequence(F.lit(0), F.col("n_classes") - 1), lambda c: c != F.col("class"))
+    ).otherwise(F.array("y_true"))
+    pairs = counts.withColumn("other", F.explode(others))
+    zero = F.lit(0).cast("bigint")
+    return pairs.groupBy(
         *groups,
-        F.least("y_true", "other").alias("class_a"),
-        F.greatest("y_true", "other").alias("class_b"),
-        F.inline(
-            F.array(
-                F.struct(F.lit("a").alias("direction"), F.least("y_true", "other").alias("target")),
-                F.struct(F.lit("b").alias("direction"), F.greatest("y_true", "other").alias("target")),
-            )
-        ),
-        "y_true",
-        "proba",
-    )
-    keys = [*groups, "class_a", "class_b", "direction"]
-    return collapse_scores(
-        sides, keys, F.col("y_true") == F.col("target"), F.element_at("proba", F.col("target") + 1)
+        F.least("class", "other").alias("class_a"),
+        F.greatest("class", "other").alias("class_b"),
+        F.when(F.col("class") < F.col("other"), "a").otherwise("b").alias("direction"),
+        "score",
+    ).agg(
+        F.sum(F.when(own, F.col("n")).otherwise(zero)).alias("pos"),
+        F.sum(F.when(own, zero).otherwise(F.col("n"))).alias("neg"),
     )
 
 
