@@ -26,16 +26,17 @@ from catalog.base import (
 )
 from labelweave.operators import clean, labels, synonyms
 from labelweave.operators.dedupe import dedupe_first, dedupe_last
+from labelweave.runtime import stage
 
 KEYS = ["symbol", "oncogene", "tsg"]
 
 
 def mapping_of(spark, folder):
-    return synonyms.build_synonym_map(rows(spark, folder, DICTIONARY))
+    return stage(synonyms.build_synonym_map(rows(spark, folder, DICTIONARY)), "mapping")
 
 
-def canonical_of(spark, folder, mapping):
-    return labels.canonical_list([rows(spark, folder, x) for x in (LIST_A, LIST_B, LIST_C)], mapping)
+def canonical_of(spark, folder, mapping, ordered=False):
+    return labels.canonical_list([rows(spark, folder, x) for x in (LIST_A, LIST_B, LIST_C)], mapping, ordered=ordered)
 
 
 def pathway_members(spark, folder):
@@ -44,15 +45,15 @@ def pathway_members(spark, folder):
     return clean.standardize(members, F.col("symbol"), F.lit(False), F.lit(False))
 
 
-def candidate_of(spark, folder, mapping):
+def candidate_of(spark, folder, mapping, ordered=False):
     return labels.candidate_list(
-        [rows(spark, folder, x) for x in (LIST_D, LIST_E)], [pathway_members(spark, folder)], mapping
+        [rows(spark, folder, x) for x in (LIST_D, LIST_E)], [pathway_members(spark, folder)], mapping, ordered=ordered
     )
 
 
 @query("build_synonym_map", with_inputs("SELECT input, approved FROM map", dict=DICTIONARY, map=LIST_INPUTS["map"]))
 def build_synonym_map(spark, folder):
-    return mapping_of(spark, folder)
+    return synonyms.build_synonym_map(rows(spark, folder, DICTIONARY))
 
 
 @query(
@@ -176,12 +177,12 @@ def any_flag_by_key(spark, folder):
 
 @query("canonical_list", list_sql("SELECT * FROM canonical"))
 def canonical_list(spark, folder):
-    return canonical_of(spark, folder, mapping_of(spark, folder))
+    return canonical_of(spark, folder, mapping_of(spark, folder), ordered=True)
 
 
 @query("candidate_list", list_sql("SELECT * FROM candidate"))
 def candidate_list(spark, folder):
-    return candidate_of(spark, folder, mapping_of(spark, folder))
+    return candidate_of(spark, folder, mapping_of(spark, folder), ordered=True)
 
 
 @query("disease_associated_list", list_sql("SELECT symbol FROM members UNION SELECT symbol FROM e"))
@@ -209,7 +210,7 @@ def label_entities(spark, folder):
         [rows(spark, folder, x) for x in (LIST_A, LIST_B, LIST_C)],
         [rows(spark, folder, x) for x in (LIST_D, LIST_E)],
         [pathway_members(spark, folder)],
-        mapping_of(spark, folder),
+        synonyms.build_synonym_map(rows(spark, folder, DICTIONARY)),
     )
     return clean.value_counts(labelled, ["label2", "label3"])
 

@@ -385,21 +385,20 @@ def register_model(name: str, fit: Fit) -> None:
 
 @dataclass(frozen=True)
 class Training:
-    """Training rows, standardised and written once, with their scaler.
-
-    Every trial on the same fold shares one.
-    """
+    """Standardised training rows with their scaler; every trial on the same fold shares one."""
 
     rows: DataFrame
     scaler: tuple[list[float], list[float]]
 
 
 def prepare_training(train: DataFrame) -> Training:
+    """Fit the scaler; the rows stay a view of ``train``, which should be a staged table when it is
+    expensive to compute: learners read it a few times and keep their own compact copy."""
     rows = train.select(
         "key", F.col("features").cast("array<double>").alias("features"), F.col("label").cast("int").alias("label")
     )
     scaler = fit_standardizer(rows)
-    return Training(stage(apply_standardizer(rows, scaler), "training"), scaler)
+    return Training(apply_standardizer(rows, scaler), scaler)
 
 
 def fit_model(

@@ -92,7 +92,7 @@ def search_trials(
     trials = stage(trial_table(spark, study, n_trials, model, reduced, _task(n_classes), seed), "trials")
     drawn = [(r.trial, {**r.params, **(overrides or {})}) for r in trials.orderBy("trial").collect()]
     folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", inner, seed), "inner")
-    # each training fold is balanced, scaled and written once, not once per trial
+    # each training fold is balanced and its scaler fitted once, not once per trial
     train = {i: prepare_training(_balanced(folded.filter(F.col("fold") != i), strategy)) for i in range(inner)}
 
     def job(params, i):

@@ -26,11 +26,16 @@ def _united(sources: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def canonical_list(
-    sources: Sequence[DataFrame], mapping: DataFrame, key: str = "symbol", merge_flags: bool = False
+    sources: Sequence[DataFrame],
+    mapping: DataFrame,
+    key: str = "symbol",
+    merge_flags: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
-    """Keys that any source flags, after synonyms; sorted by key."""
+    """Keys that any source flags, after synonyms; sorted by key unless an intermediate step."""
     mapped = [apply_synonyms(s, mapping, key, merge_flags=merge_flags) for s in sources]
-    return filter_any_flag(any_flag_by_key(_united(mapped, key).dropna(subset=[key]), key)).orderBy(key)
+    listed = filter_any_flag(any_flag_by_key(_united(mapped, key).dropna(subset=[key]), key))
+    return listed.orderBy(key) if ordered else listed
 
 
 def candidate_list(
@@ -38,11 +43,13 @@ def candidate_list(
     unmapped_sources: Sequence[DataFrame],
     mapping: DataFrame,
     key: str = "symbol",
+    ordered: bool = True,
 ) -> DataFrame:
     """Candidates of all sources; the pathway-like sources are taken without synonyms."""
     mapped = [apply_synonyms(s, mapping, key) for s in sources]
     united = _united([*mapped, *unmapped_sources], key).dropna(subset=[key])
-    return any_flag_by_key(united, key).orderBy(key)
+    listed = any_flag_by_key(united, key)
+    return listed.orderBy(key) if ordered else listed
 
 
 def disease_associated_list(
@@ -226,6 +233,6 @@ def label_entities(
     """Lists to labels in one plan: synonyms, consolidation and priority labels."""
     # staged once: its file size is known, so Catalyst can broadcast it to every source's join
     mapping = stage(mapping, "mapping")
-    canonical = canonical_list(canonical_sources, mapping, key)
-    candidate = candidate_list(candidate_sources, pathway_sources, mapping, key)
+    canonical = canonical_list(canonical_sources, mapping, key, ordered=False)
+    candidate = candidate_list(candidate_sources, pathway_sources, mapping, key, ordered=False)
     return assign_labels(universe, canonical, candidate, key)

@@ -43,12 +43,12 @@ def _known_symbols(mapping: DataFrame, column: str) -> DataFrame:
     return keys.unionByName(values).distinct()
 
 
-def _mapped(df: DataFrame, mapping: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
-    # Equal symbols map alike, so hot copies collapse to their first row before the join.
-    first = dedupe_first(df, [column], order)
+def _mapped(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
+    # With a dictionary small enough to broadcast this does not shuffle; the only shuffle of
+    # apply_synonyms is then its de-duplication, which ships one row per symbol and task.
     table = mapping.select(F.col("input").alias(column), F.col("approved").alias("_approved"))
     return (
-        first.join(table, column, "left")
+        df.join(table, column, "left")
         .withColumn(column, F.coalesce("_approved", column))
         .select(*df.columns)
     )
@@ -72,16 +72,14 @@ def apply_synonyms(
         mapped = grouped.join(table, column, "left").withColumn(column, F.coalesce("_approved", column))
         known = mapped.join(_known_symbols(mapping, column), column, "left_semi")
         return known.groupBy(column).agg(*[F.bool_or(c).alias(c) for c in flags])
-    mapped = _mapped(df, mapping, column, order)
+    mapped = _mapped(df, mapping, column)
     known = mapped.join(_known_symbols(mapping, column), column, "left_semi")
     return dedupe_first(known, [column], order)
 
 
-def removed_symbols(
-    df: DataFrame, mapping: DataFrame, column: str = "symbol", order: Sequence[str] = ("row_id",)
-) -> DataFrame:
+def removed_symbols(df: DataFrame, mapping: DataFrame, column: str = "symbol") -> DataFrame:
     """Symbols that ``apply_synonyms`` rejects."""
-    mapped = _mapped(df, mapping, column, order)
+    mapped = _mapped(df, mapping, column)
     return mapped.join(_known_symbols(mapping, column), column, "left_anti").select(column).distinct()
 
 
