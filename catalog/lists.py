@@ -26,6 +26,7 @@ from catalog.base import (
 )
 from labelweave.operators import clean, labels, synonyms
 from labelweave.operators.dedupe import dedupe_first, dedupe_last
+from labelweave.plans.entities import label_entities as label_all
 from labelweave.runtime import stage
 
 KEYS = ["symbol", "oncogene", "tsg"]
@@ -205,7 +206,7 @@ def assign_labels(spark, folder):
 
 @query("label_entities", list_sql("SELECT label2, label3, count(*) AS n FROM labels0 GROUP BY ALL"))
 def label_entities(spark, folder):
-    labelled = labels.label_entities(
+    labelled = label_all(
         rows(spark, folder, UNIVERSE),
         [rows(spark, folder, x) for x in (LIST_A, LIST_B, LIST_C)],
         [rows(spark, folder, x) for x in (LIST_D, LIST_E)],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from catalog.base import EDGES, NAMED_EDGES, RAW_EDGES, TURN_EDGES, as_long, query, rounded, rows, table, with_inputs
 from labelweave.operators import clean, graph, paths
+from labelweave.plans.networks import network_dataset as build_dataset
 from labelweave.runtime import stage
 
 DEGREE = "SELECT vertex, count(*) AS degree FROM (SELECT src AS vertex FROM e UNION ALL SELECT dst FROM e) GROUP BY vertex"
@@ -223,3 +224,29 @@ def betweenness(spark, folder):
 )
 def vertex_feature_table(spark, folder):
     return rounded(graph.vertex_feature_table(stage(turns(spark, folder), "edges")))
+
+
+#: the two kinds of turn edges as separate networks, and a dictionary that changes nothing
+TURN_NETWORKS = {
+    "time": "SELECT conv_id * 100000000 + turn - 1 AS src, conv_id * 100000000 + turn AS dst FROM {conversations} WHERE turn > 0",
+    "reply": "SELECT conv_id * 100000000 AS src, conv_id * 100000000 + turn AS dst FROM {conversations} WHERE turn > 0 AND role = 'assistant'",
+}
+TURN_ROWS = "SELECT conv_id * 100000000 + turn AS vertex, length(text) AS n_chars, role FROM {conversations}"
+
+
+@query(
+    "network_dataset",
+    with_inputs(
+        """SELECT s.vertex, round((coalesce(b.betweenness, 0) - bmin) / (bmax - bmin), 6) AS betweenness, t.n_chars, t.role
+        FROM close s LEFT JOIN between b ON s.vertex = b.vertex LEFT JOIN turns t ON t.vertex = s.vertex,
+        (SELECT min(coalesce(b.betweenness, 0)) AS bmin, max(coalesce(b.betweenness, 0)) AS bmax FROM close s LEFT JOIN between b ON s.vertex = b.vertex)""",
+        **PATH_INPUTS,
+        turns="SELECT vertex, n_chars::INT AS n_chars, role FROM (" + TURN_ROWS + ")",
+    ),
+)
+def network_dataset(spark, folder):
+    networks = {name: rows(spark, folder, text) for name, text in TURN_NETWORKS.items()}
+    turn_rows = rows(spark, folder, TURN_ROWS)
+    names = turn_rows.select(F.col("vertex").alias("input"), F.col("vertex").alias("approved"))
+    out = build_dataset(networks, names, turn_rows.select("vertex", "n_chars"), turn_rows.select("vertex", "role"))
+    return rounded(out.select("vertex", "betweenness", "n_chars", "role"))

@@ -8,6 +8,7 @@ from catalog.base import FOLDS, TRIALS, query, rounded, rows, table, with_inputs
 from catalog.sources import MEASURES, long_folds
 from labelweave.functions.text import parse_run_folder, run_folder_name, strategy_name
 from labelweave.operators import leaderboards, reports
+from labelweave.plans.reporting import compile_fold_reports as compile_folds
 from labelweave.runtime import new_path
 from labelweave.sources import readers
 
@@ -337,3 +338,18 @@ def parse_importances(spark, folder):
     grouped = rows(spark, folder, FOLD_SIZES).groupBy("run", "model").agg(F.sort_array(F.collect_list(F.struct("fold", block.alias("text")))).alias("s"))
     texts = grouped.select("run", "model", F.array_join(F.transform("s", lambda x: x["text"]), "").alias("content"))
     return reports.parse_importances(texts)
+
+
+@query(
+    "compile_fold_reports",
+    with_inputs(
+        """SELECT task, model, strategy, round(pr_auc, 6) AS pr_auc, row_number() OVER (PARTITION BY task, model ORDER BY pr_auc DESC, strategy)::INT AS rank
+        FROM parsed WHERE parsed""",
+        f=FOLDS,
+        means=MEANS,
+        parsed=PARSED,
+    ),
+)
+def compile_fold_reports(spark, folder):
+    top = compile_folds(fold_reports(spark, folder)).top
+    return rounded(top.select("task", "model", "strategy", "pr_auc", "rank"))

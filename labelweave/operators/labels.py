@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from labelweave.operators.clean import filter_any_flag
 from labelweave.operators.dedupe import union_first
 from labelweave.operators.synonyms import apply_synonyms
-from labelweave.runtime import stage
 
 FLAGS = ("oncogene", "tsg")
 
@@ -220,19 +219,3 @@ def feature_dictionary_union(frames: Sequence[DataFrame], key: str, order: Seque
 def label_union(frames: Sequence[DataFrame], key: str, order: Sequence[str]) -> DataFrame:
     """Label tables of several networks, the earliest wins, sorted by key."""
     return union_first(frames, [key], order).orderBy(key)
-
-
-def label_entities(
-    universe: DataFrame,
-    canonical_sources: Sequence[DataFrame],
-    candidate_sources: Sequence[DataFrame],
-    pathway_sources: Sequence[DataFrame],
-    mapping: DataFrame,
-    key: str = "symbol",
-) -> DataFrame:
-    """Lists to labels in one plan: synonyms, consolidation and priority labels."""
-    # staged once: its file size is known, so Catalyst can broadcast it to every source's join
-    mapping = stage(mapping, "mapping")
-    canonical = canonical_list(canonical_sources, mapping, key, ordered=False)
-    candidate = candidate_list(candidate_sources, pathway_sources, mapping, key, ordered=False)
-    return assign_labels(universe, canonical, candidate, key)

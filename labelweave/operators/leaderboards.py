@@ -32,9 +32,11 @@ def top_combinations(results: DataFrame, groups: Sequence[str] = ("model",), k:
     return ranked.withColumn("is_best", F.col("rank") == 1)
 
 
-def top_strategies(results: DataFrame, k: int = 3, measure: str = "pr_auc") -> DataFrame:
+def top_strategies(
+    results: DataFrame, k: int = 3, measure: str = "pr_auc", groups: Sequence[str] = ("model",)
+) -> DataFrame:
     """Best ``k`` strategies per model."""
-    return first_rows(results, ["model"], [F.col(measure).desc(), F.col("strategy")], k, rank_column="rank")
+    return first_rows(results, groups, [F.col(measure).desc(), F.col("strategy")], k, rank_column="rank")
 
 
 def latest_run(runs: DataFrame, column: str = "run") -> DataFrame:
