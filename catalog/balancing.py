@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ENTITIES, MATRIX, query, rounded, rows, table, with_inputs
+from catalog.base import ENTITIES, MATRIX, query, rounded, rows, with_inputs
 from labelweave.operators import balance, clean, neighbors, splits
 
 # ---------------------------------------------------------------- splits

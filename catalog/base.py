@@ -66,9 +66,6 @@ def as_long(df: DataFrame, *columns: str) -> DataFrame:
 
 # ---------------------------------------------------------------- inputs
 
-CUSTOMER_NAME = "'Customer#' || lpad(CAST({0} AS STRING), 9, '0')"
-
-
 def name_of(expression: str) -> str:
     """SQL for the customer name of a key."""
     return f"'Customer#' || lpad(CAST({expression} AS STRING), 9, '0')"

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from catalog.balancing import matrix, unit_sql
 from catalog.base import MATRIX, query, rounded, rows, table, with_inputs
 from labelweave.learning import models, search, spaces
-from labelweave.operators import metrics, splits
+from labelweave.operators import splits
 from labelweave.runtime import stage
 
 THREE = "SELECT CAST(vec_id AS STRING) AS key, embedding AS features, CASE WHEN label < 3 THEN 0 WHEN label < 6 THEN 1 ELSE 2 END AS label FROM {embeddings}"
 
 
 def _split(df):
-    split = stage(splits.stratified_holdout(df, "key", "label"), "split")
+    split = stage(splits.stratified_holdout(df, "key", "label"), "split", rebalance=True)
     return split.filter("NOT is_test"), split.filter("is_test")
 
 

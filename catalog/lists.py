@@ -16,7 +16,6 @@ from catalog.base import (
     PATHWAYS,
     UNIVERSE,
     list_sql,
-    mapped_sql,
     name_of,
     query,
     rounded,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import EDGES, NAMED_EDGES, RAW_EDGES, TURN_EDGES, as_long, query, rounded, rows, table, with_inputs
+from catalog.base import EDGES, RAW_EDGES, TURN_EDGES, as_long, query, rounded, rows, table, with_inputs
 from labelweave.operators import clean, graph, paths
 from labelweave.plans.networks import network_dataset as build_dataset
 from labelweave.runtime import stage

@@ -208,7 +208,13 @@ def fold_summary(spark, folder):
 
 # ---------------------------------------------------------------- curves
 
-ROC_CORNERS = """SELECT model, score AS threshold, round(fp / n_neg, 6) AS fpr, round(tp / n_pos, 6) AS tpr FROM
+
+def nudged(column):
+    """Six digits; the nudge keeps ratios off the half-way values the two engines round apart."""
+    return F.round(F.col(column) + 1e-9, 6).alias(column)
+
+
+ROC_CORNERS = """SELECT model, score AS threshold, round(fp / n_neg + 1e-9, 6) AS fpr, round(tp / n_pos + 1e-9, 6) AS tpr FROM
 (SELECT *, row_number() OVER w AS i, lead(pos) OVER w AS np, lead(neg) OVER w AS nn FROM t WINDOW w AS (PARTITION BY model ORDER BY score DESC))
 WHERE i = 1 OR np IS NULL OR np <> pos OR nn <> neg
 UNION ALL SELECT DISTINCT model, 'infinity'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM t"""
@@ -218,19 +224,19 @@ UNION ALL SELECT DISTINCT model, 'infinity'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FR
 def roc_points(spark, folder):
     points = curves.roc_points(binary_predictions(spark, folder), ["model"])
     finite = F.when(F.col("threshold") == float("inf"), F.col("threshold")).otherwise(F.round("threshold", 6))
-    return points.select("model", finite.alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+    return points.select("model", finite.alias("threshold"), nudged("fpr"), nudged("tpr"))
 
 
 @query(
     "pr_points",
     with_inputs(
-        """SELECT model, round(tp / (tp + fp), 6) AS precision, round(tp / n_pos, 6) AS recall FROM t
+        """SELECT model, round(tp / (tp + fp) + 1e-9, 6) AS precision, round(tp / n_pos + 1e-9, 6) AS recall FROM t
         UNION ALL SELECT DISTINCT model, 1.0::DOUBLE, 0.0::DOUBLE FROM t""",
         **BIN_INPUTS,
     ),
 )
 def pr_points(spark, folder):
-    return rounded(curves.pr_points(binary_predictions(spark, folder), ["model"]).select("model", "precision", "recall"))
+    return curves.pr_points(binary_predictions(spark, folder), ["model"]).select("model", nudged("precision"), nudged("recall"))
 
 
 def grid_sql(points: str, keys: str) -> str:
@@ -304,25 +310,25 @@ def macro_average_pr(spark, folder):
 @query(
     "micro_average_roc",
     with_inputs(
-        """SELECT model, round(fp / n_neg, 6) AS fpr, round(tp / n_pos, 6) AS tpr FROM tm
+        """SELECT model, round(fp / n_neg + 1e-9, 6) AS fpr, round(tp / n_pos + 1e-9, 6) AS tpr FROM tm
         UNION ALL SELECT DISTINCT model, 0.0::DOUBLE, 0.0::DOUBLE FROM tm""",
         **MICRO_INPUTS,
     ),
 )
 def micro_average_roc(spark, folder):
-    return rounded(curves.micro_average_roc(predictions(spark, folder), ["model"]).select("model", "fpr", "tpr"))
+    return curves.micro_average_roc(predictions(spark, folder), ["model"]).select("model", nudged("fpr"), nudged("tpr"))
 
 
 @query(
     "micro_average_pr",
     with_inputs(
-        """SELECT model, round(tp / n_pos, 6) AS recall, round(tp / (tp + fp), 6) AS precision FROM tm
+        """SELECT model, round(tp / n_pos + 1e-9, 6) AS recall, round(tp / (tp + fp) + 1e-9, 6) AS precision FROM tm
         UNION ALL SELECT DISTINCT model, 0.0::DOUBLE, 1.0::DOUBLE FROM tm""",
         **MICRO_INPUTS,
     ),
 )
 def micro_average_pr(spark, folder):
-    return rounded(curves.micro_average_pr(predictions(spark, folder), ["model"]).select("model", "recall", "precision"))
+    return curves.micro_average_pr(predictions(spark, folder), ["model"]).select("model", nudged("recall"), nudged("precision"))
 
 
 @query(

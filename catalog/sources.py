@@ -12,9 +12,7 @@ from catalog.base import (
     LIST_B,
     LIST_C,
     LIST_INPUTS,
-    NAMED_EDGES,
     PATHWAYS,
-    as_long,
     list_sql,
     name_of,
     plain,
@@ -25,10 +23,10 @@ from catalog.base import (
     with_inputs,
 )
 from labelweave.functions.text import display_name, slug
-from labelweave.operators import clean, labels, metrics
+from labelweave.operators import clean, metrics
 from labelweave.operators.dedupe import concat_sources
 from labelweave.operators.synonyms import build_synonym_map
-from labelweave.runtime import new_path, stage
+from labelweave.runtime import new_path
 from labelweave.sources import readers, writers
 
 CUSTOMERS = "SELECT c_name AS symbol, c_acctbal AS balance, c_nationkey AS nation FROM {customer}"

@@ -310,7 +310,7 @@ def fit_svm(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: i
     project = (lambda df: df) if kernel == "linear" else (lambda df: _mapped(df, mapping))
     rows = train.select("key", "features", "label")
     if kernel != "linear":
-        rows = stage(project(rows), "kernel")
+        rows = stage(project(rows), "kernel", rebalance=True)
     n_rows = rows.count()
 
     def svm() -> LinearSVC:
@@ -333,7 +333,7 @@ def fit_svm(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: i
     def fit_class(binary: DataFrame, _class: int):
         weighted = _weighted(binary, params)
         fold = F.pmod(F.conv(F.substring(hash_hex(f"{seed}fold", "key"), 1, 8), 16, 10).cast("bigint"), F.lit(CALIBRATION_FOLDS))
-        folded = stage(weighted.withColumn("_fold", fold), "folded")
+        folded = stage(weighted.withColumn("_fold", fold), "folded", rebalance=True)
         parts = []
         for i in range(CALIBRATION_FOLDS):
             model = svm().fit(_vectors(folded.filter(F.col("_fold") != i)))

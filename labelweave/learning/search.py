@@ -39,7 +39,7 @@ def _balanced(train: DataFrame, strategy: str | None) -> DataFrame:
     rows = train.select("key", "features", "label")
     if strategy in (None, "none"):
         return rows
-    return stage(balance(rows, SEARCH_STRATEGY.get(strategy, strategy)), "balanced")
+    return stage(balance(rows, SEARCH_STRATEGY.get(strategy, strategy)), "balanced", rebalance=True)
 
 
 def run_jobs(jobs: Sequence[tuple[dict, Callable[[], DataFrame]]], parallelism: int = 4) -> tuple[DataFrame | None, list[dict]]:
@@ -91,7 +91,7 @@ def search_trials(
     n_trials = n_trials or TRIALS_BY_MODEL.get(model, DEFAULT_TRIALS)
     trials = stage(trial_table(spark, study, n_trials, model, reduced, _task(n_classes), seed), "trials")
     drawn = [(r.trial, {**r.params, **(overrides or {})}) for r in trials.orderBy("trial").collect()]
-    folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", inner, seed), "inner")
+    folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", inner, seed), "inner", rebalance=True)
     # each training fold is balanced and its scaler fitted once, not once per trial
     train = {i: prepare_training(_balanced(folded.filter(F.col("fold") != i), strategy)) for i in range(inner)}
 
@@ -164,7 +164,7 @@ def nested_cv(
     By default the winner is refitted on the unbalanced fold, as the trials' balancing is part of
     the search only.
     """
-    folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", outer, seed), "outer")
+    folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", outer, seed), "outer", rebalance=True)
     bests, jobs = [], []
     for i in range(outer):
         train, test = folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i)
@@ -198,7 +198,7 @@ def holdout_grid(
     status table.
     """
     spark = data.sparkSession
-    split = stage(stratified_holdout(data.select("key", "features", "label"), "key", "label", 0.2, seed), "holdout")
+    split = stage(stratified_holdout(data.select("key", "features", "label"), "key", "label", 0.2, seed), "holdout", rebalance=True)
     train, test = split.filter("NOT is_test"), split.filter("is_test")
     balanced: dict[str, Training | Exception] = {}
     for strategy in strategies:
@@ -244,7 +244,7 @@ def refit_best(
     ``folds`` is ``(model, fold, pr_auc)``.
     """
     chosen = best_fold(folds, ["model"]).first().fold
-    split = stage(stratified_holdout(data.select("key", "features", "label"), "key", "label", 0.2, seed), "holdout")
+    split = stage(stratified_holdout(data.select("key", "features", "label"), "key", "label", 0.2, seed), "holdout", rebalance=True)
     scorer = fit_model(model, split.filter("NOT is_test"), fold_params[chosen], n_classes, seed)
     return scorer(split.filter("is_test"))
 
@@ -265,9 +265,9 @@ def evaluate_default(
     is the holdout.
     """
     given = models if isinstance(models, Mapping) else {m: {} for m in models}
-    split = stage(stratified_holdout(data.select("key", "features", "label"), "key", "label", 0.2, seed), "holdout")
+    split = stage(stratified_holdout(data.select("key", "features", "label"), "key", "label", 0.2, seed), "holdout", rebalance=True)
     train_full, test = split.filter("NOT is_test"), split.filter("is_test")
-    folded = stage(kfold(train_full.select("key", "features", "label"), "key", n_folds, seed), "folds")
+    folded = stage(kfold(train_full.select("key", "features", "label"), "key", n_folds, seed), "folds", rebalance=True)
     sets = {-1: (train_full, test)}
     for i in range(n_folds):
         sets[i] = (folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i))
@@ -297,7 +297,7 @@ def evaluate_default(
 
 def _balanced_default(train: DataFrame, strategy: str) -> DataFrame:
     rows = train.select(F.col("key").cast("string").alias("key"), "features", "label")
-    return stage(balance(rows, strategy), "balanced")
+    return stage(balance(rows, strategy), "balanced", rebalance=True)
 
 
 def feature_group_cv(
@@ -314,10 +314,10 @@ def feature_group_cv(
     ``(model, feature_group, weighting, fold, split, metric, value)``.
     """
     given = models if isinstance(models, Mapping) else {m: {} for m in models}
-    folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", n_folds, seed), "folds")
+    folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", n_folds, seed), "folds", rebalance=True)
     jobs = []
     for group in groups:
-        part = stage(select_feature_group(folded, "features", group), "group")
+        part = stage(select_feature_group(folded, "features", group), "group", rebalance=True)
         for i in range(n_folds):
             train, held = part.filter(F.col("fold") != i), part.filter(F.col("fold") == i)
             training = prepare_training(train)

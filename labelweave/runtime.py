@@ -59,8 +59,14 @@ def release_staged(spark: SparkSession) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table."""
+def stage(df: DataFrame, name: str = "stage", rebalance: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the written table.
+
+    ``rebalance`` evens out the files (AQE splits large and merges small partitions), for tables
+    that an iterative learner reads many times.
+    """
+    if rebalance:
+        df = df.hint("rebalance")
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)

@@ -109,6 +109,9 @@ def test_adasyn_kmeans_and_combinations(spark):
     assert abs(made - 45) <= 15
     assert balance.smote_tomek(points).count() <= 120
     assert balance.smote_enn(points).count() <= 120
+    rng = np.random.default_rng(4)
+    apart = np.concatenate([rng.normal(0, 1, (60, 2)), rng.normal(12.0, 1, (15, 2))])
+    points = _points(spark, apart, [0] * 60 + [1] * 15)
     assert balance.kmeans_smote(points, k=2, clusters=2).filter("key LIKE 'synthetic%'").count() >= 45
 
 

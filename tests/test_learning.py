@@ -39,7 +39,7 @@ def test_families_learn(data, name):
 
 @pytest.mark.parametrize("kernel", ["linear", "poly", "rbf", "sigmoid"])
 def test_svm_kernels(data, kernel):
-    out = models.fit_model("svc", data, {"kernel": kernel, "class_weight": "balanced", "degree": "3", "max_iter": "30"})(data)
+    out = models.fit_model("svc", data, {"kernel": kernel, "class_weight": "balanced", "degree": "3", "max_iter": "5"})(data)
     probabilities = out.select(F.element_at("proba", 2).alias("p")).agg(F.min("p"), F.max("p")).first()
     assert 0 <= probabilities[0] <= probabilities[1] <= 1
     if kernel != "poly":
@@ -49,7 +49,7 @@ def test_svm_kernels(data, kernel):
 @pytest.mark.parametrize("name", ["gradient_boosting", "svc", "random_forest"])
 def test_three_classes(data, name):
     three = data.withColumn("label", F.when(F.get("features", F.lit(0)) > 3, 2).otherwise(F.col("label")))
-    params = {"kernel": "linear", "max_iter": "20"} if name == "svc" else {"n_estimators": "3", "max_depth": "3"}
+    params = {"kernel": "linear", "max_iter": "4"} if name == "svc" else {"n_estimators": "3", "max_depth": "3"}
     out = models.fit_model(name, three, params, 3)(three)
     widths = out.select(F.size("proba").alias("w"), F.aggregate("proba", F.lit(0.0), lambda a, x: a + x).alias("s"))
     row = widths.agg(F.min("w"), F.max("w"), F.min("s"), F.max("s")).first()

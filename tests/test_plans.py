@@ -8,9 +8,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from catalog.base import rows, table
-from labelweave.operators import dedupe, graph, labels
-from labelweave.operators.leaderboards import top_strategies
+from catalog.base import table
+from labelweave.operators import dedupe, graph
 
 FOLDER = "/root/testdata/sf0.001"
 ROOT = pathlib.Path(__file__).resolve().parent.parent
