@@ -24,6 +24,8 @@ if __name__ == "__main__":
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.showConsoleProgress", "false")
+        # NO_BROADCAST=1 forces the shuffle joins that large tables take
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1" if os.environ.get("NO_BROADCAST") else "10MB")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
