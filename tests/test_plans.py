@@ -6,10 +6,13 @@ import pathlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from catalog.base import table
 from labelweave.operators import dedupe, graph
+from labelweave.operators.synonyms import translate_edges
+from labelweave.runtime import stage
 
 FOLDER = "/root/testdata/sf0.001"
 ROOT = pathlib.Path(__file__).resolve().parent.parent
@@ -43,3 +46,33 @@ def test_library_text():
         text = path.read_text()
         for word in ("localCheckpoint", "crossJoin", "toPandas(", ".rdd"):
             assert word not in text, (path, word)
+
+
+def test_hot_endpoint_is_split_by_the_join(spark):
+    """With a third of the edges on one vertex, AQE splits its partition of the dictionary join."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        n = 300_000
+        edges = spark.range(0, n, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("v"), F.col("id") % 5000)).alias("src"),
+            F.concat(F.lit("w"), "id").alias("dst"),
+        )
+        mapping = spark.range(5000).select(F.concat(F.lit("v"), "id").alias("input"), F.concat(F.lit("n"), "id").alias("approved"))
+        mapping = mapping.unionByName(spark.createDataFrame([("hot", "HOT")], "input STRING, approved STRING"))
+        out = translate_edges(edges, stage(mapping))
+        counted = out.groupBy((F.col("src") == "HOT").alias("hot")).agg(F.count("*").alias("n"))
+        assert {r.hot: r.n for r in counted.collect()} == {True: n // 3, False: n - n // 3}
+        assert "skew=true" in _plan(counted)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
