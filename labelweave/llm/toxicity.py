@@ -27,6 +27,11 @@ DICTIONARY_BYTES = 16_384
 PIECE = 5
 #: A piece marks toxic texts when it is in this many of them and so many times likelier there.
 MIN_DOCS, MIN_RATIO = 3, 20.0
+#: and when it stands between so many different pairs of words.
+MIN_PLACES = 4
+#: Put after every window and at the end of both dictionaries: the fixed cost of a first match is paid by it
+#: with either dictionary, and matches are also sought in the last bytes of a short window.
+ANCHOR = bytes(range(1, 17))
 #: Windows whose margins a task remembers.
 CACHE = 400_000
 LEVEL = 3
@@ -54,7 +59,7 @@ class Margins(dict):
             # content that does not start with the magic number of trained dictionaries serves as plain history
             return zstandard.ZstdCompressor(
                 level=LEVEL,
-                dict_data=zstandard.ZstdCompressionDict(content) if content else None,
+                dict_data=zstandard.ZstdCompressionDict(content + ANCHOR),
                 write_content_size=False,
                 write_checksum=False,
                 write_dict_id=False,
@@ -65,7 +70,8 @@ class Margins(dict):
     def __missing__(self, window: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()
-        value = self[window] = len(self._ordinary(window)) - len(self._toxic(window))
+        anchored = window + ANCHOR
+        value = self[window] = len(self._ordinary(anchored)) - len(self._toxic(anchored))
         return value
 
 
@@ -82,7 +88,14 @@ def _toxic_spans(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Count
     for words in ordinary:
         elsewhere.update(candidates.intersection(*[set().union(*map(_pieces, set(words)))]) if words else ())
     scale = MIN_RATIO * (len(toxic) + 1) / (len(ordinary) + 1)
-    marks = {p for p in candidates if seen[p] + 0.5 > scale * (elsewhere[p] + 0.5)}
+    likely = {p for p in candidates if seen[p] + 0.5 > scale * (elsewhere[p] + 0.5)}
+    # copies of a text repeat its chance pieces, but always between the same words
+    around: dict[bytes, set] = {}
+    for words in toxic:
+        for i, w in enumerate(words):
+            for p in likely.intersection(_pieces(w)):
+                around.setdefault(p, set()).add((tuple(words[max(i - 1, 0) : i]), tuple(words[i + 1 : i + 2])))
+    marks = {p for p, places in around.items() if len(places) >= MIN_PLACES}
     spans: Counter = Counter()
     for words in toxic:
         for w in words:
@@ -113,12 +126,12 @@ def fit_toxicity(sample: list[tuple[str, int]]) -> ToxicityModel:
     for words in ordinary:
         common.update(words)
 
-    def content(ranked: list[bytes]) -> bytes:
+    def content(ranked: list[bytes], most: int = DICTIONARY_BYTES) -> bytes:
         """The foremost items that fit, the most important ones last, where matches are cheapest."""
         size, chosen = 0, []
         for item in ranked:
             size += len(item)
-            if size > DICTIONARY_BYTES:
+            if size > most:
                 break
             chosen.append(item)
         return b"".join(reversed(chosen))
@@ -126,6 +139,10 @@ def fit_toxicity(sample: list[tuple[str, int]]) -> ToxicityModel:
     rank = lambda c: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))]
     model = ToxicityModel(content(rank(common)), content([s for s in rank(spans) if spans[s] > 1]), 1, (0.0, 0.0, 0.0))
     margins = Margins(model.ordinary, model.toxic)
+    # ordinary words that the toxic dictionary would compress better join the ordinary one
+    hard = Counter({w: n for w, n in common.items() if margins[w] > 1})
+    model = ToxicityModel(content(rank(hard), DICTIONARY_BYTES // 4) + model.ordinary, model.toxic, 1, model.weights)
+    margins = Margins(model.ordinary, model.toxic)
     y = np.array([label for _, label in sample], float)
     # the threshold that separates documents best by their largest margin, the larger on ties
     most = np.array([_profile(t, margins, 1)[1] for t, _ in sample])
