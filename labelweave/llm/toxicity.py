@@ -22,7 +22,7 @@ from labelweave.llm.common import filter_texts, fold, labelled_sample, map_texts
 #: Documents of each class that are used for fitting, at most.
 SAMPLE_PER_CLASS = 2000
 #: Bytes of each dictionary.
-DICTIONARY_BYTES = 16_384
+DICTIONARY_BYTES = 49_152
 #: Bytes of the pieces that are compared between the classes when toxic spans are chosen.
 PIECE = 5
 #: A piece marks toxic texts when it is in this many of them and so many times likelier there.
@@ -139,10 +139,6 @@ def fit_toxicity(sample: list[tuple[str, int]]) -> ToxicityModel:
     rank = lambda c: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))]
     model = ToxicityModel(content(rank(common)), content([s for s in rank(spans) if spans[s] > 1]), 1, (0.0, 0.0, 0.0))
     margins = Margins(model.ordinary, model.toxic)
-    # ordinary words that the toxic dictionary would compress better join the ordinary one
-    hard = Counter({w: n for w, n in common.items() if margins[w] > 1})
-    model = ToxicityModel(content(rank(hard), DICTIONARY_BYTES // 4) + model.ordinary, model.toxic, 1, model.weights)
-    margins = Margins(model.ordinary, model.toxic)
     y = np.array([label for _, label in sample], float)
     # the threshold that separates documents best by their largest margin, the larger on ties
     most = np.array([_profile(t, margins, 1)[1] for t, _ in sample])
