@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labelweave.llm import language, quality, simhash, toxicity
+from labelweave.llm import bpe, language, packing, quality, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +45,26 @@ def _toxicity(spark, folder):
 @query("op9_language_mixture")
 def _language(spark, folder):
     return language.language_report(table(spark, folder, "documents"))
+
+
+@query("op4_packing_tiers")
+def _packing(spark, folder):
+    docs = table(spark, folder, "documents")
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packed
+
+
+@query("op6_bpe_duckdb")
+def _bpe(spark, folder):
+    docs = table(spark, folder, "documents")
+    return bpe.code_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op5_warc_zip")
+def _warc(spark, folder):
+    return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
+@query("op2_secret_entropy")
+def _secrets(spark, folder):
+    return secrets.secret_report(table(spark, folder, "documents"))
