@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labelweave.llm import bpe, language, packing, quality, secrets, simhash, toxicity, warc
+from labelweave.llm import bpe, language, minhash, packing, quality, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def _warc(spark, folder):
 @query("op2_secret_entropy")
 def _secrets(spark, folder):
     return secrets.secret_report(table(spark, folder, "documents"))
+
+
+@query("op10_minhash_forest")
+def _minhash(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
