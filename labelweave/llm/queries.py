@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labelweave.llm import bpe, language, minhash, packing, quality, secrets, simhash, toxicity, warc
+from labelweave.llm import bpe, embeddings, language, minhash, packing, quality, secrets, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +74,27 @@ def _secrets(spark, folder):
 @query("op10_minhash_forest")
 def _minhash(spark, folder):
     return minhash.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
+@query(
+    "op1_subspace_pigeonhole",
+    """WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM link l WHERE l.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id""",
+)
+def _embeddings(spark, folder):
+    return embeddings.near_vectors(table(spark, folder, "embeddings"), 0.98)
+
+
+@query("pipeline")
+def _pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
