@@ -8,6 +8,7 @@ Ordered aggregation gives each word's ids and, from the vocabulary, its decoded
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -164,6 +165,12 @@ class Codec:
         return out
 
 
+@lru_cache(maxsize=1)
+def shared_codec(tokenizer: str, pattern: str) -> Codec:
+    """The codec of this Python worker: tasks that run in it one after the other share what it remembers."""
+    return Codec(load_ranks(tokenizer), pattern)
+
+
 def code_documents(docs: DataFrame, tokenizer: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per document; ``with_ids`` adds ``ids`` and ``decoded``.
 
@@ -173,7 +180,7 @@ def code_documents(docs: DataFrame, tokenizer: str, pattern: str, with_ids: bool
     """
 
     def make():
-        codec = Codec(load_ranks(tokenizer), pattern)
+        codec = shared_codec(tokenizer, pattern)
 
         def run(texts: list[str]) -> dict[str, list]:
             rows = codec.code(texts)
