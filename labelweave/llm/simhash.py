@@ -152,14 +152,15 @@ def _edit_row(doc_id, text, own, following, next_print, hashes) -> tuple:
 def edit_report(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text (see :func:`edited`).
 
-    Documents follow each other by descending ``doc_id`` (null ids last, ties by text) and the last is followed
+    Documents follow each other by descending ``doc_id`` (null ids last, ties by a hash of the text) and the last is followed
     by the first.  One range partitioning puts neighbours together; a partition's last row meets the next
     partition's first row in a join of one such row for each partition, so no global order goes through one task.  A lone
     document follows itself.  Null texts count as empty; repeated ids keep a row each.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
+    # the hash and not the text breaks ties: the range bounds are sampled to the driver
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc()]
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = source.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
