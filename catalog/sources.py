@@ -82,7 +82,7 @@ def read_headerless_multi(spark, folder):
         F.col("p_partkey").alias("row_no"), F.col("p_type").alias("symbol_1"), F.col("p_name").alias("synonyms_1")
     )
     part.write.csv(path, sep="\t", header=True)
-    return readers.read_positional(spark, path, 3)
+    return readers.read_positional(spark, path, 3, header=["row_no", "symbol_1", "synonyms_1"])
 
 
 @query("read_quoted_space", "SELECT c_name AS SYMBOL, c_mktsegment AS SEGMENT FROM customer")

@@ -55,7 +55,7 @@ def run_jobs(jobs: Sequence[tuple[dict, Callable[[], DataFrame]]], parallelism:
             tagged = out.select(*[F.lit(v).alias(c) for c, v in tags.items()], *out.columns)
             return stage(tagged, "job"), {**tags, "status": "ok", "error": ""}
         except Exception as error:  # noqa: BLE001 - the status table records it
-            return None, {**tags, "status": "error", "error": f"{type(error).__name__}: {error}"[:500]}
+            return None, {**tags, "status": "error", "error": f"{type(error).__name__}: {error}"}
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         results = list(pool.map(run, jobs))

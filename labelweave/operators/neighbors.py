@@ -113,6 +113,15 @@ def _blocks(points: DataFrame, sizes: DataFrame, prefix: str) -> DataFrame:
     )
 
 
+def _checked(points: DataFrame) -> int:
+    """Number of points; results are kept by key, so keys must differ, and distances need finite numbers."""
+    bad = F.coalesce(F.exists("features", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))), F.lit(True))
+    facts = points.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.count_if(bad).alias("bad")).first()
+    if facts.ids != facts.n or facts.bad:
+        raise ValueError("points need different keys, none null, and finite coordinates")
+    return facts.n
+
+
 def knn_join(
     queries: DataFrame,
     data: DataFrame,
@@ -138,7 +147,9 @@ def knn_join(
 
     base = stage(prepared(data), "points")
     id_type = base.schema["id"].dataType
-    n_data = base.count()
+    n_data = _checked(base)
+    if queries is not data:
+        _checked(prepared(queries))
     result_schema = T.StructType(
         [
             T.StructField("query_id", id_type),

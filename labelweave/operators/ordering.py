@@ -22,6 +22,14 @@ def _columns(items: Sequence[Column | str]) -> list[Column]:
     return [F.col(i) if isinstance(i, str) else i for i in items]
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys equal each other; the left side's keys stay."""
+    renamed = {k: f"_right_{k}" for k in keys}
+    other = right.withColumnsRenamed(renamed)
+    on = [left[k].eqNullSafe(other[f"_right_{k}"]) for k in keys]
+    return left.join(other, on, how).drop(*renamed.values())
+
+
 def running_totals(
     df: DataFrame,
     groups: Sequence[str],
@@ -30,7 +38,7 @@ def running_totals(
 ) -> DataFrame:
     """Add cumulative sums (first row up to the current one) per group in a total order.
 
-    ``order`` should be total within a group, and group columns must not be null.
+    ``order`` should be total within a group.  Null group values form a group of their own.
     """
     groups = list(groups)
     order = _columns(order)
@@ -59,7 +67,8 @@ def running_totals(
     )
     result = placed.select(
         *placed.columns, *[F.sum(expr).over(local).alias(f"_local_{name}") for name, expr in totals.items()]
-    ).join(offsets, [*groups, _PART])
+    )
+    result = join_null_safe(result, offsets, [*groups, _PART])
     kept = [c for c in placed.columns if c != _PART]
     return result.select(
         *kept, *[(F.col(f"_local_{n}") + F.col(f"_before_{n}")).alias(n) for n in totals]

@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.functions.hashing import hash_hex
-from labelweave.operators.ordering import row_numbers
-from labelweave.runtime import broadcast_if_small
+from labelweave.operators.ordering import join_null_safe, row_numbers
 
 
 def _numbered(df: DataFrame, groups: list[str], key: str, seed: int) -> DataFrame:
@@ -28,11 +27,10 @@ def class_sizes(df: DataFrame, label: str, *more: str) -> DataFrame:
 def stratified_holdout(
     df: DataFrame, key: str, label: str, fraction: float = 0.2, seed: int = 42, name: str = "is_test"
 ) -> DataFrame:
-    """Marks ``round(fraction * n)`` rows of every class as test rows."""
+    """Marks ``round(fraction * n)`` rows of every class as test rows; rows without a label are a class."""
     numbered = _numbered(df, [label], key, seed)
-    sizes = broadcast_if_small(class_sizes(df, label))
     cut = F.round(F.col("class_size") * fraction)
-    return numbered.join(sizes, label).select(*df.columns, (F.col("_rn") <= cut).alias(name))
+    return join_null_safe(numbered, class_sizes(df, label), [label]).select(*df.columns, (F.col("_rn") <= cut).alias(name))
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
@@ -70,7 +68,7 @@ def balanced_class_weights(df: DataFrame, label: str, name: str = "weight") -> D
     weights = sizes.select(
         label, (totals.getField("n") / (totals.getField("k") * F.col("class_size"))).alias(name)
     )
-    return df.join(broadcast_if_small(weights), label)
+    return join_null_safe(df, weights, [label])
 
 
 #: Fixed value: ratio of negatives to positives assumed by the search spaces.

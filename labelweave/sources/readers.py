@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelweave.runtime import broadcast_if_small
 
 #: Shape of every curated list after standardisation.
 LIST_SCHEMA = T.StructType(
@@ -47,28 +46,19 @@ def read_name_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_positional(
-    spark: SparkSession, path: str | list[str], n_columns: int, key_position: int = 1
+    spark: SparkSession, path: str | list[str], n_columns: int, header: Sequence[str] | None = None
 ) -> DataFrame:
     """Headerless table addressed by position (``c0``, ``c1``, ...).
 
-    A first row that looks like a header is dropped: it repeats, in the key column, a text that is
-    not purely alphabetic.  The row is known by being at the start of its file.
+    With ``header`` (the texts of a header line) lines that equal it are left out, wherever a file has
+    them; every other line is a row, whatever its key looks like.
     """
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n_columns)])
-    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    numbered = lines.withColumn("_line", F.monotonically_increasing_id())
-    starts = (
-        numbered.filter(F.col("file_block_start") == 0)
-        .groupBy("file_path")
-        .agg(F.min_by("value", "_line").alias("first_line"), F.min("_line").alias("first_id"))
-    )
+    lines = spark.read.schema("value STRING").text(path)
+    if header is not None:
+        lines = lines.filter(F.col("value") != F.lit("\t".join(header)))
     parts = F.split("value", "\t")
-    key = F.trim(F.get(parts, F.lit(key_position)))
-    fields = numbered.join(broadcast_if_small(starts), "file_path")
-    is_first = F.col("_line") == F.col("first_id")
-    looks_like_header = is_first & ~F.coalesce(key.rlike(r"^\p{L}+$"), F.lit(False))
-    rows = fields.filter(~looks_like_header)
-    return rows.select(*[F.get(parts, F.lit(i)).alias(f.name) for i, f in enumerate(schema)])
+    return lines.select(*[F.get(parts, F.lit(i)).alias(f.name) for i, f in enumerate(schema)])
 
 
 def read_quoted(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
@@ -174,7 +164,7 @@ MODEL_ALIASES = {
 }
 
 #: Prediction file names, best first.
-PREDICTION_FILES = ("predictions.json", "metrics.json", "results.json")
+PREDICTION_FILES = ("predictions.json", "default_metrics.json", "metrics.json", "results.json")
 
 _PREDICTION_STRUCT = "STRUCT<y_true: ARRAY<INT>, y_pred: ARRAY<INT>, y_pred_proba: ARRAY<ARRAY<DOUBLE>>>"
 
@@ -182,10 +172,10 @@ _PREDICTION_STRUCT = "STRUCT<y_true: ARRAY<INT>, y_pred: ARRAY<INT>, y_pred_prob
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """One row per predicted example: ``(run, model, position, y_true, y_pred, proba)``.
 
-    Of several prediction files in one model folder the best-named one is used; model folders with
-    a variant spelling are unified.
+    Of several prediction file names in one model folder the best one is used, with all files of the
+    same rank; ``position`` counts within a file.  Model folders with a variant spelling are unified.
     """
-    from labelweave.operators.ordering import first_rows
+    from labelweave.operators.ordering import join_null_safe
 
     files = (
         spark.read.option("recursiveFileLookup", True)
@@ -204,8 +194,9 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
         F.when(priority > 0, priority).otherwise(F.lit(len(PREDICTION_FILES) + 1)).alias("priority"),
         F.coalesce("test_predictions", "predictions").alias("p"),
     ).filter("p IS NOT NULL")
-    best = first_rows(tagged.select("run", "model", "priority", "file_path"), ["run", "model"], ["priority", "file_path"])
-    chosen = tagged.join(best.select("file_path"), "file_path", "left_semi")
+    best = tagged.groupBy("run", "model").agg(F.min("priority").alias("priority"))
+    # all files of the best name: a folder may hold one file per fold or task
+    chosen = join_null_safe(tagged, best, ["run", "model", "priority"])
     return chosen.select(
         "run", "model", F.posexplode(F.arrays_zip("p.y_true", "p.y_pred", "p.y_pred_proba")).alias("position", "e")
     ).select(

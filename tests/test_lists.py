@@ -115,7 +115,12 @@ def test_readers_on_files(spark, tmp_path):
     (tmp_path / "positional.tsv").write_text("1\tABC\tsyn\n2\tA1\tsyn\n")
     assert readers.read_positional(spark, str(tmp_path / "positional.tsv"), 3).count() == 2
     (tmp_path / "headed.tsv").write_text("n\tsymbol_name\ts\n1\tABC\tsyn\n")
-    assert readers.read_positional(spark, str(tmp_path / "headed.tsv"), 3).count() == 1
+    assert readers.read_positional(spark, str(tmp_path / "headed.tsv"), 3, ["n", "symbol_name", "s"]).count() == 1
+    parts = tmp_path / "parts"
+    parts.mkdir()
+    for k in range(3):
+        (parts / f"{k}.tsv").write_text(f"{k}\tTP53\tx\n{k}\tNKX2-1\ty\n")
+    assert readers.read_positional(spark, str(parts), 3).count() == 6
     (tmp_path / "net.json").write_text(
         '[{"nodes": [{"@id": 1, "n": "a", "r": ""}, {"@id": 7, "n": "b", "r": ""}]}, {"edges": [{"@id": 9, "s": 7, "t": 1}]}]'
     )
@@ -133,6 +138,23 @@ def test_prediction_file_priority(spark, tmp_path):
     assert [(r.model, r.y_true) for r in out] == [("k_nearest_neighbors", 0)]
 
 
+def test_all_part_files_of_a_prediction_folder_are_read(spark, tmp_path):
+    folder = tmp_path / "20250101_000000_x_default_binary" / "svc"
+    folder.mkdir(parents=True)
+    for k in range(2):
+        (folder / f"part-{k}.json").write_text('{"test_predictions": {"y_true": [1, 0], "y_pred": [1, 0], "y_pred_proba": [[0.5, 0.5], [0.5, 0.5]]}}')
+    assert readers.read_predictions(spark, str(tmp_path)).count() == 4
+
+
+def test_unlabeled_rows_survive_splits_and_weights(spark):
+    from labelweave.operators import splits
+
+    df = spark.range(100).selectExpr("id AS key", "CASE WHEN id % 4 = 0 THEN NULL ELSE id % 4 END AS label")
+    assert splits.stratified_kfold(df, "key", "label").filter("fold IS NOT NULL").count() == 100
+    assert splits.stratified_holdout(df, "key", "label").count() == 100
+    assert splits.balanced_class_weights(df, "label").filter("label IS NULL AND weight = 1.0").count() == 25
+
+
 def test_write_tsv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("b", True), ("a", None)], "symbol STRING, oncogene BOOLEAN")
     writers.write_tsv(df, str(tmp_path / "out"), order=["symbol"])
