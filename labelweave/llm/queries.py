@@ -61,7 +61,19 @@ def _bpe(spark, folder):
     return bpe.code_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@query("op5_warc_zip")
+@query(
+    "op5_warc_zip",
+    """WITH p AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
+last AS (SELECT hex, max(page_id) AS last_id FROM p GROUP BY hex)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+    -- five hexadecimal digits are four base32 ones
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::BIGINT) >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+    CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> last_id THEN last_id END AS refers_to
+FROM p JOIN last USING (hex)""",
+)
 def _warc(spark, folder):
     return warc.archive_round_trip(table(spark, folder, "pages"))
 
@@ -71,7 +83,25 @@ def _secrets(spark, folder):
     return secrets.secret_report(table(spark, folder, "documents"))
 
 
-@query("op10_minhash_forest")
+@query(
+    "op10_minhash_forest",
+    """WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+    SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+    SELECT a, b FROM both_have JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+    WHERE 100 * common >= 85 * (na.size + nb.size - common)),
+reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT a AS doc_id, coalesce(any_value(size), 0) AS n_shingles, min(b) AS component_id, a = min(b) AS kept
+FROM reach LEFT JOIN n ON n.doc_id = a GROUP BY a""",
+)
 def _minhash(spark, folder):
     return minhash.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
 
@@ -81,7 +111,7 @@ def _minhash(spark, folder):
     """WITH RECURSIVE v AS (
     SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
     WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link AS (
     SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
     WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
