@@ -7,9 +7,8 @@ for each step, and where it is high the windows are joined to a span.  Spans on
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,7 +184,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Overlapping spans are replaced together.  A null text stays null.
     """
     columns = docs.columns
-    found = find_secrets(docs)
+    # columns of the documents that are named like the spans are set aside meanwhile
+    aside = {c: f"_aside_{c}" for c in columns if c in ("base", "added")}
+    found = find_secrets(docs.withColumnsRenamed(aside))
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -202,4 +203,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     out = found.withColumn("text", F.when(F.col("text").isNotNull() & any_span, rebuilt).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(any_span, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in columns])

@@ -268,7 +268,8 @@ def test_redact_keeps_rows_and_columns(spark):
     docs = documents(spark, ["a password=hunter2hunter2 z", None, "clean"])
     got = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert got[0].text == "a [SECRET] z" and got[0].n_chars == 12 and got[1].text is None and got[2].text == "clean"
-    assert secrets.redact(docs).columns == docs.columns
+    named = docs.withColumn("base", F.lit("kept"))
+    assert secrets.redact(named).columns == named.columns and {r.base for r in secrets.redact(named).collect()} == {"kept"}
 
 
 # ------------------------------------------------------------------ SimHash
