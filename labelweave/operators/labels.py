@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labelweave.operators.clean import filter_any_flag
 from labelweave.operators.dedupe import union_first
-from labelweave.operators.synonyms import apply_synonyms
+from labelweave.operators.synonyms import resolve_symbols
 
 FLAGS = ("oncogene", "tsg")
 
@@ -20,8 +20,44 @@ def any_flag_by_key(df: DataFrame, key: str = "symbol", flags: Sequence[str] = F
     return df.groupBy(key).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags])
 
 
-def _united(sources: Sequence[DataFrame], key: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [s.select(key, *FLAGS) for s in sources])
+def _listed(
+    sources: Sequence[DataFrame],
+    unmapped: Sequence[DataFrame],
+    mapping: DataFrame,
+    key: str,
+    merge_flags: bool = False,
+    order: Sequence[str] = ("row_id",),
+) -> DataFrame:
+    """One row per key of all sources, a flag set when any source sets it.
+
+    The sources are tagged and united before the synonyms are applied, so there is one join with the
+    dictionary and one shuffle, whatever the number of sources.  Without ``merge_flags`` a source speaks
+    through the first of its rows per key; sources in ``unmapped`` keep their names and count with all rows.
+    """
+    place = F.struct(*order)
+    tagged = [
+        s.select(key, *FLAGS, (F.lit(None) if merge_flags else place).alias("_place"), F.lit(i).alias("_source"))
+        for i, s in enumerate(sources)
+    ]
+    rows = resolve_symbols(reduce(DataFrame.unionByName, tagged), mapping, key).select(key, "_place", "_source", *FLAGS)
+    for s in unmapped:
+        plain = s.dropna(subset=[key]).select(key, F.lit(None).alias("_place"), F.lit(-1).alias("_source"), *FLAGS)
+        rows = rows.unionByName(plain)
+    if merge_flags:
+        return any_flag_by_key(rows, key)
+    flags = F.struct(*FLAGS)
+    firsts = [
+        F.min_by(F.when(F.col("_source") == i, flags), F.when(F.col("_source") == i, F.col("_place"))).alias(f"_first_{i}")
+        for i in range(len(sources))
+    ]
+    every = [F.bool_or(F.when(F.col("_source") == -1, F.col(c))).alias(f"_any_{c}") for c in FLAGS]
+    united = rows.groupBy(key).agg(*firsts, *every)
+
+    def flag(c: str):
+        said = [F.col(f"_first_{i}.{c}") for i in range(len(sources))]
+        return reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in (*said, F.col(f"_any_{c}"))]).alias(c)
+
+    return united.select(key, *[flag(c) for c in FLAGS])
 
 
 def canonical_list(
@@ -32,8 +68,7 @@ def canonical_list(
     ordered: bool = True,
 ) -> DataFrame:
     """Keys that any source flags, after synonyms; sorted by key unless an intermediate step."""
-    mapped = [apply_synonyms(s, mapping, key, merge_flags=merge_flags) for s in sources]
-    listed = filter_any_flag(any_flag_by_key(_united(mapped, key).dropna(subset=[key]), key))
+    listed = filter_any_flag(_listed(sources, (), mapping, key, merge_flags))
     return listed.orderBy(key) if ordered else listed
 
 
@@ -45,9 +80,7 @@ def candidate_list(
     ordered: bool = True,
 ) -> DataFrame:
     """Candidates of all sources; the pathway-like sources are taken without synonyms."""
-    mapped = [apply_synonyms(s, mapping, key) for s in sources]
-    united = _united([*mapped, *unmapped_sources], key).dropna(subset=[key])
-    listed = any_flag_by_key(united, key)
+    listed = _listed(sources, unmapped_sources, mapping, key)
     return listed.orderBy(key) if ordered else listed
 
 

@@ -37,21 +37,25 @@ def first_match_dictionary(dictionaries: Sequence[DataFrame]) -> DataFrame:
     return union_first(dictionaries, ["input"], ["seq"]).select("input", "approved")
 
 
-def _known_symbols(mapping: DataFrame, column: str) -> DataFrame:
-    keys = mapping.select(F.col("input").alias(column))
-    values = mapping.select(F.col("approved").alias(column)).filter(f"{column} IS NOT NULL")
-    return keys.unionByName(values).distinct()
+def symbol_lookup(mapping: DataFrame) -> DataFrame:
+    """``(_name, _symbol)``: every name that the mapping knows, once, with the symbol it stands for.
 
-
-def _mapped(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
-    # With a dictionary small enough to broadcast this does not shuffle; the only shuffle of
-    # apply_synonyms is then its de-duplication, which ships one row per symbol and task.
-    table = mapping.select(F.col("input").alias(column), F.col("approved").alias("_approved"))
-    return (
-        df.join(table, column, "left")
-        .withColumn(column, F.coalesce("_approved", column))
-        .select(*df.columns)
+    An input stands for its approved symbol, or for itself without one; an approved symbol that is no
+    input stands for itself.  One inner join with this table both translates names and drops unknown ones.
+    """
+    inputs = mapping.filter("input IS NOT NULL").select(
+        F.col("input").alias("_name"), F.coalesce("approved", "input").alias("_symbol"), F.lit(0).alias("_rank")
     )
+    approved = mapping.filter("approved IS NOT NULL").select(
+        F.col("approved").alias("_name"), F.col("approved").alias("_symbol"), F.lit(1).alias("_rank")
+    )
+    return inputs.unionByName(approved).groupBy("_name").agg(F.min_by("_symbol", "_rank").alias("_symbol"))
+
+
+def resolve_symbols(df: DataFrame, mapping: DataFrame, column: str = "symbol") -> DataFrame:
+    """All rows whose symbol the mapping knows, with the approved symbol; repeated symbols stay."""
+    joined = df.join(symbol_lookup(mapping), F.col(column) == F.col("_name"))
+    return joined.withColumn(column, F.col("_symbol")).select(*df.columns)
 
 
 def apply_synonyms(
@@ -66,21 +70,16 @@ def apply_synonyms(
 
     With ``merge_flags`` the flags of all rows that map to one symbol are or-ed instead.
     """
+    known = resolve_symbols(df, mapping, column)
     if merge_flags:
-        table = mapping.select(F.col("input").alias(column), F.col("approved").alias("_approved"))
-        grouped = df.groupBy(column).agg(*[F.bool_or(c).alias(c) for c in flags])
-        mapped = grouped.join(table, column, "left").withColumn(column, F.coalesce("_approved", column))
-        known = mapped.join(_known_symbols(mapping, column), column, "left_semi")
         return known.groupBy(column).agg(*[F.bool_or(c).alias(c) for c in flags])
-    mapped = _mapped(df, mapping, column)
-    known = mapped.join(_known_symbols(mapping, column), column, "left_semi")
     return dedupe_first(known, [column], order)
 
 
 def removed_symbols(df: DataFrame, mapping: DataFrame, column: str = "symbol") -> DataFrame:
     """Symbols that ``apply_synonyms`` rejects."""
-    mapped = _mapped(df, mapping, column)
-    return mapped.join(_known_symbols(mapping, column), column, "left_anti").select(column).distinct()
+    known = symbol_lookup(mapping).select(F.col("_name").alias(column))
+    return df.select(column).join(known, column, "left_anti").distinct()
 
 
 def _translation(mapping: DataFrame, column: str) -> DataFrame:

@@ -169,40 +169,58 @@ PREDICTION_FILES = ("predictions.json", "default_metrics.json", "metrics.json",
 _PREDICTION_STRUCT = "STRUCT<y_true: ARRAY<INT>, y_pred: ARRAY<INT>, y_pred_proba: ARRAY<ARRAY<DOUBLE>>>"
 
 
+#: An older layout keeps one file per model in the run's own folder; the model is in the file name.
+ROOT_FILE = r"(?i)^nested_cv_(.+?)(?:_\d[^/]*)?\.json$"
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """One row per predicted example: ``(run, model, position, y_true, y_pred, proba)``.
 
     Of several prediction file names in one model folder the best one is used, with all files of the
-    same rank; ``position`` counts within a file.  Model folders with a variant spelling are unified.
+    same rank; ``position`` counts within a file.  Model folders with a variant spelling are unified.  Files
+    ``nested_cv_<model>...json`` in a run's own folder are used for models without a folder.  Part
+    files hold one record per line, either a document or one example as ``write_predictions_json`` writes it.
     """
     from labelweave.operators.ordering import join_null_safe
 
-    files = (
+    schema = f"test_predictions {_PREDICTION_STRUCT}, predictions {_PREDICTION_STRUCT}"
+    example = "position INT, y_true INT, y_pred INT, proba ARRAY<DOUBLE>"
+    whole = (
         spark.read.option("recursiveFileLookup", True)
-        .schema(f"test_predictions {_PREDICTION_STRUCT}, predictions {_PREDICTION_STRUCT}")
+        .schema(schema)
         .json(path, multiLine=True, pathGlobFilter="*.json")
-        .select("*", F.col("_metadata.file_path").alias("file_path"))
+        .filter(~F.col("_metadata.file_name").startswith("part-"))
+    )
+    lines = spark.read.option("recursiveFileLookup", True).schema(f"{schema}, {example}").json(path, pathGlobFilter="part-*.json")
+    files = whole.select("*", F.col("_metadata.file_path").alias("file_path")).unionByName(
+        lines.select("*", F.col("_metadata.file_path").alias("file_path")), allowMissingColumns=True
     )
     parts = F.split("file_path", "/")
     aliases = F.create_map(*[F.lit(x) for pair in MODEL_ALIASES.items() for x in pair])
-    folder = F.lower(_folder_name(F.element_at(parts, -2)))
-    priority = F.array_position(F.array(*[F.lit(f) for f in PREDICTION_FILES]), F.element_at(parts, -1))
+    name = F.url_decode(F.element_at(parts, -1))
+    at_root = name.rlike(ROOT_FILE)
+    folder = F.lower(F.when(at_root, F.regexp_extract(name, ROOT_FILE, 1)).otherwise(_folder_name(F.element_at(parts, -2))))
+    priority = F.array_position(F.array(*[F.lit(f) for f in PREDICTION_FILES]), name)
+    last = F.lit(len(PREDICTION_FILES) + 1)
     tagged = files.select(
-        _folder_name(F.element_at(parts, -3)).alias("run"),
+        F.when(at_root, _folder_name(F.element_at(parts, -2))).otherwise(_folder_name(F.element_at(parts, -3))).alias("run"),
         F.coalesce(F.try_element_at(aliases, folder), folder).alias("model"),
-        "file_path",
-        F.when(priority > 0, priority).otherwise(F.lit(len(PREDICTION_FILES) + 1)).alias("priority"),
+        F.when(priority > 0, priority).when(at_root, last + 1).otherwise(last).alias("priority"),
         F.coalesce("test_predictions", "predictions").alias("p"),
-    ).filter("p IS NOT NULL")
+        F.struct("position", "y_true", "y_pred", F.col("proba").alias("y_pred_proba")).alias("one"),
+    ).filter("p IS NOT NULL OR coalesce(one.y_true, one.y_pred) IS NOT NULL OR one.y_pred_proba IS NOT NULL")
     best = tagged.groupBy("run", "model").agg(F.min("priority").alias("priority"))
     # all files of the best name: a folder may hold one file per fold or task
     chosen = join_null_safe(tagged, best, ["run", "model", "priority"])
-    return chosen.select(
-        "run", "model", F.posexplode(F.arrays_zip("p.y_true", "p.y_pred", "p.y_pred_proba")).alias("position", "e")
-    ).select(
+    zipped = F.transform(
+        F.arrays_zip("p.y_true", "p.y_pred", "p.y_pred_proba"),
+        lambda e, i: F.struct(i.alias("position"), e["y_true"].alias("y_true"), e["y_pred"].alias("y_pred"), e["y_pred_proba"].alias("y_pred_proba")),
+    )
+    examples = F.when(F.col("p").isNotNull(), zipped).otherwise(F.array("one"))
+    return chosen.select("run", "model", F.explode(examples).alias("e")).select(
         "run",
         "model",
-        "position",
+        F.col("e.position").alias("position"),
         F.col("e.y_true").alias("y_true"),
         F.col("e.y_pred").alias("y_pred"),
         F.col("e.y_pred_proba").alias("proba"),

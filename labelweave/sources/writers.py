@@ -25,11 +25,12 @@ def write_tsv(df: DataFrame, path: str, order: Sequence[str] | None = None) -> N
 
 
 def write_predictions_json(df: DataFrame, path: str, partitions: Sequence[str] = ("run", "model")) -> None:
-    """Predictions as JSON rows partitioned by run and model.
+    """Predictions as JSON rows partitioned by run and model, which ``read_predictions`` reads back.
 
-    One row per example, so a model with very many predictions never becomes a single array.
+    One row per example, so a model with very many predictions never becomes a single array.  Rows are
+    rebalanced by folder first: a folder gets few files, a large one several.
     """
-    df.write.partitionBy(*partitions).json(path)
+    df.hint("rebalance", *[F.col(c) for c in partitions]).write.partitionBy(*partitions).json(path)
 
 
 def write_metric_tables(df: DataFrame, path: str, partitions: Sequence[str] = ("run", "model")) -> None:

@@ -146,6 +146,27 @@ def test_all_part_files_of_a_prediction_folder_are_read(spark, tmp_path):
     assert readers.read_predictions(spark, str(tmp_path)).count() == 4
 
 
+def test_written_predictions_are_read_back(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("r", "svc", i, i % 2, 1 - i % 2, [0.25, 0.75]) for i in range(10)] + [("s", "catboost", 0, 1, None, [0.5, 0.5])],
+        "run STRING, model STRING, position INT, y_true INT, y_pred INT, proba ARRAY<DOUBLE>",
+    )
+    writers.write_predictions_json(df, str(tmp_path / "out"))
+    back = readers.read_predictions(spark, str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_prediction_files_in_the_run_folder_stand_in_for_absent_models(spark, tmp_path):
+    run = tmp_path / "20250101_000000_x_optimized_binary"
+    (run / "svc").mkdir(parents=True)
+    text = '{"test_predictions": {"y_true": [%d], "y_pred": [0], "y_pred_proba": [[0.5, 0.5]]}}'
+    (run / "svc" / "metrics.json").write_text(text % 1)
+    (run / "nested_cv_svc_20250101.json").write_text(text % 0)
+    (run / "nested_cv_random_forest_20250101.json").write_text(text % 0)
+    out = readers.read_predictions(spark, str(tmp_path)).collect()
+    assert sorted((r.run, r.model, r.y_true) for r in out) == [(run.name, "random_forest", 0), (run.name, "svc", 1)]
+
+
 def test_unlabeled_rows_survive_splits_and_weights(spark):
     from labelweave.operators import splits
 
