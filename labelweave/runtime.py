@@ -12,7 +12,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Settings that suit skewed keys; the session owner may apply them.
 RECOMMENDED_CONF = {
@@ -71,12 +70,3 @@ def stage(df: DataFrame, name: str = "stage", rebalance: bool = False) -> DataFr
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Stage ``df`` and mark it for broadcast only when its row count is below ``max_rows``.
-
-    Beyond the bound the plain table is returned and the join shuffles.
-    """
-    table = stage(df, "side")
-    return F.broadcast(table) if table.count() <= max_rows else table

@@ -40,6 +40,13 @@ def test_scan_is_pruned_and_filtered(spark):
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_returnflag:string>" in plan
 
 
+def test_lists_are_resolved_in_one_pass(spark):
+    """All lists together: one shuffle for the dictionary and one per united list, then one for the labels."""
+    plan = _plan(entry.queries()["assign_labels"](spark, FOLDER))
+    assert len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", plan)) <= 6
+    assert plan.count("BroadcastExchange") <= 3
+
+
 def test_library_text():
     """No local checkpoints, no collection of row-scale frames, no cross joins."""
     for path in (ROOT / "labelweave").rglob("*.py"):
