@@ -150,12 +150,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         rows = np.flatnonzero(close.any(0) | close.any(1))
         return table.select(["cell", "i", "j", "cls", "block", "own", "side"]).take(pa.array(rows)) if len(rows) else None
 
-    # the dimensions of a block alone tell its share; blocks of other vector lengths have other cells
-    dims = [r[0] for r in classes.select(F.size("embedding")).distinct().limit(1000).collect()]
-    limits = {s.stop - s.start: 0.0 for d in dims for s in _blocks(d)}
-    for d in dims:
-        for s in _blocks(d):
-            limits[s.stop - s.start] = max(limits[s.stop - s.start], _squared_limit(threshold) * (s.stop - s.start) / d)
+    # a block's width tells its largest share, that of the shortest vectors with such a block; blocks of other vector lengths
+    # have other cells.  One row per width
+    size = F.size("embedding")
+    widths = F.array_distinct(F.filter(F.array(F.least(size, F.lit(BLOCK_DIMS)), size % BLOCK_DIMS), lambda w: w > 0))
+    shortest = classes.select(size.alias("d"), F.explode(widths).alias("width")).groupBy("width").agg(F.min("d").alias("d")).collect()
+    limits = {r.width: _squared_limit(threshold) * r.width / r.d for r in shortest}
     found = map_groups(pairs, ["cell", "i", "j"], narrow, "cell bigint, i int, j int, cls bigint, block int, own boolean, side int")
     full = stage(found, "candidates").join(classes.select("cls", "embedding", "copies"), "cls")
 
