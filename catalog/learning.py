@@ -1,6 +1,10 @@
 """Training, search and evaluation queries on the embedding matrix.
 
 Small trial counts and small models keep the queries quick; the rows are never cut.
+
+A fitted model is beyond SQL, so the training queries return every test row with what must hold for any model
+of the family: ``sound`` (class probabilities that sum to one, the likeliest class predicted) and ``learned`` (the
+training rows' own classes get more probability than the same probabilities would give by chance).
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 from catalog.balancing import matrix, unit_sql
 from catalog.base import MATRIX, query, rounded, rows, table, with_inputs
 from labelweave.learning import models, search, spaces
-from labelweave.operators import splits
+from labelweave.operators import clean, splits
 from labelweave.runtime import stage
 
 THREE = "SELECT CAST(vec_id AS STRING) AS key, embedding AS features, CASE WHEN label < 3 THEN 0 WHEN label < 6 THEN 1 ELSE 2 END AS label FROM {embeddings}"
@@ -22,10 +26,29 @@ def _split(df):
 
 
 def _scored(df, model, params, n_classes=2):
-    """Predictions of the test rows of a model fitted on the training rows."""
+    """Judged predictions of the test rows of a model fitted on the training rows."""
     train, test = _split(df)
-    out = models.predict(models.fit_model(model, train, params, n_classes), test)
-    return rounded(out.select("key", "y_true", "y_pred", F.array_max("proba").alias("confidence")))
+    scorer = models.fit_model(model, train, params, n_classes)
+    own = F.avg(F.try_element_at("proba", F.col("y_true") + 1))
+    by_chance = sum(
+        (F.avg((F.col("y_true") == c).cast("double")) * F.avg(F.try_element_at("proba", F.lit(c + 1))) for c in range(n_classes)), F.lit(0.0)
+    )
+    learned = bool(models.predict(scorer, train).agg((own > by_chance).alias("learned")).first().learned)
+    total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
+    sound = (
+        (F.size("proba") == n_classes)
+        & F.forall("proba", lambda p: p.between(0, 1))
+        & (F.abs(total - 1) < 1e-6)
+        & (F.try_element_at("proba", F.col("y_pred") + 1) == F.array_max("proba"))
+    )
+    return models.predict(scorer, test).select("key", "y_true", F.coalesce(sound, F.lit(False)).alias("sound"), F.lit(learned).alias("learned"))
+
+
+def held_sql(source: str, more: str = "") -> str:
+    """The test rows of the stratified holdout."""
+    numbered = "SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || key), key) AS rn, count(*) OVER (PARTITION BY label) AS nc FROM m"
+    body = f"SELECT key, label AS y_true, true AS sound, true AS learned{more} FROM n"
+    return with_inputs(f"{body} WHERE rn <= round(0.2::DOUBLE * nc)", m=source, n=numbered)
 
 
 @query(
@@ -41,44 +64,47 @@ def standardize(spark, folder):
     return rounded(scaled.select("key", F.posexplode("features").alias("position", "value")))
 
 
-@query("train_decision_tree")
+@query("train_decision_tree", held_sql(MATRIX))
 def train_decision_tree(spark, folder):
     return _scored(matrix(spark, folder), "decision_tree", {"max_depth": "6", "class_weight": "balanced", "criterion": "entropy"})
 
 
-@query("train_random_forest")
+@query("train_random_forest", held_sql(MATRIX))
 def train_random_forest(spark, folder):
     return _scored(matrix(spark, folder), "random_forest", {"n_estimators": "20", "max_depth": "6", "class_weight": "balanced"})
 
 
-@query("train_gbt")
+@query("train_gbt", held_sql(MATRIX))
 def train_gbt(spark, folder):
     return _scored(matrix(spark, folder), "gradient_boosting", {"n_estimators": "5"})
 
 
-@query("train_gbt_multiclass")
+@query("train_gbt_multiclass", held_sql(THREE))
 def train_gbt_multiclass(spark, folder):
     return _scored(rows(spark, folder, THREE), "gradient_boosting", {"n_estimators": "3"}, 3)
 
 
-@query("train_gbt_presets")
+@query(
+    "train_gbt_presets",
+    held_sql(MATRIX, ", unnest(['histogram_gradient_boosting', 'catboost', 'xgboost']) AS model"),
+)
 def train_gbt_presets(spark, folder):
     small = {"histogram_gradient_boosting": {"max_iter": "3"}, "catboost": {"iterations": "3"}, "xgboost": {"n_estimators": "3"}}
     parts = [_scored(matrix(spark, folder), m, p).withColumn("model", F.lit(m)) for m, p in small.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("train_mlp")
+@query("train_mlp", held_sql(MATRIX))
 def train_mlp(spark, folder):
     return _scored(matrix(spark, folder), "multi_layer_perceptron", {"layer_0_size": "16", "max_iter": "30"})
 
 
-@query("train_svm")
+@query("train_svm", held_sql(MATRIX))
 def train_svm(spark, folder):
     return _scored(matrix(spark, folder), "svc", {"kernel": "rbf", "class_weight": "balanced", "max_iter": "20"})
 
 
-@query("predict")
+@query("predict", held_sql(THREE))
 def predict(spark, folder):
     return _scored(rows(spark, folder, THREE), "random_forest", {"n_estimators": "10", "max_depth": "5"}, 3)
 
@@ -150,7 +176,7 @@ def nested_cv(spark, folder):
 @query("holdout_grid")
 def holdout_grid(spark, folder):
     params = [(1, {"max_depth": "3"}), (2, {"max_depth": "5", "class_weight": "balanced"})]
-    scored, _ = search.holdout_grid("decision_tree", matrix(spark, folder), params, ("none", "randomundersampler", "tomeklinks"))
+    scored, _ = search.holdout_grid("decision_tree", matrix(spark, folder), params)
     return rounded(scored)
 
 
@@ -167,13 +193,13 @@ def refit_best(spark, folder):
 @query("evaluate_default")
 def evaluate_default(spark, folder):
     given = {"decision_tree": {"max_depth": "4"}, "random_forest": {"n_estimators": "5", "max_depth": "4"}}
-    scored, _ = search.evaluate_default(given, matrix(spark, folder), n_folds=2)
+    scored, _ = search.evaluate_default(given, matrix(spark, folder))
     return rounded(scored)
 
 
 @query("feature_group_cv")
 def feature_group_cv(spark, folder):
-    return rounded(search.feature_group_cv({"decision_tree": {"max_depth": "4"}}, matrix(spark, folder), ["CNA", "Mutations"], n_folds=2))
+    return rounded(search.feature_group_cv({"decision_tree": {"max_depth": "4"}}, matrix(spark, folder), list(clean.FEATURE_GROUPS)))
 
 
 @query("run_status", "SELECT * FROM (VALUES ('decision_tree', 'ok'), ('unheard_of', 'error')) t(model, status)")

@@ -30,6 +30,7 @@ from labelweave.runtime import new_path
 from labelweave.sources import readers, writers
 
 CUSTOMERS = "SELECT c_name AS symbol, c_acctbal AS balance, c_nationkey AS nation FROM {customer}"
+FLAGGED_NAMES = "SELECT c_name AS symbol, c_acctbal > 7000 AS oncogene, c_acctbal < 500 AS tsg FROM {customer}"
 
 
 def _tsv(spark, folder):
@@ -68,10 +69,10 @@ def read_csv_skip_banner(spark, folder):
     )
 
 
-@query("read_name_list", "SELECT c_name AS symbol FROM customer WHERE c_mktsegment = 'BUILDING'")
+@query("read_name_list", "SELECT c_name AS symbol FROM customer")
 def read_name_list(spark, folder):
     path = new_path(spark, "names")
-    table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'").select("c_name").write.text(path)
+    table(spark, folder, "customer").select("c_name").write.text(path)
     return readers.read_name_list(spark, path)
 
 
@@ -107,7 +108,11 @@ def normalize_key_column(spark, folder):
     return readers.normalize_key_column(indexed).unionByName(readers.normalize_key_column(unnamed))
 
 
-@query("read_network_json", "SELECT l_partkey AS src_id, l_suppkey AS dst_id FROM lineitem")
+@query(
+    "read_network_json",
+    """SELECT 'edge' AS kind, l_partkey AS id, l_suppkey AS other_id, NULL AS name FROM lineitem
+    UNION ALL SELECT 'node', p_partkey, NULL, p_name FROM part""",
+)
 def read_network_json(spark, folder):
     path = new_path(spark, "aspects")
     lines = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
@@ -124,17 +129,21 @@ def read_network_json(spark, folder):
     )
     edges.write.json(path)
     nodes.write.mode("append").json(path)
-    return readers.read_network_json(spark, path, multi_line=False)[1]
+    nodes, edges = readers.read_network_json(spark, path, multi_line=False)
+    none = F.lit(None)
+    return edges.select(F.lit("edge").alias("kind"), F.col("src_id").alias("id"), F.col("dst_id").alias("other_id"), none.cast("string").alias("name")).union(
+        nodes.select(F.lit("node"), "id", none.cast("bigint"), "name")
+    )
 
 
-@query("missing_source_empty", with_inputs("SELECT symbol, oncogene, tsg FROM a", a=LIST_A))
+@query("missing_source_empty", plain(FLAGGED_NAMES))
 def missing_source_empty(spark, folder):
     missing = readers.read_or_empty(
         lambda: readers.read_delimited(spark, new_path(spark, "absent"), readers.LIST_SCHEMA),
         spark,
         readers.LIST_SCHEMA,
     )
-    return rows(spark, folder, LIST_A).select("symbol", "oncogene", "tsg").unionByName(missing)
+    return rows(spark, folder, FLAGGED_NAMES).unionByName(missing)
 
 
 @query("require_columns", "SELECT c_name, c_acctbal FROM customer")
@@ -149,12 +158,12 @@ def require_columns(spark, folder):
     "write_tsv",
     with_inputs(
         "SELECT symbol, CASE WHEN oncogene THEN 'Yes' ELSE 'No' END AS oncogene, CASE WHEN tsg THEN 'Yes' ELSE 'No' END AS tsg FROM a",
-        a=LIST_A,
+        a=FLAGGED_NAMES,
     ),
 )
 def write_tsv(spark, folder):
     path = new_path(spark, "list")
-    writers.write_tsv(rows(spark, folder, LIST_A).select("symbol", "oncogene", "tsg"), path, order=["symbol"])
+    writers.write_tsv(rows(spark, folder, FLAGGED_NAMES), path, order=["symbol"])
     return readers.read_delimited(spark, path, "symbol STRING, oncogene STRING, tsg STRING")
 
 

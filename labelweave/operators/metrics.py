@@ -109,7 +109,10 @@ def classification_metrics(df: DataFrame, groups: Sequence[str], average: str =
 
 
 def collapse_scores(df: DataFrame, groups: Sequence[str], positive: Column, score: Column) -> DataFrame:
-    """``(groups..., score, pos, neg)``: one row per distinct score."""
+    """``(groups..., score, pos, neg)``: one row per distinct score.
+
+    Examples without a score stay: they are one row, which ranks below every score.
+    """
     return df.groupBy(*groups, score.alias("score")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )

@@ -35,9 +35,9 @@ def write_predictions_json(df: DataFrame, path: str, partitions: Sequence[str] =
 
 def write_metric_tables(df: DataFrame, path: str, partitions: Sequence[str] = ("run", "model")) -> None:
     """Long metric rows ``(run, model, fold, split, metric, value)`` as partitioned Parquet."""
-    df.write.partitionBy(*partitions).parquet(path)
+    df.hint("rebalance", *[F.col(c) for c in partitions]).write.partitionBy(*partitions).parquet(path)
 
 
 def write_model_partitions(df: DataFrame, path: str, column: str = "model") -> None:
     """One folder per model (the tabular form of one sheet per model)."""
-    df.write.partitionBy(column).parquet(path)
+    df.hint("rebalance", F.col(column)).write.partitionBy(column).parquet(path)
