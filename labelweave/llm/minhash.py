@@ -27,6 +27,8 @@ from labelweave.runtime import stage
 
 #: Values of the shortest prefix of a region.
 DEPTH = 4
+#: Lengths of the prefixes by which a large family is taken down the first tree.
+PREFIXES = (4, 8, 16, 32)
 #: Chance that a pair at the threshold shares no region.
 MISS = 1e-6
 #: Standard deviations of the signature's estimate that a candidate may be below the threshold.
@@ -230,6 +232,34 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return wanted.join(sets, ["doc_id", "cls"]).dropDuplicates(["cls"])
 
 
+def _deal_families(sets: DataFrame, large: DataFrame) -> DataFrame:
+    """Add ``chunk`` (long): the rows of the ``large`` families in chunks of about ``CHUNK`` rows, all others in one.
+
+    Rows with a prefix in common are one subtree.  Small subtrees of one parent share chunks; a subtree above ``CHUNK``
+    is taken to the next prefix, and what still has the longest one in common is cut by a hash of the class.
+    """
+    size = lambda n: F.ceil(F.col(n) / CHUNK)
+    prefixes = [F.xxhash64(F.substring("sig", 1, 2 * k)).alias(f"p{k}") for k in PREFIXES]
+    rows = sets.select("cls", "family", *prefixes).join(large.select("family"), "family")
+    rows = stage(rows.withColumn("at", F.lit(0).cast("long")).withColumn("chunk", F.lit(None).cast("long")), "prefixes")
+    for k in PREFIXES:
+        below = rows.filter("chunk IS NULL").groupBy("family", f"p{k}").agg(F.count("*").alias("n"), F.first("at").alias("at"))
+        below = stage(below, "subtrees")
+        rest = below.filter(F.col("n") <= CHUNK).groupBy("family", "at").agg(F.sum("n").alias("rest"))
+        dense = below.filter(F.col("n") > CHUNK).select("family", f"p{k}", F.lit(True).alias("dense"))
+        rows = rows.join(rest, ["family", "at"], "left").join(dense, ["family", f"p{k}"], "left")
+        bin_of = F.xxhash64(F.lit(k), "at", F.pmod(F.col(f"p{k}"), size("rest")))
+        dealt = F.when(F.col("chunk").isNull() & F.col("dense").isNull(), bin_of)
+        rows = rows.withColumn("chunk", F.coalesce("chunk", dealt)).withColumn("at", F.when(F.col("chunk").isNull(), F.col(f"p{k}")).otherwise(F.col("at")))
+        rows = stage(rows.drop("rest", "dense"), "dealt")
+    rows = rows.select("cls", "family", F.coalesce("chunk", "at").alias("chunk"))
+    # chunks that are too large by now, with the longest prefix in common or by chance
+    counts = stage(rows.groupBy("family", "chunk").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * CHUNK), "full_chunks")
+    rows = rows.join(counts, ["family", "chunk"], "left")
+    chunk = F.when(F.col("n").isNull(), F.col("chunk")).otherwise(F.xxhash64("chunk", F.pmod(F.xxhash64("cls"), size("n"))))
+    return sets.join(stage(rows.select("cls", chunk.alias("chunk")), "chunks"), "cls", "left").withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("long")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: int = DEPTH) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
@@ -255,22 +285,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: i
     regions = stage(members.join(counts, "region"), "regions")
     candidates = stage(_candidates(regions, classes.select("cls", "sig"), least), "candidates")
     families = stage(components(candidates).select(F.col("vertex").alias("cls"), F.col("component").alias("family")), "families")
-    wanted = families.join(classes.select("cls", F.col("look_up").alias("doc_id"), "sig", "regions"), "cls")
-    # the first tree's region keeps classes with a long common prefix together
-    wanted = wanted.select("cls", "family", "doc_id", "sig", F.element_at("regions", 1).alias("near"))
+    wanted = families.join(classes.select("cls", F.col("look_up").alias("doc_id"), "sig"), "cls")
+    wanted = wanted.select("cls", "family", "doc_id", "sig")
     sets = stage(_with_sets(docs, stage(wanted, "wanted"), words).drop("doc_id"), "sets")
 
     family_sizes = stage(sets.groupBy("family").agg(F.count("*").alias("n")), "family_sizes")
-    dealt = deal_chunks(sets, ["family"], F.col("near"), family_sizes)
+    large = stage(family_sizes.filter(F.col("n") > CHUNK), "large_families")
+    split = not large.isEmpty()
+    dealt = _deal_families(sets, large) if split else sets.withColumn("chunk", F.lit(0).cast("long"))
     first = _confirmed(dealt, ["family", "chunk"], percent, least)
     links = first.filter("b IS NOT NULL")
-    large = stage(family_sizes.filter(F.col("n") > CHUNK), "large_families")
-    if not large.isEmpty():
+    if split:
         # representatives of the parts of all chunks of a large family meet
         heads = first.filter("b IS NULL").select(F.col("a").alias("cls"))
         second = sets.join(large.select("family"), "family").join(heads, "cls", "left_semi")
         sizes = second.groupBy("family").agg(F.count("*").alias("n"))
-        pairs = deal_pairs(deal_chunks(second, ["family"], F.xxhash64("cls"), stage(sizes, "head_sizes")))
+        pairs = deal_pairs(deal_chunks(second, ["family"], F.xxhash64("cls"), stage(sizes, "head_sizes"), CHUNK))
         links = stage(links.union(_confirmed(pairs, ["family", "i", "j"], percent, least).filter("b IS NOT NULL")), "links")
         # classes outside a family's main part meet all of it
         parts = components(links)
@@ -282,7 +312,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: i
         main = main.filter("outside > 0")
         chunked = inside.join(main, "family").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("others", F.ceil(F.col("outside") / CHUNK).cast("int"))
         own = F.pmod(F.xxhash64("cls"), F.col("others")).cast("int")
-        place = F.pmod(F.col("near"), F.col("chunks")).cast("int")
+        # not by the prefix: a dense subtree would be one chunk
+        place = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("chunks")).cast("int")
         columns = ["family", "cls", "sig", "shingles", "part"]
         inner = chunked.select(*columns, place.alias("j"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"), F.lit(0).alias("side"))
         outer = chunked.filter("part <> main").select(

@@ -366,6 +366,33 @@ def test_minhash_dense_regions(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_minhash_groups_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", 16)
+    sizes, laid_out = {}, minhash.map_groups
+
+    def counted(rows, keys, *more):
+        n = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        sizes[tuple(keys)] = max(n, sizes.get(tuple(keys), 0))
+        return laid_out(rows, keys, *more)
+
+    monkeypatch.setattr(minhash, "map_groups", counted)
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(300)]
+    texts = []
+    for i in range(400):
+        # one word in most rows, thirteen in some: they share the first region, but are outside the main part
+        own = list(base)
+        for at in rng.sample(range(300), 13 if i % 8 == 0 else 1):
+            own[at] = word()
+        texts.append(" ".join(own))
+    want, _ = _plain_components(texts, 3, 85)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts), 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 1
+    # a pair of chunks has two of them, each somewhat above its mean
+    assert ("family", "i", "j") in sizes and max(sizes.values()) <= 5 * 16
+
+
 def test_minhash_empty_table(spark):
     assert minhash.near_duplicates(documents(spark, []), 3, 85).count() == 0
 
