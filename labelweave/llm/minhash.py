@@ -260,15 +260,8 @@ def _deal_families(sets: DataFrame, large: DataFrame) -> DataFrame:
     return sets.join(stage(rows.select("cls", chunk.alias("chunk")), "chunks"), "cls", "left").withColumn("chunk", F.coalesce("chunk", F.lit(0).cast("long")))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: int = DEPTH) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every document.
-
-    Documents are linked when ``100 * intersection >= percent * union`` of their sets of different shingles of ``words`` words (fewer words:
-    the whole sequence).  ``component_id`` is the smallest ``doc_id`` that links reach, ``kept`` marks that document.  Null and
-    empty texts, and texts of white space only, have an empty set and are linked with nothing.  Rows that repeat an id and a text
-    share a component; a row with a null id is a document of its own unless it is linked, and is never kept beside one with an id.
-    Other columns are ignored.
-    """
+def _linked(docs: DataFrame, words: int, percent: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and of every class ``cls, component_id, keep`` (id and class of the row that stays)."""
     trees = trees_for(percent, depth)
     t = percent / 100
     least = t - SLACK * math.sqrt(t * (1 - t) / (trees * depth))
@@ -323,20 +316,73 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: i
         links = links.union(third.filter("b IS NOT NULL"))
     parts = components(links)
     reach = classes.join(parts, F.col("cls") == F.col("vertex"))
-    least_of = reach.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    linked = stage(reach.select("cls", "component").join(least_of, "component").select("cls", "component_id"), "linked")
-    own = classes.select("cls", "least_id")
-    named = own.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "least_id").alias("component_id"))
+    # the smallest id, null only if there is no other, with the smallest class that has it
+    first_of = lambda: F.struct(F.col("least_id").isNull().alias("unnamed"), F.col("least_id").alias("doc_id"), "cls")
+    least_of = reach.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min(first_of()).alias("first"))
+    linked = stage(reach.select("cls", "component").join(least_of, "component").select("cls", "component_id", "first"), "linked")
+    own = classes.select("cls", "least_id", first_of().alias("own"))
+    keep = F.coalesce("first", "own").alias("keep")
+    return signed, own.join(linked, "cls", "left").select("cls", F.coalesce("component_id", "least_id").alias("component_id"), keep)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: int = DEPTH) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every document.
+
+    Documents are linked when ``100 * intersection >= percent * union`` of their sets of different shingles of ``words`` words (fewer words:
+    the whole sequence).  ``component_id`` is the smallest ``doc_id`` that links reach, ``kept`` marks that document.  Null and
+    empty texts, and texts of white space only, have an empty set and are linked with nothing.  Rows that repeat an id and a text
+    share a component; a row with a null id is a document of its own unless it is linked, and is never kept beside one with an id.
+    Other columns are ignored.
+    """
+    signed, named = _linked(docs, words, percent, depth)
     out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component_id").isNull()).alias("kept"))
 
 
+def _with_class(docs: DataFrame, words: int) -> DataFrame:
+    """All columns of ``docs`` and ``_cls``, the key of the row's set (null if it is empty)."""
+
+    def make():
+        hashes = _Words()
+
+        def run(texts):
+            sets = [shingle_set(t, words, hashes) for t in texts]
+            return {"_cls": [_set_key(s) if len(s) else None for s in sets]}
+
+        return run
+
+    return map_texts(docs, make, "_cls bigint", tuple(docs.columns))
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, without those that are linked to one with a smaller id.
+    """The documents, all columns, with one row of each group of linked ones: a row with the smallest id, null only if all ids are.
 
-    The ids to drop are broadcast up to ``BROADCAST_IDS`` of them; beyond it the join shuffles.
+    Rows are decided one by one: exact copies with one id leave one row, and a row that repeats an id stays unless it is linked
+    itself.  Rows with an empty set are linked with nothing and all stay.  Only rows whose id is repeated, or null, are shingled
+    again to tell them apart.  The ids are broadcast up to ``BROADCAST_IDS`` of them; beyond it the join shuffles.
     """
-    result = stage(near_duplicates(docs, words, percent).filter(~F.col("kept")).select("doc_id").dropna().distinct(), "dropped")
-    side = F.broadcast(result) if result.count() <= BROADCAST_IDS else result
-    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    signed, named = _linked(docs, words, percent, DEPTH)
+    rows = signed.select("doc_id", "cls").join(named, "cls", "left")
+    stays = F.col("cls").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("cls") == F.col("keep.cls")))
+    kinds = stage(rows.select("doc_id", "cls", stays.alias("stays")).groupBy("doc_id", "cls", "stays").agg(F.count("*").alias("n")), "row_kinds")
+    kept = F.sum(F.when(F.col("stays"), F.col("n")).otherwise(0)).alias("kept")
+    most = F.max(F.when(F.col("stays") & F.col("cls").isNotNull(), F.col("n")).otherwise(0)).alias("most")
+    ids = kinds.groupBy("doc_id").agg(F.sum("n").alias("n"), kept, most).filter("kept < n OR most > 1")
+    ids = stage(ids.select("doc_id", (F.col("kept") > 0).alias("mixed")), "dropped")
+
+    def side(frame: DataFrame) -> DataFrame:
+        return F.broadcast(frame) if frame.count() <= BROADCAST_IDS else frame
+
+    same = lambda other: docs["doc_id"].eqNullSafe(other["doc_id"])
+    found = side(ids)
+    out = docs.join(found, same(found), "left_anti").select(*docs.columns)
+    mixed = ids.filter("mixed").select("doc_id")
+    if mixed.isEmpty():
+        return out
+    found = side(mixed)
+    again = stage(_with_class(docs.join(found, same(found), "left_semi").select(*docs.columns), words), "repeated_ids")
+    keepers = stage(kinds.filter("stays AND cls IS NOT NULL").join(mixed, kinds["doc_id"].eqNullSafe(mixed["doc_id"]), "left_semi"), "keepers")
+    chosen = again.join(keepers, (again["_cls"] == keepers["cls"]) & again["doc_id"].eqNullSafe(keepers["doc_id"]), "left_semi")
+    one = chosen.dropDuplicates(["doc_id", "_cls"])
+    return out.unionByName(again.filter("_cls IS NULL").unionByName(one).select(*docs.columns))

@@ -393,6 +393,22 @@ def test_minhash_groups_are_bounded(spark, monkeypatch):
     assert ("family", "i", "j") in sizes and max(sizes.values()) <= 5 * 16
 
 
+def test_near_duplicates_are_dropped_row_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = a + " end"
+    rows = [
+        (1, a), (1, a),  # exact copies with one id
+        (2, near), (2, b),  # only the first row of id 2 is linked
+        (None, near), (None, c), (None, c), (3, ""), (3, None),
+        (4, d), (None, d),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOC)
+    got = minhash.drop_near_duplicates(docs)
+    assert got.columns == docs.columns
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted([(1, a), (2, b), (None, c), (3, ""), (3, None), (4, d)], key=key)
+
+
 def test_minhash_empty_table(spark):
     assert minhash.near_duplicates(documents(spark, []), 3, 85).count() == 0
 
