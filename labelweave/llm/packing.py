@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from labelweave.llm.tokens import MarkedIds, PieceIds, load_added, load_ranks
+
 #: Context sizes, powers of two.
 TIERS = (128, 256, 512, 1024)
 #: Documents' rests that a task holds before it packs them.
@@ -146,11 +148,12 @@ def pack_documents(
     tiers: tuple[int, ...] = TIERS,
     end_id: int = 0,
     with_ids: bool = False,
+    added: str | None = None,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_id``.
 
     ``tokenizer`` is the rank file of a byte-level BPE vocabulary; a document's ids are followed by ``end_id``.
-    ``with_ids`` adds the piece's ids.  Each task packs the documents that it reads in one pass with bounded memory, so
+    ``added`` is a tokenizers JSON file whose added tokens are matched in the texts.  ``with_ids`` adds the piece's ids.  Each task packs the documents that it reads in one pass with bounded memory, so
     there is no shuffle and no hot key; numbers of sequences and steps carry the task's number.  A null or empty text is
     one ``end_id``; rows are independent, so repeated or null ids are packed row by row.
     """
@@ -165,14 +168,13 @@ def pack_documents(
         schema = schema.add("ids", "binary")
     arrow = to_arrow_schema(schema)
     end = end_id.to_bytes(4, "little")
+    marks = load_added(added) if added else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from labelweave.llm.tokens import PieceIds, load_ranks
-
         base = TaskContext.get().partitionId() << 36
-        encode = PieceIds(load_ranks(tokenizer), pattern).encode
+        encode = MarkedIds(PieceIds(load_ranks(tokenizer), pattern), marks).encode
         packer = Packer(tiers)
 
         def table(pieces):

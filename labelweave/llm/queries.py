@@ -51,7 +51,9 @@ def _language(spark, folder):
 @query("op4_packing_tiers")
 def _packing(spark, folder):
     docs = table(spark, folder, "documents")
-    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    packed = packing.pack_documents(
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=public_tokenizers.path("byte_bpe_50k.json")
+    )
     return packed
 
 

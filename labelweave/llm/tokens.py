@@ -7,6 +7,7 @@ cut there and the ids of the cuts follow each other.  Texts repeat most of their
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 #: Cuts whose values a task remembers.
@@ -53,3 +54,30 @@ class PieceIds(dict):
     def encode(self, text: str) -> bytes:
         pieces = cut(text)
         return self.whole(text) if pieces is None else b"".join(map(self.__getitem__, pieces))
+
+
+def load_added(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizers JSON file, which stand for their exact text wherever it occurs."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that match their exact text are known")
+    return {t["content"]: t["id"] for t in added}
+
+
+class MarkedIds:
+    """Ids of texts in which added tokens stand for themselves; the texts between them are encoded by ``pieces``."""
+
+    def __init__(self, pieces: PieceIds, added: dict[str, int]):
+        self._pieces, self._added = pieces, {t: i.to_bytes(4, "little") for t, i in added.items()}
+        # the longest one first where several begin
+        self._marks = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) if added else r"(?!)")
+
+    def encode(self, text: str) -> bytes:
+        out, at = [], 0
+        for mark in self._marks.finditer(text):
+            if mark.start() > at:
+                out.append(self._pieces.encode(text[at : mark.start()]))
+            out.append(self._added[mark.group()])
+            at = mark.end()
+        return b"".join([*out, self._pieces.encode(text[at:])]) if at else self._pieces.encode(text)

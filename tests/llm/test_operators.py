@@ -142,6 +142,23 @@ def test_ids_equal_the_library(tables, encoding):
         assert (n, decimal, decoded) == (len(want), " ".join(map(str, want)).encode(), text.encode())
 
 
+def test_packed_ids_equal_the_library_with_its_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [*HARD, f"a {mark} x", mark, mark * 3, f"a  {mark}  b\n\n{mark}\n", f"{mark[:-1]} {mark} >", f"<|<|{mark}é", f" {mark} "]
+    want = [[*e.ids, 0] for e in other.encode_batch(texts, add_special_tokens=False)]
+    assert want[len(HARD)] == [64, 220, 50256, 2124, 0]
+    pieces = {}
+    packed = packing.pack_documents(documents(spark, texts), RANKS, public_tokenizers.PATTERN, with_ids=True, added=public_tokenizers.path("byte_bpe_50k.json"))
+    for r in packed.collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    for i, ids in enumerate(want):
+        assert [k for r in sorted(pieces[i], key=lambda r: r.start) for k in memoryview(bytes(r.ids)).cast("I")] == ids
+        assert {r.doc_tokens for r in pieces[i]} == {len(ids)}
+
+
 def test_bpe_query_columns(spark, encoding):
     got = {r.doc_id: r for r in bpe.code_documents(documents(spark, AWKWARD), RANKS, public_tokenizers.PATTERN).collect()}
     for i, text in enumerate(AWKWARD):
