@@ -1,14 +1,16 @@
-"""Near-duplicate documents by an LSH forest of MinHash signatures, confirmed on the full shingle sets.
+"""Near-duplicate documents by MinHash bands, confirmed on the full shingle sets.
 
 1. Every document gets its set of word shingles (64-bit hashes), a key of the whole set and a MinHash
    signature.  Documents with equal sets are one class from here on.
-2. Each tree of the forest sorts the classes by its own order of signature values.  Classes with the tree's
-   minimum prefix in common are a region.  In a small region all classes meet; a dense region is taken down its tree: rows
-   with the longest prefix in common share a chunk.  Similar signatures (or a dense region) make candidates.
-3. Candidates that hang together are a family; the sets of a family meet in chunks and links are confirmed exactly, the likeliest
+2. The signature is cut into bands (called trees) of a fixed number of values; classes with a band in common are a region.
+   There are no sorted orders and no search for the longest common prefix among candidates: going deeper in a dense
+   region would lose links that only the full sets decide.  In a small region all classes meet and similar signatures make
+   candidates; in a dense one every class is linked to the smallest one without a test, to be confirmed with its family.
+3. Candidates that hang together are a family; the sets of a family meet in chunks, a large family
+   taken down by prefixes of the signature so that rows with a long one in common share a chunk, and links are confirmed exactly, the likeliest
    first, leaving out pairs that are connected already.  Families of several chunks go on with representatives of their
    parts, and finally every class outside a family's main part meets all chunks of the family, so no pair of
-   different parts that the forest found is left unseen.
+   different parts that the bands found is left unseen.
 """
 
 from __future__ import annotations
@@ -152,7 +154,8 @@ def _candidates(regions: DataFrame, signed: DataFrame, least: float) -> DataFram
 
     found = map_groups(small.select("region", "cls", "sig"), ["region"], meet, "a bigint, b bigint")
     dense = regions.filter(F.col("n") > CHUNK)
-    hubs = dense.groupBy("region").agg(F.min("cls").alias("a"))
+    # staged, so that its size is seen: by a shuffle a dense region would be one task's
+    hubs = stage(dense.groupBy("region").agg(F.min("cls").alias("a")), "hubs")
     stars = dense.join(hubs, "region").select("a", F.col("cls").alias("b")).filter("a <> b")
     return found.union(stars).distinct()
 
