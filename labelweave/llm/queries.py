@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labelweave.llm import bpe, embeddings, language, minhash, packing, quality, secrets, simhash, toxicity, warc
+from labelweave.llm import bpe, embeddings, language, minhash, packing, quality, secrets, simhash, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,6 +127,11 @@ def _embeddings(spark, folder):
     return embeddings.near_vectors(table(spark, folder, "embeddings"), 0.98)
 
 
+@query("op11_shifted_cholesky")
+def _whitening(spark, folder):
+    return whitening.whiten_vectors(table(spark, folder, "embeddings"))
+
+
 @query("pipeline")
 def _pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
