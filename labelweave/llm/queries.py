@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labelweave.llm import bpe, embeddings, language, minhash, packing, quality, secrets, simhash, toxicity, warc, whitening
+from labelweave.llm import bpe, embeddings, language, minhash, packing, quality, secrets, simhash, spelling, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,6 +132,39 @@ def _whitening(spark, folder):
     return whitening.whiten_vectors(table(spark, folder, "embeddings"))
 
 
+@query(
+    "op12_sorted_spelling",
+    """WITH RECURSIVE runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents),
+counted AS (SELECT doc, run, count(*) AS n, hex(encode(doc || ':' || run)) AS bytes FROM runs WHERE length(run) >= 7 GROUP BY doc, run),
+hashed AS (
+    -- the checksum's remainder takes in one bit after the other, the lowest of each byte first
+    SELECT run, n, xor(list_reduce(list_transform(range(0, 4 * length(bytes)),
+        lambda k: (('0x' || substr(bytes, 1 + 2 * (k // 8)::INT, 2))::BIGINT >> (k % 8)::INT) & 1),
+        lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM counted),
+damaged AS (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n AS times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+holes AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i, left(word, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM words),
+near AS (
+    SELECT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT w.word, h.word, h.n FROM words w JOIN holes h ON h.rest = w.word
+    UNION SELECT h.word, w.word, w.n FROM words w JOIN holes h ON h.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top, arg_min(other, (-n, other)) AS other FROM near GROUP BY word),
+formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN other END AS form, CASE WHEN top >= 10 * w.n THEN top END AS form_n
+    FROM words w LEFT JOIN best b ON b.word = w.word),
+walk AS (
+    SELECT word, word AS root FROM formed
+    UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n FROM walk JOIN formed f ON f.word = walk.word
+WHERE walk.root IN (SELECT word FROM formed WHERE form IS NULL)""",
+)
+def _spelling(spark, folder):
+    return spelling.spelling_groups(table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def _pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
