@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labelweave.llm import bpe, embeddings, language, minhash, packing, quality, secrets, simhash, spelling, toxicity, warc, whitening
+from labelweave.llm import bpe, embeddings, language, minhash, packing, quality, secrets, simhash, spelling, toxicity, warc, webpages, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,6 +165,18 @@ def _spelling(spark, folder):
     return spelling.spelling_groups(table(spark, folder, "documents"))
 
 
+@query(
+    "op13_site_style_tree",
+    # the pages of the given tables hold one article element each, with headings, paragraphs, line breaks and bold text
+    """SELECT page_id, url, text, length(text) AS n_chars FROM (
+    SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(
+        regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'),
+        '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages)""",
+)
+def _webpages(spark, folder):
+    return webpages.extract_pages(table(spark, folder, "pages"))
+
+
 @query("pipeline")
 def _pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
