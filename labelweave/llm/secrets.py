@@ -61,8 +61,29 @@ ALLOWED = (
 KINDS = (*BASE, *(c.name for c in CLASSES))
 
 
+#: Elements of an array that grows while it is folded; full ones are set aside, so that none is copied over and over.
+_PART = 256
+
+
+def _running(array: Column, kind: str, emit, advance) -> Column:
+    """Array of ``emit(at, x)``, of type ``kind``, for the elements ``x``; ``at`` starts at 0 and becomes ``advance(at, x)``."""
+    empty, none = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def step(state, x):
+        part = F.concat(state["part"], F.array(emit(state["at"], x)))
+        full = F.size(state["part"]) >= _PART - 1
+        return F.struct(
+            advance(state["at"], x).alias("at"),
+            F.when(full, F.concat(state["parts"], F.array(part))).otherwise(state["parts"]).alias("parts"),
+            F.when(full, empty).otherwise(part).alias("part"),
+        )
+
+    begin = F.struct(F.lit(0).alias("at"), none.alias("parts"), empty.alias("part"))
+    return F.aggregate(array, begin, step, lambda s: F.flatten(F.concat(s["parts"], F.array(s["part"]))))
+
+
 def _positions(text: Column, pattern: str, groups: tuple[int, ...]) -> Column:
-    """Array of ``(start, end, match, group...)`` of the leftmost non-overlapping matches, in code points.
+    """Array of ``(start, end, text, value)`` of the leftmost non-overlapping matches, in code points.
 
     The pieces between the matches come from splitting by the same pattern; starts are running sums of the
     lengths of pieces and matches.
@@ -71,17 +92,13 @@ def _positions(text: Column, pattern: str, groups: tuple[int, ...]) -> Column:
         F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(F.regexp_extract_all(text, F.lit(pattern), 0)), F.lit(0))).alias("piece"),
         *[F.regexp_extract_all(text, F.lit(pattern), g).alias(f"g{g}") for g in groups],
     )
-    empty = F.array().cast("array<struct<start:int,end:int,text:string,value:string>>")
     value = f"g{groups[-1]}"
 
-    def step(state, x):
-        start = state["at"] + F.length(x["piece"])
-        end = start + F.length(x["g0"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["g0"].alias("text"), x[value].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def emit(at, x):
+        start = at + F.length(x["piece"])
+        return F.struct(start.alias("start"), (start + F.length(x["g0"])).alias("end"), x["g0"].alias("text"), x[value].alias("value"))
 
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.aggregate(found, begin, step, lambda s: s["spans"])
+    return _running(found, "struct<start:int,end:int,text:string,value:string>", emit, lambda at, x: at + F.length(x["piece"]) + F.length(x["g0"]))
 
 
 _SPANS = "array<struct<start:int,end:int,kind:string,rank:int>>"
@@ -89,7 +106,8 @@ _SPANS = "array<struct<start:int,end:int,kind:string,rank:int>>"
 
 def _base_spans(text: Column, kind: str) -> Column:
     pattern, group, least = BASE[kind]
-    spans = _positions(text, pattern, (0, group) if group else (0,))
+    # a run of hexadecimal digits that is too short can be left out of the search: no match can begin inside a longer one
+    spans = _positions(text, _HINT[kind] + "[0-9a-f]*" if kind == "hex" else pattern, (0, group) if group else (0,))
     firm = F.filter(spans, lambda s: F.length(s["value"]) >= least)
     rank = KINDS.index(kind)
     made = F.transform(firm, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.lit(rank).alias("rank")))
@@ -99,7 +117,6 @@ def _base_spans(text: Column, kind: str) -> Column:
 def window_range(candidate: Column, kind: CharacterClass) -> Column:
     """``(first, last)`` in code points: from the first window of high entropy to the end of the last; -1 if there is none."""
     w = kind.window
-    chars = F.filter(F.split(candidate, ""), lambda c: c != "")
     logs = F.array(*[F.lit(0.0 if n < 2 else n * math.log2(n)) for n in range(w + 2)])
     # the entropy of a window is log2(w) - sum(n log2 n) / w
     most = w * (math.log2(w) - kind.bits) + 1e-9
@@ -107,28 +124,31 @@ def window_range(candidate: Column, kind: CharacterClass) -> Column:
         F.array_repeat(F.lit(0), len(kind.alphabet)).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last")
     )
 
-    def step(state, i):
-        place = lambda at: F.instr(F.lit(kind.alphabet), F.element_at(chars_of, at + 1))
-        came = place(i)
-        went = F.when(i >= w, place(i - w)).otherwise(F.lit(0))
-        n_came, n_went = F.element_at(state["counts"], came), F.when(went > 0, F.element_at(state["counts"], F.greatest(went, F.lit(1)))).otherwise(0)
-        value = lambda n: F.element_at(logs, n + 1)
-        moved = F.when(went == 0, value(n_came + 1) - value(n_came)).when(
-            went == came, F.lit(0.0)
-        ).otherwise(value(n_came + 1) - value(n_came) + value(F.greatest(n_went, F.lit(1)) - 1) - value(n_went))
-        counts = F.transform(state["counts"], lambda n, k: n + F.when(k + 1 == came, 1).otherwise(0) - F.when(k + 1 == went, 1).otherwise(0))
-        total = state["total"] + moved
-        high = (i >= w - 1) & (total <= most)
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("total"),
-            F.when((state["first"] < 0) & high, i - w + 1).otherwise(state["first"]).alias("first"),
-            F.when(high, i + 1).otherwise(state["last"]).alias("last"),
-        )
-
-    chars_of = chars
-    steps = F.sequence(F.lit(0), F.size(chars) - 1)
-    return F.aggregate(steps, begin, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    def fold(chars):
+        def step(state, i):
+            place = lambda at: F.instr(F.lit(kind.alphabet), F.element_at(chars, at + 1))
+            came = place(i)
+            went = F.when(i >= w, place(i - w)).otherwise(F.lit(0))
+            n_came, n_went = F.element_at(state["counts"], came), F.when(went > 0, F.element_at(state["counts"], F.greatest(went, F.lit(1)))).otherwise(0)
+            value = lambda n: F.element_at(logs, n + 1)
+            moved = F.when(went == 0, value(n_came + 1) - value(n_came)).when(
+                went == came, F.lit(0.0)
+            ).otherwise(value(n_came + 1) - value(n_came) + value(F.greatest(n_went, F.lit(1)) - 1) - value(n_went))
+            counts = F.transform(state["counts"], lambda n, k: n + F.when(k + 1 == came, 1).otherwise(0) - F.when(k + 1 == went, 1).otherwise(0))
+            total = state["total"] + moved
+            high = (i >= w - 1) & (total <= most)
+            return F.struct(
+                F.when(came == went, state["counts"]).otherwise(counts).alias("counts"),
+                total.alias("total"),
+                F.when((state["first"] < 0) & high, i - w + 1).otherwise(state["first"]).alias("first"),
+                F.when(high, i + 1).otherwise(state["last"]).alias("last"),
+            )
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 1), begin, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+    # the characters are split once and bound: an expression inside the fold would be computed anew at each step
+    chars = F.filter(F.split(candidate, ""), lambda c: c != "")
+    return F.element_at(F.transform(F.array(chars), fold), 1)
 
 
 def _entropy_spans(text: Column, kind: CharacterClass, base: Column) -> Column:
@@ -178,6 +198,10 @@ def secret_report(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Code points of the blocks in which a text is cut, so that a piece is taken from the blocks around it alone.
+_BLOCK = 1024
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every found span replaced by ``mark``; ``n_chars`` follows the text where there is such a column.
 
@@ -188,17 +212,26 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     aside = {c: f"_aside_{c}" for c in columns if c in ("base", "added")}
     found = find_secrets(docs.withColumnsRenamed(aside))
     spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    # what stays before each span, or nothing where spans overlap; at the end what stays after the last one
+    length = F.length("text")
+    ends = F.concat(spans, F.array(F.struct(length.alias("start"), length.alias("end"))))
+    kind = "struct<from:int,until:int,first:boolean>"
+    stays = _running(
+        ends,
+        kind,
+        lambda at, s: F.struct(at.alias("from"), s["start"].alias("until"), (s["start"] >= at).alias("first")),
+        lambda at, s: F.greatest(at, s["end"]),
+    )
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_BLOCK}}}"), 0)
 
-    def step(state, s):
-        overlaps = s["start"] < state["at"]
-        kept = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        return F.struct(
-            F.when(overlaps, state["out"]).otherwise(F.concat(state["out"], kept, F.lit(mark))).alias("out"),
-            F.greatest(state["at"], s["end"]).alias("at"),
-        )
+    def cut(held):
+        def piece(s):
+            near = F.slice(held, F.floor(s["from"] / _BLOCK).cast("int") + 1, F.floor(s["until"] / _BLOCK).cast("int") - F.floor(s["from"] / _BLOCK).cast("int") + 1)
+            return F.substring(F.array_join(near, ""), s["from"] % _BLOCK + 1, s["until"] - s["from"])
+
+        return F.array_join(F.transform(F.filter(stays, lambda s: s["first"]), piece), mark)
 
-    rebuilt = F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    rebuilt = F.element_at(F.transform(F.array(blocks), cut), 1)
     any_span = F.size(F.concat("base", "added")) > 0
     out = found.withColumn("text", F.when(F.col("text").isNotNull() & any_span, rebuilt).otherwise(F.col("text")))
     if "n_chars" in columns:
