@@ -12,8 +12,45 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from labelweave.runtime import stage
 
-#: Documents that one call of a batch function sees at most.
-BATCH_ROWS = 512
+#: Documents, and bytes of text, that one call of a batch function sees at most; one text is never cut here.
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
+#: What an entry of a cache takes besides its key's and value's bytes.
+ENTRY_BYTES = 160
+
+
+class Remembered(dict):
+    """Values by key for a task, of at most about ``budget`` bytes: it forgets everything when it is full.
+
+    Subclasses compute a missing value and give it to :meth:`keep`.
+    """
+
+    def __init__(self, budget: int):
+        super().__init__()
+        self.budget, self.used = budget, 0
+
+    def keep(self, key, value, size: int):
+        size += ENTRY_BYTES
+        if size <= self.budget >> 3:
+            if self.used + size > self.budget:
+                self.clear()
+                self.used = 0
+            self.used += size
+            self[key] = value
+        return value
+
+
+def small_batches(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes of text, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        end = min(at + BATCH_ROWS, max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def fold(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
@@ -40,7 +77,8 @@ def map_texts(
     as empty ones, or as None with ``nulls``) and returns one list per new column.  Other columns of
     ``docs`` are pruned from the scan.
     """
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    # kept columns may have any name, so all are read by their place
+    source = docs.select(*keep, F.col(text)).toDF(*[f"c{i}" for i in range(len(keep))], "_text")
     added = T._parse_datatype_string(columns)
     schema = T.StructType([*docs.select(*keep).schema.fields, *added.fields])
     arrow = to_arrow_schema(schema)
@@ -48,12 +86,11 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in small_batches(batch, "_text"):
                 texts = part.column("_text").to_pylist()
                 out = function(texts if nulls else [t or "" for t in texts])
-                arrays = [part.column(k).cast(arrow.field(k).type) for k in keep]
-                arrays += [pa.array(out[f.name], arrow.field(f.name).type) for f in added.fields]
+                arrays = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
+                arrays += [pa.array(out[f.name], arrow.field(len(keep) + i).type) for i, f in enumerate(added.fields)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return source.mapInArrow(run, schema)
@@ -67,8 +104,7 @@ def filter_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in small_batches(batch, text):
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 yield part.filter(pa.array(function(texts), pa.bool_()))
 

@@ -8,6 +8,7 @@ sets of the most frequent languages.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import filter_texts, fold, map_texts
+from labelweave.llm.common import filter_texts, fold, map_texts, small_batches
 from labelweave.runtime import stage
 
 #: Trigrams are hashed to so many bits; pairs of bytes are kept exactly.
@@ -29,13 +30,44 @@ ROUNDS = 8
 MIN_SHARE = 0.01
 UNKNOWN = "und"
 
+#: Code points of a text that are scored at a time, and words whose shares are added at a time.
+WINDOW, WORDS = 1 << 17, 1 << 15
+
 _LETTER = regex.compile(r"\p{L}")
+_BETWEEN = re.compile(r"[^A-Za-z\x80-\U0010ffff]")
 #: ASCII letters in lower case, other ASCII bytes as a space, the rest as they are
 _FOLDED = bytes(
     i + 32 if 65 <= i <= 90 else i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256)
 )
 
 
+def windows(text: str) -> Iterator[str]:
+    """A text in parts of about ``WINDOW`` code points that end between words; a single word that is longer than another window is parted."""
+    at = 0
+    while at < len(text):
+        end = at + WINDOW
+        if end < len(text):
+            gap = _BETWEEN.search(text, end, end + WINDOW)
+            end = gap.end() if gap else end + WINDOW
+        yield text[at:end]
+        at = end
+
+
+def _runs(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """Windows of the texts, with each one's text number, in lists of about ``WINDOW`` code points."""
+    held, owner, size = [], [], 0
+    for i, text in enumerate(texts):
+        for part in windows(text):
+            held.append(part)
+            owner.append(i)
+            size += len(part)
+            if size >= WINDOW:
+                yield held, owner
+                held, owner, size = [], [], 0
+    if held:
+        yield held, owner
+
+
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, each framed by spaces, and where each text begins."""
     parts = [b" " + t.lower().encode("utf-8", "surrogatepass").translate(_FOLDED) + b"  " for t in texts]
@@ -48,7 +80,7 @@ def _grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a = codes.astype(np.uint32)
     pair = (a[:-2] << 8) | a[1:-1]
     gram = ((pair << 8) | a[2:]) * np.uint32(2654435761) >> np.uint32(32 - TRIGRAM_BITS)
-    return pair.astype(np.int64), gram.astype(np.int64)
+    return pair.astype(np.int32), gram.astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -60,6 +92,14 @@ class LanguageModel:
     log_q: np.ndarray
 
 
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
+    for part in small_batches(batch, "text"):
+        by: dict[str, list[str]] = {}
+        for name, value in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+            by.setdefault(name, []).append(value)
+        yield from by.items()
+
+
 def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text") -> LanguageModel:
     """Count the n-grams of every document with a text and a language.
 
@@ -72,13 +112,10 @@ def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text") -> La
         tables: dict[str, np.ndarray] = {}
         size = 1 << 16
         for batch in batches:
-            by: dict[str, list[str]] = {}
-            for name, value in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                by.setdefault(name, []).append(value)
-            for name, texts in by.items():
+            for name, texts in _by_language(batch):
                 table = tables.setdefault(name, np.zeros(size + (1 << TRIGRAM_BITS), np.int64))
-                for at in range(0, len(texts), 512):
-                    pair, gram = _grams(_codes(texts[at : at + 512])[0])
+                for parts, _ in _runs(texts):
+                    pair, gram = _grams(_codes(parts)[0])
                     table[:size] += np.bincount(pair, minlength=size)
                     table[size:] += np.bincount(gram, minlength=1 << TRIGRAM_BITS)
         for name, table in tables.items():
@@ -104,19 +141,57 @@ def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text") -> La
     )
 
 
-def _mixture(e: np.ndarray, starts: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
+def _word_scores(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likelihoods of all words relative to their likeliest language, words per text, and log-likelihoods per text."""
+    words, owners = [], []
+    single = np.zeros((len(texts), len(model.languages)))
+    for parts, owner in _runs(texts):
+        codes, begins = _codes(parts)
+        pair, gram = _grams(codes)
+        # words: from the space before a word to the next such space
+        space = codes == 32
+        word = np.flatnonzero(space[:-2] & ~space[1:-1])
+        if not len(word):
+            continue
+        ll = np.add.reduceat(model.log_p[gram] - model.log_q[pair], word, axis=0).astype(np.float64)
+        own = np.repeat(np.array(owner), np.diff(np.searchsorted(word, begins)))
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        single[own[first]] += np.add.reduceat(ll, first, axis=0)
+        words.append(np.exp(np.maximum(ll - ll.max(1, keepdims=True), -60.0)).astype(np.float32))
+        owners.append(own)
+    n = np.bincount(np.concatenate(owners), minlength=len(texts)) if owners else np.zeros(len(texts), int)
+    return np.concatenate(words) if words else np.empty((0, single.shape[1]), np.float32), n, single
+
+
+def _added(e: np.ndarray, n: np.ndarray, value) -> np.ndarray:
+    """Sums per text of what ``value(words, text numbers)`` gives, some words at a time."""
+    ends, out = np.cumsum(n), None
+    for at in range(0, len(e), WORDS):
+        part = e[at : at + WORDS]
+        doc = np.searchsorted(ends, np.arange(at, at + len(part)), "right")
+        each = value(part, doc)
+        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        if out is None:
+            out = np.zeros((len(n), *each.shape[1:]))
+        out[doc[first]] += np.add.reduceat(each, first, axis=0)
+    return out
+
+
+def _mixture(e: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
     """EM rounds from the proportions ``share``; zero proportions stay zero."""
-    doc = np.repeat(np.arange(len(n)), n)
     for _ in range(ROUNDS):
-        r = share[doc] * e
-        r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-        share = np.add.reduceat(r, starts, axis=0) / n[:, None]
+
+        def parts(words, doc, share=share):
+            r = share[doc] * words
+            r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
+            return r
+
+        share = _added(e, n, parts) / n[:, None]
     return share
 
 
-def _likelihood(e, starts, n, share) -> np.ndarray:
-    doc = np.repeat(np.arange(len(n)), n)
-    return np.add.reduceat(np.log(np.maximum((share[doc] * e).sum(1), 1e-300)), starts)
+def _likelihood(e: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
+    return _added(e, n, lambda words, doc: np.log(np.maximum((share[doc] * words).sum(1), 1e-300)))
 
 
 def infer(texts: list[str], model: LanguageModel) -> dict[str, list]:
@@ -126,35 +201,23 @@ def infer(texts: list[str], model: LanguageModel) -> dict[str, list]:
     use = [i for i, t in enumerate(texts) if k and _LETTER.search(t)]
     if not use:
         return out
-    codes, begins = _codes([texts[i] for i in use])
-    pair, gram = _grams(codes)
-    logs = model.log_p[gram] - model.log_q[pair]
-    # words: from the space before a word to the next such space
-    space = codes == 32
-    word = np.flatnonzero(space[:-2] & ~space[1:-1])
-    bounds = np.searchsorted(word, begins)
-    n = np.diff(bounds)
-    # a text whose letters are all outside the folded bytes cannot lack words: bytes over 127 are kept
-    ll = np.add.reduceat(logs, word, axis=0).astype(np.float64)
-    top = ll.max(1, keepdims=True)
-    e = np.exp(np.maximum(ll - top, -60.0))
-    starts = bounds[:-1]
-    share = _mixture(e, starts, n, np.full((len(use), k), 1.0 / k))
+    # every letter is in a word: the bytes over 127 are kept
+    e, n, single = _word_scores([texts[i] for i in use], model)
+    share = _mixture(e, n, np.full((len(use), k), 1.0 / k))
     order = np.argsort(-share, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
-    single = np.add.reduceat(ll, starts, axis=0)
     best = np.where(rank == 0, 1.0, 0.0)
     several = np.flatnonzero(np.sort(share, axis=1)[:, -2] >= MIN_SHARE) if k > 1 else np.array([], int)
     if len(several):
-        rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in several])
-        e2, n2 = e[rows], n[several]
-        s2 = np.concatenate([[0], np.cumsum(n2)])[:-1]
+        mixed = np.zeros(len(use), bool)
+        mixed[several] = True
+        e2, n2 = e[np.repeat(mixed, n)], n[several]
         value = np.full(len(several), -np.inf)
         for size in range(1, k + 1):
             # the languages of this set start from their share in the full mixture
             inside = np.where(rank[several] < size, np.maximum(share[several], 1e-6), 0.0)
-            now = _mixture(e2, s2, n2, inside / inside.sum(1, keepdims=True))
-            penalised = _likelihood(e2, s2, n2, now) - 0.5 * (size - 1) * np.log(n2 + 1.0) * 2
+            now = _mixture(e2, n2, inside / inside.sum(1, keepdims=True))
+            penalised = _likelihood(e2, n2, now) - 0.5 * (size - 1) * np.log(n2 + 1.0) * 2
             better = penalised > value
             value = np.where(better, penalised, value)
             best[several[better]] = now[better]

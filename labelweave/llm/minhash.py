@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import components, map_texts
+from labelweave.llm.common import Remembered, components, map_texts
 from labelweave.llm.pairing import CHUNK, Groups, deal_chunks, deal_pairs, map_groups
 from labelweave.runtime import stage
 
@@ -35,8 +35,8 @@ PREFIXES = (4, 8, 16, 32)
 MISS = 1e-6
 #: Standard deviations of the signature's estimate that a candidate may be below the threshold.
 SLACK = 5.0
-#: Words whose hashes a task remembers.
-CACHE = 500_000
+#: Bytes of words and hashes that a task remembers.
+CACHE_BYTES = 32 << 20
 #: Representatives that a part of a chunk sends on.
 REPRESENTATIVES = 8
 #: Ids that are broadcast at most when documents are looked up; beyond it the join shuffles.
@@ -48,12 +48,12 @@ def trees_for(percent: int, depth: int = DEPTH) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** depth))
 
 
-class _Words(dict):
+class _Words(Remembered):
+    def __init__(self):
+        super().__init__(CACHE_BYTES)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return value
+        return self.keep(word, int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little"), len(word))
 
 
 def shingle_set(text: str, words: int, hashes: _Words) -> np.ndarray:
@@ -343,19 +343,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, depth: i
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component_id").isNull()).alias("kept"))
 
 
-def _with_class(docs: DataFrame, words: int) -> DataFrame:
-    """All columns of ``docs`` and ``_cls``, the key of the row's set (null if it is empty)."""
+def _with_class(docs: DataFrame, words: int, name: str = "_cls") -> DataFrame:
+    """All columns of ``docs`` and ``name``, the key of the row's set (null if it is empty)."""
 
     def make():
         hashes = _Words()
 
         def run(texts):
             sets = [shingle_set(t, words, hashes) for t in texts]
-            return {"_cls": [_set_key(s) if len(s) else None for s in sets]}
+            return {name: [_set_key(s) if len(s) else None for s in sets]}
 
         return run
 
-    return map_texts(docs, make, "_cls bigint", tuple(docs.columns))
+    return map_texts(docs, make, f"{name} bigint", tuple(docs.columns))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -384,8 +384,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     if mixed.isEmpty():
         return out
     found = side(mixed)
-    again = stage(_with_class(docs.join(found, same(found), "left_semi").select(*docs.columns), words), "repeated_ids")
+    name = "_cls"
+    while name in [c.lower() for c in docs.columns]:
+        name = f"_{name}"
+    again = stage(_with_class(docs.join(found, same(found), "left_semi").select(*docs.columns), words, name), "repeated_ids")
     keepers = stage(kinds.filter("stays AND cls IS NOT NULL").join(mixed, kinds["doc_id"].eqNullSafe(mixed["doc_id"]), "left_semi"), "keepers")
-    chosen = again.join(keepers, (again["_cls"] == keepers["cls"]) & again["doc_id"].eqNullSafe(keepers["doc_id"]), "left_semi")
-    one = chosen.dropDuplicates(["doc_id", "_cls"])
-    return out.unionByName(again.filter("_cls IS NULL").unionByName(one).select(*docs.columns))
+    chosen = again.join(keepers, (again[name] == keepers["cls"]) & again["doc_id"].eqNullSafe(keepers["doc_id"]), "left_semi")
+    one = chosen.dropDuplicates(["doc_id", name])
+    return out.unionByName(again.filter(F.col(name).isNull()).unionByName(one).select(*docs.columns))

@@ -15,25 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import map_texts
+from labelweave.llm.common import Remembered, map_texts
 from labelweave.runtime import stage
 
 BITS = 128
-#: Words whose hashes a task remembers.
-CACHE = 500_000
+#: Bytes of words and hashes that a task remembers.
+CACHE_BYTES = 32 << 20
 #: bit i of byte value v as +1 or -1
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1)
 
 
-class WordHashes(dict):
+class WordHashes(Remembered):
     """Word -> 64-bit hash; forgets everything when it is full."""
 
+    def __init__(self):
+        super().__init__(CACHE_BYTES)
+
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
         digest = hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()
-        value = self[word] = int.from_bytes(digest, "little")
-        return value
+        return self.keep(word, int.from_bytes(digest, "little"), len(word))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -10,8 +10,10 @@ import base64
 import json
 import re
 
-#: Cuts whose values a task remembers.
-CACHE = 500_000
+from labelweave.llm.common import Remembered
+
+#: Bytes of cuts and ids that a task remembers.
+CACHE_BYTES = 48 << 20
 
 #: a space before more white space or the end: such texts are not cut
 _LOOSE = re.compile(r" (?:\s|$)")
@@ -30,11 +32,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-class PieceIds(dict):
+class PieceIds(Remembered):
     """Cut -> its ids as little-endian unsigned 32-bit integers; forgets everything when it is full."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__()
+        super().__init__(CACHE_BYTES)
         import tiktoken
 
         self._encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -46,10 +48,8 @@ class PieceIds(dict):
         return ids.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[piece] = self.whole(piece)
-        return value
+        value = self.whole(piece)
+        return self.keep(piece, value, len(piece) + len(value))
 
     def encode(self, text: str) -> bytes:
         pieces = cut(text)

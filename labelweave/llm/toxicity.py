@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import filter_texts, fold, labelled_sample, map_texts
+from labelweave.llm.common import Remembered, filter_texts, fold, labelled_sample, map_texts
 
 #: Documents of each class that are used for fitting, at most.
 SAMPLE_PER_CLASS = 2000
@@ -32,8 +32,8 @@ MIN_PLACES = 4
 #: Put after every window and at the end of both dictionaries: the fixed cost of a first match is paid by it
 #: with either dictionary, and matches are also sought in the last bytes of a short window.
 ANCHOR = bytes(range(1, 17))
-#: Windows whose margins a task remembers.
-CACHE = 400_000
+#: Bytes of windows and margins that a task remembers.
+CACHE_BYTES = 64 << 20
 LEVEL = 3
 
 
@@ -49,11 +49,11 @@ class ToxicityModel:
     weights: tuple[float, float, float]  # bias, log of the number of marked windows + 1, largest margin
 
 
-class Margins(dict):
+class Margins(Remembered):
     """Window -> bytes saved by the toxic dictionary; forgets everything when it is full."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        super().__init__()
+        super().__init__(CACHE_BYTES)
 
         def compressor(content: bytes):
             # content that does not start with the magic number of trained dictionaries serves as plain history
@@ -68,11 +68,8 @@ class Margins(dict):
         self._ordinary, self._toxic = compressor(ordinary).compress, compressor(toxic).compress
 
     def __missing__(self, window: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
         anchored = window + ANCHOR
-        value = self[window] = len(self._ordinary(anchored)) - len(self._toxic(anchored))
-        return value
+        return self.keep(window, len(self._ordinary(anchored)) - len(self._toxic(anchored)), len(window))
 
 
 def _pieces(window: bytes):
