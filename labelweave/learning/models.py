@@ -1,4 +1,4 @@
-"""Model families on Spark ML behind one interface.
+"""Model families behind one interface: trees of our own, the others on Spark ML.
 
 ``fit_model(name, train, params, n_classes)`` standardises on the training rows, fits, and returns a
 ``Scorer``: a function from rows ``(key, features, label)`` to
@@ -13,14 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -28,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelweave.functions.hashing import hash_hex
+from labelweave.learning.trees import TreeSpec, fit_jobs
 from labelweave.operators.neighbors import knn_classify
 from labelweave.operators.splits import balanced_class_weights
 from labelweave.runtime import stage
@@ -113,116 +107,103 @@ def _one_vs_rest(train: DataFrame, n_classes: int, fit_binary: Callable[[DataFra
     return score
 
 
-def _subset(params: Mapping[str, str], default: str) -> str:
-    return {"None": "all", "sqrt": "sqrt", "log2": "log2"}.get(params.get("max_features", default), "all")
-
-
-def _impurity(params: Mapping[str, str]) -> str:
-    return "gini" if params.get("criterion", "gini") == "gini" else "entropy"
-
-
-#: Spark trees are at most this deep.
+#: Trees end at this depth where no other is given.
 MAX_DEPTH = 30
 
 
-def _depth(params: Mapping[str, str], default: int, name: str = "max_depth") -> int:
-    return min(MAX_DEPTH, int(params.get(name, default)))
-
-
-# ---------------------------------------------------------------- families
-
-
-def fit_decision_tree(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: int) -> Scorer:
-    shared = dict(
-        featuresCol="vector",
-        labelCol="label",
-        weightCol="weight",
-        maxDepth=_depth(params, MAX_DEPTH),
-        minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
-        impurity=_impurity(params),
-        seed=seed,
-    )
-    subset = _subset(params, "None")
-    if subset == "all":
-        estimator = DecisionTreeClassifier(**shared)
-    else:
-        # a single unbagged tree of a forest samples features per node
-        estimator = RandomForestClassifier(numTrees=1, bootstrap=False, featureSubsetStrategy=subset, **shared)
-    return _by_probability(estimator.fit(_vectors(_weighted(train, params))))
-
-
-def fit_random_forest(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: int) -> Scorer:
-    estimator = RandomForestClassifier(
-        featuresCol="vector",
-        labelCol="label",
-        weightCol="weight",
-        numTrees=int(params.get("n_estimators", 100)),
-        maxDepth=_depth(params, MAX_DEPTH),
-        minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
-        featureSubsetStrategy=_subset(params, "sqrt"),
-        impurity=_impurity(params),
-        bootstrap=params.get("bootstrap", "True") == "True",
-        seed=seed,
-    )
-    return _by_probability(estimator.fit(_vectors(_weighted(train, params))))
-
-
 @dataclass(frozen=True)
 class BoostingPreset:
-    """Names and defaults under which a boosting family states its parameters."""
+    """Names and defaults under which a boosting family states its parameters; None where it has none."""
 
     rounds: tuple[str, int]
     rate: float
     depth: tuple[str, int]
-    leaf: tuple[str, int] = ("min_samples_leaf", 1)
-    bins: tuple[str, int] = ("max_bins", 32)
-    columns: str | None = None
+    leaf: tuple[str, int] | None = ("min_samples_leaf", 1)
+    hessian: tuple[str, float] | None = None
+    bins: tuple[str, int] = ("max_bins", 255)
+    l2: tuple[str, float] | None = None
+    temperature: float = 0.0
+    noise: float = 0.0
 
 
+# Parameter names and defaults of the boosting families.
 BOOSTING: dict[str, BoostingPreset] = {
     "gradient_boosting": BoostingPreset(("n_estimators", 100), 0.1, ("max_depth", 3)),
     "histogram_gradient_boosting": BoostingPreset(
-        ("max_iter", 100), 0.1, ("max_depth", 5), ("min_samples_leaf", 20), ("max_bins", 255)
+        ("max_iter", 100), 0.1, ("max_depth", 5), ("min_samples_leaf", 20), l2=("l2_regularization", 0.0)
+    ),
+    "catboost": BoostingPreset(
+        ("iterations", 1000), 0.03, ("depth", 6), None, bins=("border_count", 254), l2=("l2_leaf_reg", 3.0), temperature=1.0, noise=1.0
     ),
-    "catboost": BoostingPreset(("iterations", 1000), 0.03, ("depth", 6), bins=("border_count", 254)),
     "xgboost": BoostingPreset(
-        ("n_estimators", 100), 0.3, ("max_depth", 6), ("min_child_weight", 1), ("max_bins", 256), "colsample_bytree"
+        ("n_estimators", 100), 0.3, ("max_depth", 6), None, ("min_child_weight", 1.0), ("max_bins", 256), ("reg_lambda", 1.0)
     ),
 }
 
 
-def _fit_boosting(preset: BoostingPreset) -> Fit:
-    def fit(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: int) -> Scorer:
-        subset = params[preset.columns] if preset.columns and preset.columns in params else _subset(params, "None")
+def tree_spec(name: str, params: Mapping[str, str], n_classes: int = 2, seed: int = 42) -> TreeSpec:
+    """What a tree family grows with these parameters."""
+    shared = dict(
+        n_classes=n_classes,
+        min_split=int(params.get("min_samples_split", 2)),
+        balanced=params.get("class_weight") == "balanced",
+        positive_weight=float(params.get("scale_pos_weight", 1.0)),
+        seed=seed,
+    )
+    if name in ("decision_tree", "random_forest"):
+        forest = name == "random_forest"
+        return TreeSpec(
+            "forest" if forest else "tree",
+            n_trees=int(params.get("n_estimators", 100)) if forest else 1,
+            depth=int(params.get("max_depth", MAX_DEPTH)),
+            min_leaf=int(params.get("min_samples_leaf", 1)),
+            criterion="gini" if params.get("criterion", "gini") == "gini" else "entropy",
+            subset=params.get("max_features", "sqrt" if forest else "None"),
+            bootstrap=forest and params.get("bootstrap", "True") == "True",
+            random_split=params.get("splitter") == "random",
+            bins=int(params.get("max_bins", 255)),
+            **shared,
+        )
+    preset = BOOSTING[name]
+    given = lambda known, other: type(known[1])(params.get(*known)) if known else other
+    return TreeSpec(
+        "boost",
+        n_trees=given(preset.rounds, 0),
+        rate=float(params.get("learning_rate", preset.rate)),
+        depth=given(preset.depth, 0),
+        min_leaf=given(preset.leaf, 1),
+        min_hessian=given(preset.hessian, 0.0),
+        bins=given(preset.bins, 0),
+        l2=given(preset.l2, 0.0),
+        l1=float(params.get("reg_alpha", 0.0)),
+        gamma=float(params.get("gamma", 0.0)),
+        row_share=float(params.get("subsample", 1.0)),
+        column_share=float(params.get("colsample_bytree", 1.0)),
+        subset=params.get("max_features", "None"),
+        temperature=float(params.get("bagging_temperature", preset.temperature)),
+        noise=float(params.get("random_strength", preset.noise)),
+        **shared,
+    )
 
-        def estimator() -> GBTClassifier:
-            return GBTClassifier(
-                featuresCol="vector",
-                labelCol="label",
-                weightCol="weight",
-                maxIter=int(params.get(*preset.rounds)),
-                stepSize=float(params.get("learning_rate", preset.rate)),
-                maxDepth=_depth(params, preset.depth[1], preset.depth[0]),
-                minInstancesPerNode=int(params.get(*preset.leaf)),
-                maxBins=int(params.get(*preset.bins)),
-                subsamplingRate=float(params.get("subsample", 1.0)),
-                featureSubsetStrategy=subset,
-                seed=seed,
-            )
 
-        if n_classes == 2:
-            return _by_probability(estimator().fit(_vectors(_weighted(train, params))))
+#: Families whose jobs :mod:`labelweave.learning.trees` fits together.
+TREE_FAMILIES = ("decision_tree", "random_forest", *BOOSTING)
 
-        def fit_class(rows: DataFrame, _class: int):
-            model = estimator().fit(_vectors(_weighted(rows, params)))
 
-            def score(df: DataFrame, name: str) -> DataFrame:
-                out = model.transform(_vectors(df)).withColumn(name, F.get(vector_to_array("probability"), F.lit(1)))
-                return out.drop("vector", "rawPrediction", "probability", "prediction")
+# ---------------------------------------------------------------- families
+
+
+def _fit_trees(name: str) -> Fit:
+    def fit(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: int) -> Scorer:
+        rows = train.select(F.lit(0).alias("set"), "key", "features", "label", F.lit(True).alias("train"))
+        model = fit_jobs(rows, {0: (0, tree_spec(name, params, n_classes, seed))})[0]
+        shared = train.sparkSession.sparkContext.broadcast(model)
 
-            return score
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def proba(column: pd.Series) -> pd.Series:
+            return pd.Series(list(shared.value.proba(np.stack(column.to_numpy()).astype(float))) if len(column) else [])
 
-        return _one_vs_rest(train, n_classes, fit_class)
+        return lambda df: _predicted(df, proba(F.col("features").cast("array<double>")))
 
     return fit
 
@@ -366,9 +347,7 @@ def fit_svm(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: i
 # ---------------------------------------------------------------- registry
 
 FAMILIES: dict[str, Fit] = {
-    "decision_tree": fit_decision_tree,
-    "random_forest": fit_random_forest,
-    **{name: _fit_boosting(preset) for name, preset in BOOSTING.items()},
+    **{name: _fit_trees(name) for name in TREE_FAMILIES},
     "k_nearest_neighbors": fit_knn,
     "multi_layer_perceptron": fit_mlp,
     "svc": fit_svm,
