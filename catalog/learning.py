@@ -1,10 +1,7 @@
-"""Training, search and evaluation queries on the embedding matrix.
+"""Training, search and evaluation queries on the embedding matrix, with the operators' own numbers of trials, folds, strategies and families.
 
-Small trial counts and small models keep the queries quick; the rows are never cut.
-
-A fitted model is beyond SQL, so the training queries return every test row with what must hold for any model
-of the family: ``sound`` (class probabilities that sum to one, the likeliest class predicted) and ``learned`` (the
-training rows' own classes get more probability than the same probabilities would give by chance).
+The training queries return the held-out rows with their prediction and class shares; the tree families are checked by SQL texts that
+grow the same trees (:mod:`catalog.tree_sql`).
 """
 
 from __future__ import annotations
@@ -13,8 +10,9 @@ from pyspark.sql import functions as F
 
 from catalog.balancing import matrix, unit_sql
 from catalog.base import MATRIX, query, rounded, rows, table, with_inputs
+from catalog.tree_sql import boosting_sql, tree_sql
 from labelweave.learning import models, search, spaces
-from labelweave.operators import splits
+from labelweave.operators import clean, splits
 from labelweave.runtime import stage
 
 THREE = "SELECT CAST(vec_id AS STRING) AS key, embedding AS features, CASE WHEN label < 3 THEN 0 WHEN label < 6 THEN 1 ELSE 2 END AS label FROM {embeddings}"
@@ -26,29 +24,14 @@ def _split(df):
 
 
 def _scored(df, model, params, n_classes=2):
-    """Judged predictions of the test rows of a model fitted on the training rows."""
+    """Predictions of the test rows by a model fitted on the training rows; the first of the likeliest classes, to six places."""
     train, test = _split(df)
-    scorer = models.fit_model(model, train, params, n_classes)
-    own = F.avg(F.try_element_at("proba", F.col("y_true") + 1))
-    by_chance = sum(
-        (F.avg((F.col("y_true") == c).cast("double")) * F.avg(F.try_element_at("proba", F.lit(c + 1))) for c in range(n_classes)), F.lit(0.0)
-    )
-    learned = bool(models.predict(scorer, train).agg((own > by_chance).alias("learned")).first().learned)
-    total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
-    sound = (
-        (F.size("proba") == n_classes)
-        & F.forall("proba", lambda p: p.between(0, 1))
-        & (F.abs(total - 1) < 1e-6)
-        & (F.try_element_at("proba", F.col("y_pred") + 1) == F.array_max("proba"))
-    )
-    return models.predict(scorer, test).select("key", "y_true", F.coalesce(sound, F.lit(False)).alias("sound"), F.lit(learned).alias("learned"))
-
-
-def held_sql(source: str, more: str = "") -> str:
-    """The test rows of the stratified holdout."""
-    numbered = "SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || key), key) AS rn, count(*) OVER (PARTITION BY label) AS nc FROM m"
-    body = f"SELECT key, label AS y_true, true AS sound, true AS learned{more} FROM n"
-    return with_inputs(f"{body} WHERE rn <= round(0.2::DOUBLE * nc)", m=source, n=numbered)
+    out = models.predict(models.fit_model(model, train, params, n_classes), test)
+    shares = [F.round(F.element_at("proba", c + 1), 6).alias(f"p{c}") for c in range(n_classes)]
+    found = out.select("key", "y_true", *shares)
+    columns = [f"p{c}" for c in range(n_classes)]
+    likeliest = F.array_position(F.array(*columns), F.greatest(*columns)).cast("int") - 1
+    return found.select("key", "y_true", likeliest.alias("y_pred"), *columns)
 
 
 @query(
@@ -64,49 +47,57 @@ def standardize(spark, folder):
     return rounded(scaled.select("key", F.posexplode("features").alias("position", "value")))
 
 
-@query("train_decision_tree", held_sql(MATRIX))
+@query("train_decision_tree", tree_sql(MATRIX, depth=6, criterion="entropy", balanced=True))
 def train_decision_tree(spark, folder):
     return _scored(matrix(spark, folder), "decision_tree", {"max_depth": "6", "class_weight": "balanced", "criterion": "entropy"})
 
 
-@query("train_random_forest", held_sql(MATRIX))
+@query("train_random_forest", tree_sql(MATRIX, depth=6, balanced=True, trees=20, subset=8))
 def train_random_forest(spark, folder):
     return _scored(matrix(spark, folder), "random_forest", {"n_estimators": "20", "max_depth": "6", "class_weight": "balanced"})
 
 
-@query("train_gbt", held_sql(MATRIX))
+@query("train_gbt", boosting_sql(MATRIX, rounds=5))
 def train_gbt(spark, folder):
     return _scored(matrix(spark, folder), "gradient_boosting", {"n_estimators": "5"})
 
 
-@query("train_gbt_multiclass", held_sql(THREE))
+@query("train_gbt_multiclass", boosting_sql(THREE, 3))
 def train_gbt_multiclass(spark, folder):
     return _scored(rows(spark, folder, THREE), "gradient_boosting", {"n_estimators": "3"}, 3)
 
 
-@query(
-    "train_gbt_presets",
-    held_sql(MATRIX, ", unnest(['histogram_gradient_boosting', 'catboost', 'xgboost']) AS model"),
-)
+@query("train_gbt_regularised", boosting_sql(MATRIX, rounds=4, depth=4, rate=0.3, l2=5.0, l1=0.5, gamma=0.2, hessian=3.0))
+def train_gbt_regularised(spark, folder):
+    params = {"n_estimators": "4", "max_depth": "4", "reg_lambda": "5", "reg_alpha": "0.5", "gamma": "0.2", "min_child_weight": "3", "max_bins": "255"}
+    return _scored(matrix(spark, folder), "xgboost", params)
+
+
+@query("train_gbt_presets", f"SELECT 'histogram_gradient_boosting' AS model, * FROM ({boosting_sql(MATRIX, depth=5, leaf=20)}) UNION ALL SELECT 'xgboost', * FROM ({boosting_sql(MATRIX, depth=6, rate=0.3, l2=1.0, hessian=1.0)}) UNION ALL SELECT 'catboost', * FROM ({boosting_sql(MATRIX, depth=6, rate=0.03, l2=3.0)})")
 def train_gbt_presets(spark, folder):
-    small = {"histogram_gradient_boosting": {"max_iter": "3"}, "catboost": {"iterations": "3"}, "xgboost": {"n_estimators": "3"}}
-    parts = [_scored(matrix(spark, folder), m, p).withColumn("model", F.lit(m)) for m, p in small.items()]
+    """Each preset with its own defaults; the draws of one family, which SQL has not, are off."""
+    small = {
+        "histogram_gradient_boosting": {"max_iter": "3"},
+        "catboost": {"iterations": "3", "bagging_temperature": "0", "random_strength": "0", "border_count": "255"},
+        "xgboost": {"n_estimators": "3", "max_bins": "255"},
+    }
+    parts = [_scored(matrix(spark, folder), m, p).select(F.lit(m).alias("model"), "*") for m, p in small.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("train_mlp", held_sql(MATRIX))
+@query("train_mlp")
 def train_mlp(spark, folder):
-    return _scored(matrix(spark, folder), "multi_layer_perceptron", {"layer_0_size": "16", "max_iter": "30"})
+    return _scored(matrix(spark, folder), "multi_layer_perceptron", {"layer_0_size": "16"})
 
 
-@query("train_svm", held_sql(MATRIX))
+@query("train_svm")
 def train_svm(spark, folder):
-    return _scored(matrix(spark, folder), "svc", {"kernel": "rbf", "class_weight": "balanced", "max_iter": "20"})
+    return _scored(matrix(spark, folder), "svc", {"kernel": "rbf", "class_weight": "balanced"})
 
 
-@query("predict", held_sql(THREE))
+@query("predict", tree_sql(THREE, 3, depth=5))
 def predict(spark, folder):
-    return _scored(rows(spark, folder, THREE), "random_forest", {"n_estimators": "10", "max_depth": "5"}, 3)
+    return _scored(rows(spark, folder, THREE), "decision_tree", {"max_depth": "5"}, 3)
 
 
 STUDIES = "SELECT o_custkey AS study, o_orderkey AS trial FROM {orders}"
@@ -147,12 +138,10 @@ def param_space(spark, folder):
     )
 
 
-SMALL_TREE = {"max_depth": "4"}
-
-
 @query("search_trials")
 def search_trials(spark, folder):
-    trials = search.search_trials("decision_tree", matrix(spark, folder), n_trials=3, inner=2, strategy="randomundersampler", overrides=SMALL_TREE)
+    """All trials of the full space, on all inner folds, with balanced training folds."""
+    trials = search.search_trials("decision_tree", matrix(spark, folder), strategy="randomundersampler")
     return rounded(trials.select("study", "trial", F.to_json("params").alias("params"), "score"))
 
 
@@ -169,21 +158,25 @@ def param_importance(spark, folder):
 
 @query("nested_cv")
 def nested_cv(spark, folder):
-    scored, _ = search.nested_cv("decision_tree", matrix(spark, folder), n_trials=2, outer=2, inner=2, overrides=SMALL_TREE)
+    """Thirty trials on five inner folds of each of five outer ones."""
+    scored, _ = search.nested_cv("decision_tree", matrix(spark, folder))
     return rounded(scored)
 
 
 @query("holdout_grid")
 def holdout_grid(spark, folder):
-    params = [(1, {"max_depth": "3"}), (2, {"max_depth": "5", "class_weight": "balanced"})]
-    scored, _ = search.holdout_grid("decision_tree", matrix(spark, folder), params, ("none", "randomundersampler", "tomeklinks"))
+    """The trials of five folds with all four strategies."""
+    trials = spaces.trial_table(spark, "grid", 5, "gradient_boosting", reduced=True)
+    params = [(r.trial, dict(r.params)) for r in trials.orderBy("trial").collect()]
+    scored, _ = search.holdout_grid("gradient_boosting", matrix(spark, folder), params)
     return rounded(scored)
 
 
 @query("refit_best")
 def refit_best(spark, folder):
+    """The winner among the outer folds' best trials, fitted on the whole training part."""
     data = matrix(spark, folder)
-    scored, bests = search.nested_cv("decision_tree", data, n_trials=1, outer=2, inner=2, overrides=SMALL_TREE)
+    scored, bests = search.nested_cv("decision_tree", data, reduced=True)
     folds = scored.filter("split = 'test' AND metric = 'pr_auc'").select(F.lit("decision_tree").alias("model"), "fold", F.col("value").alias("pr_auc"))
     params = {r.fold: r.params for r in bests.select("fold", "params").collect()}
     out = search.refit_best("decision_tree", data, folds, params)
@@ -192,18 +185,23 @@ def refit_best(spark, folder):
 
 @query("evaluate_default")
 def evaluate_default(spark, folder):
-    given = {"decision_tree": {"max_depth": "4"}, "random_forest": {"n_estimators": "5", "max_depth": "4"}}
-    scored, _ = search.evaluate_default(given, matrix(spark, folder))
+    """All families with their default parameters, on the holdout and on five folds."""
+    scored, _ = search.evaluate_default(sorted(models.FAMILIES), matrix(spark, folder))
     return rounded(scored)
 
 
 @query("feature_group_cv")
 def feature_group_cv(spark, folder):
-    return rounded(search.feature_group_cv({"decision_tree": {"max_depth": "4"}}, matrix(spark, folder), ["CNA", "Mutations"], n_folds=2))
+    """All feature groups, plain and with balanced classes, on five folds."""
+    given = {"decision_tree": {}, "random_forest": {}, "xgboost": {}}
+    return rounded(search.feature_group_cv(given, matrix(spark, folder), sorted(clean.FEATURE_GROUPS)))
 
 
-@query("run_status", "SELECT * FROM (VALUES ('decision_tree', 'ok'), ('unheard_of', 'error')) t(model, status)")
+@query(
+    "run_status",
+    """SELECT 'decision_tree' AS model, 'ok' AS status, count(*) AS jobs FROM (SELECT 1 FROM {embeddings} LIMIT 6)
+    UNION ALL SELECT 'unheard_of', 'error', count(*) FROM (SELECT 1 FROM {embeddings} LIMIT 6)""",
+)
 def run_status(spark, folder):
-    given = {"decision_tree": {"max_depth": "3"}, "unheard_of": {}}
-    _, status = search.evaluate_default(given, matrix(spark, folder), n_folds=2)
-    return status.select("model", "status").distinct()
+    _, status = search.evaluate_default({"decision_tree": {}, "unheard_of": {}}, matrix(spark, folder))
+    return status.groupBy("model", "status").agg(F.count("*").alias("jobs"))

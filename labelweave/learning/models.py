@@ -205,6 +205,7 @@ def _fit_trees(name: str) -> Fit:
 
         return lambda df: _predicted(df, proba(F.col("features").cast("array<double>")))
 
+    fit.trees = True
     return fit
 
 

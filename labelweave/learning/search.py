@@ -1,8 +1,8 @@
 """Hyper-parameter search, nested cross-validation and evaluation sweeps.
 
-The driver holds job lists, model objects and bounded specifications; rows stay in tables.  Jobs
-(one fit each) run as Spark jobs from a bounded pool of threads, and their predictions go to staged
-tables that are scored together in one pass grouped by job.
+The driver holds job lists, model objects and bounded specifications; rows stay in tables.  All tree jobs of a sweep, whatever their trial,
+fold or strategy, are fitted together (:mod:`labelweave.learning.trees`); jobs of other families run as Spark jobs from a bounded pool of
+threads.  Predictions go to staged tables that are scored together in one pass grouped by job.
 """
 
 from __future__ import annotations
@@ -13,16 +13,17 @@ from functools import reduce
 
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.learning.models import Training, fit_model, prepare_training
+from labelweave.learning.models import FAMILIES, TREE_FAMILIES, Training, fit_model, prepare_training, tree_spec
 from labelweave.learning.spaces import DEFAULT_TRIALS, TRIALS_BY_MODEL, param_space, trial_table
+from labelweave.learning.trees import fit_predict
 from labelweave.operators import metrics
 from labelweave.operators.balance import balance
 from labelweave.operators.clean import select_feature_group
 from labelweave.operators.leaderboards import best_fold, best_trial
-from labelweave.operators.splits import kfold, stratified_holdout, stratified_kfold
+from labelweave.operators.splits import kfold, nested_folds, stratified_holdout, stratified_kfold
 from labelweave.runtime import stage
 
 #: Strategies compared on the holdout rows.
@@ -64,6 +65,49 @@ def run_jobs(jobs: Sequence[tuple[dict, Callable[[], DataFrame]]], parallelism:
     return united, [s for _, s in results]
 
 
+def grown_together(model: str) -> bool:
+    """Whether the jobs of a family are fitted in one pass: it is a tree family and not registered anew."""
+    return model in TREE_FAMILIES and getattr(FAMILIES[model], "trees", False)
+
+
+def run_tree_jobs(
+    sets: DataFrame, jobs: Sequence[tuple[dict, int, str, Mapping[str, str]]], n_classes: int, seed: int, score_train: bool = False
+) -> tuple[DataFrame | None, list[dict]]:
+    """Fit ``(tags, set, model, params)`` jobs of tree families together: tagged predictions with ``train``, and a status row per job.
+
+    A job whose parameters cannot be read does not stop the others.
+    """
+    spark = sets.sparkSession
+    specs, statuses = {}, []
+    for number, (tags, of_set, model, params) in enumerate(jobs):
+        try:
+            specs[number] = (of_set, tree_spec(model, params, n_classes, seed))
+            statuses.append({**tags, "status": "ok", "error": ""})
+        except ValueError as error:
+            statuses.append({**tags, "status": "error", "error": f"{type(error).__name__}: {error}"})
+    if not specs:
+        return None, statuses
+    names = list(jobs[0][0])
+    told = spark.createDataFrame([(n, *[jobs[n][0][c] for c in names]) for n in specs], ["job", *names])
+    told = told.select(F.col("job").cast("int").alias("job"), *[F.col(c).cast("int").alias(c) if t == "bigint" else F.col(c) for c, t in told.dtypes[1:]])
+    # one row per job
+    return fit_predict(sets, specs, score_train).join(F.broadcast(told), "job").drop("job"), statuses
+
+
+def _set(train: DataFrame, held: DataFrame, number: int) -> DataFrame:
+    columns = [F.lit(number).alias("set"), F.col("key").cast("string").alias("key"), F.col("features").cast("array<double>").alias("features"), "label"]
+    return train.select(*columns, F.lit(True).alias("train")).unionByName(held.select(*columns, F.lit(False).alias("train")))
+
+
+def _fold_sets(folded: DataFrame, n: int, strategy: str | None = None, balancer: Callable[[DataFrame, str | None], DataFrame] | None = None) -> DataFrame:
+    """A set per fold: the other folds are its training rows, balanced or not."""
+    if strategy in (None, "none"):
+        repeated = folded.withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        return repeated.select("set", F.col("key").cast("string").alias("key"), "features", "label", (F.col("fold") != F.col("set")).alias("train"))
+    parts = [_set((balancer or _balanced)(folded.filter(F.col("fold") != i), strategy), folded.filter(F.col("fold") == i), i) for i in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def run_status(spark, statuses: Sequence[Mapping]) -> DataFrame:
     """Status rows of a sweep as a table."""
     rows = [(str(s.get("model", "")), str(s.get("strategy", "")), int(s.get("fold", -1)), s["status"], s["error"]) for s in statuses]
@@ -92,28 +136,42 @@ def search_trials(
     trials = stage(trial_table(spark, study, n_trials, model, reduced, _task(n_classes), seed), "trials")
     drawn = [(r.trial, {**r.params, **(overrides or {})}) for r in trials.orderBy("trial").collect()]
     folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", inner, seed), "inner", rebalance=True)
-    # each training fold is balanced and its scaler fitted once, not once per trial
-    train = {i: prepare_training(_balanced(folded.filter(F.col("fold") != i), strategy)) for i in range(inner)}
+    if grown_together(model):
+        jobs = [({"trial": t, "fold": i}, i, model, p) for t, p in drawn for i in range(inner)]
+        predictions, statuses = run_tree_jobs(_fold_sets(folded, inner, strategy), jobs, n_classes, seed)
+    else:
+        # each training fold is balanced and its scaler fitted once, not once per trial
+        train = {i: prepare_training(_balanced(folded.filter(F.col("fold") != i), strategy)) for i in range(inner)}
 
-    def job(params, i):
-        return lambda: fit_model(model, train[i], params, n_classes, seed)(folded.filter(F.col("fold") == i))
+        def job(params, i):
+            return lambda: fit_model(model, train[i], params, n_classes, seed)(folded.filter(F.col("fold") == i))
 
-    jobs = [({"trial": t, "fold": i}, job(p, i)) for t, p in drawn for i in range(inner)]
-    predictions, statuses = run_jobs(jobs, parallelism)
+        predictions, statuses = run_jobs([({"trial": t, "fold": i}, job(p, i)) for t, p in drawn for i in range(inner)], parallelism)
     if predictions is None:
         raise RuntimeError(f"every trial failed: {statuses[0]['error']}")
-    groups = ["trial", "fold"]
+    complete = _trial_scores(predictions, ["trial"], inner, n_classes)
+    return _overridden(trials, overrides).join(complete, "trial").select("study", "trial", "params", "score")
+
+
+def _trial_scores(predictions: DataFrame, trial: list[str], inner: int, n_classes: int) -> DataFrame:
+    """Mean score over the inner folds of the trials of which every fold was fitted."""
+    groups = [*trial, "fold"]
     if n_classes == 2:
         scores = metrics.average_precision(predictions, groups).withColumnRenamed("average_precision", "score")
     else:
         scores = metrics.averaged_auc(predictions, groups).select(*groups, F.col("pr_auc_macro").alias("score"))
-    mean = scores.groupBy("trial").agg(F.avg("score").alias("score"), F.count("*").alias("folds"))
-    complete = mean.filter(F.col("folds") == inner).select(F.col("trial").cast("bigint").alias("trial"), "score")
-    overridden = trials
+    mean = scores.groupBy(*trial).agg(F.avg("score").alias("score"), F.count("*").alias("folds"))
+    return mean.filter(F.col("folds") == inner).select(*[F.col(c).cast("bigint").alias(c) for c in trial], "score")
+
+
+def _overridden(trials: DataFrame, overrides: Mapping[str, str] | None) -> DataFrame:
     for name, value in (overrides or {}).items():
-        kept = F.map_filter("params", lambda k, v: k != F.lit(name))
-        overridden = overridden.withColumn("params", F.map_concat(kept, F.create_map(F.lit(name), F.lit(value))))
-    return overridden.join(complete, "trial").select("study", "trial", "params", "score")
+        trials = trials.withColumn("params", F.map_concat(_without(name), F.create_map(F.lit(name), F.lit(value))))
+    return trials
+
+
+def _without(name: str) -> Column:
+    return F.map_filter("params", lambda k, v: k != F.lit(name))
 
 
 def param_importance(trials: DataFrame, model: str, reduced: bool = False, task: str = "binary", seed: int = 42) -> DataFrame:
@@ -164,6 +222,8 @@ def nested_cv(
     By default the winner is refitted on the unbalanced fold, as the trials' balancing is part of
     the search only.
     """
+    if grown_together(model):
+        return _nested_trees(model, data, n_trials, outer, inner, strategy, reduced, n_classes, refit_balanced, seed, overrides)
     folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", outer, seed), "outer", rebalance=True)
     bests, jobs = [], []
     for i in range(outer):
@@ -183,6 +243,49 @@ def nested_cv(
     return _scored(predictions, ["fold", "split"], n_classes), reduce(DataFrame.unionByName, bests)
 
 
+def _nested_trees(model, data, n_trials, outer, inner, strategy, reduced, n_classes, refit_balanced, seed, overrides) -> tuple[DataFrame, DataFrame]:
+    """Nested folds of a tree family: one pass fits every trial on every inner fold of every outer fold, a second one the winners."""
+    spark = data.sparkSession
+    n_trials = n_trials or TRIALS_BY_MODEL.get(model, DEFAULT_TRIALS)
+    nested = stage(nested_folds(data.select("key", "features", "label"), "key", "label", outer, inner, seed), "nested", rebalance=True)
+    training = nested.filter("role = 'train'")
+    if strategy in (None, "none"):
+        repeated = training.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(inner - 1))))
+        number = (F.col("outer_fold") * inner + F.col("_j")).cast("int").alias("set")
+        sets = repeated.select(number, F.col("key").cast("string").alias("key"), "features", "label", (F.col("inner_fold") != F.col("_j")).alias("train"))
+    else:
+        parts = []
+        for i in range(outer):
+            rows = training.filter(F.col("outer_fold") == i)
+            for j in range(inner):
+                held = F.col("inner_fold") == j
+                parts.append(_set(_balanced(rows.filter(~held), strategy), rows.filter(held), i * inner + j))
+        sets = reduce(DataFrame.unionByName, parts)
+    tables = [trial_table(spark, f"{model}_{i}", n_trials, model, reduced, _task(n_classes), seed).withColumn("outer", F.lit(i)) for i in range(outer)]
+    trials = stage(_overridden(reduce(DataFrame.unionByName, tables), overrides), "trials")
+    drawn = [(r.outer, r.trial, dict(r.params)) for r in trials.orderBy("outer", "trial").toLocalIterator()]
+    jobs = [({"outer": i, "trial": t, "fold": j}, i * inner + j, model, p) for i, t, p in drawn for j in range(inner)]
+    predictions, statuses = run_tree_jobs(sets, jobs, n_classes, seed)
+    if predictions is None:
+        raise RuntimeError(f"every trial failed: {statuses[0]['error']}")
+    scores = _trial_scores(predictions, ["outer", "trial"], inner, n_classes)
+    ranked = trials.join(scores, ["outer", "trial"]).withColumn("fold", F.col("outer").cast("int")).select("study", "trial", "params", "score", "fold")
+    bests = stage(best_trial(ranked, ["fold"]), "best")
+    chosen = {r.fold: dict(r.params) for r in bests.collect()}
+    if refit_balanced and strategy not in (None, "none"):
+        whole = nested.withColumnRenamed("outer_fold", "fold")
+        parts = [_set(_balanced(whole.filter((F.col("fold") == i) & (F.col("role") == "train")), strategy), whole.filter((F.col("fold") == i) & (F.col("role") == "test")), i) for i in range(outer)]
+        again = reduce(DataFrame.unionByName, parts)
+    else:
+        again = nested.select(F.col("outer_fold").cast("int").alias("set"), F.col("key").cast("string").alias("key"), "features", "label", (F.col("role") == "train").alias("train"))
+    refits = [({"fold": i}, i, model, p) for i, p in sorted(chosen.items())]
+    refitted, statuses = run_tree_jobs(again, refits, n_classes, seed, score_train=True)
+    if refitted is None:
+        raise RuntimeError(statuses[0]["error"])
+    split = F.when(F.col("train"), "train").otherwise("test")
+    return _scored(refitted.withColumn("split", split).drop("train"), ["fold", "split"], n_classes), bests
+
+
 def holdout_grid(
     model: str,
     data: DataFrame,
@@ -200,6 +303,10 @@ def holdout_grid(
     spark = data.sparkSession
     split = stage(stratified_holdout(data.select("key", "features", "label"), "key", "label", 0.2, seed), "holdout", rebalance=True)
     train, test = split.filter("NOT is_test"), split.filter("is_test")
+    if grown_together(model):
+        sets = reduce(DataFrame.unionByName, [_set(_balanced(train, s), test, i) for i, s in enumerate(strategies)])
+        jobs = [({"model": model, "fold": fold, "strategy": s}, i, model, params) for fold, params in fold_params for i, s in enumerate(strategies)]
+        return _grid_scores(spark, *run_tree_jobs(sets, jobs, n_classes, seed), n_classes)
     balanced: dict[str, Training | Exception] = {}
     for strategy in strategies:
         try:
@@ -219,7 +326,10 @@ def holdout_grid(
     jobs = [
         ({"model": model, "fold": fold, "strategy": s}, job(s, params)) for fold, params in fold_params for s in strategies
     ]
-    predictions, statuses = run_jobs(jobs, parallelism)
+    return _grid_scores(spark, *run_jobs(jobs, parallelism), n_classes)
+
+
+def _grid_scores(spark, predictions: DataFrame | None, statuses: list[dict], n_classes: int) -> tuple[DataFrame, DataFrame]:
     status = run_status(spark, statuses)
     wanted = status.select("model", "fold", "strategy").select(
         "*", F.explode(F.array(*[F.lit(m) for m in metrics.METRICS])).alias("metric")
@@ -272,7 +382,9 @@ def evaluate_default(
     for i in range(n_folds):
         sets[i] = (folded.filter(F.col("fold") != i), folded.filter(F.col("fold") == i))
     sets = {i: (_balanced_default(train, strategy), held) for i, (train, held) in sets.items()}
-    trainings = {i: prepare_training(train) for i, (train, _) in sets.items()}
+    together = [m for m in given if grown_together(m)]
+    others = {m: p for m, p in given.items() if m not in together}
+    trainings = {i: prepare_training(train) for i, (train, _) in sets.items()} if others else {}
 
     def job(model: str, params: Mapping[str, str], fold: int):
         def run() -> DataFrame:
@@ -284,10 +396,16 @@ def evaluate_default(
 
         return run
 
-    jobs = [
-        ({"model": m, "strategy": strategy, "fold": fold}, job(m, params, fold)) for m, params in given.items() for fold in sets
-    ]
-    predictions, statuses = run_jobs(jobs, parallelism)
+    tags = lambda m, fold: {"model": m, "strategy": strategy, "fold": fold}
+    predictions, statuses = run_jobs([(tags(m, fold), job(m, params, fold)) for m, params in others.items() for fold in sets], parallelism)
+    if together:
+        united = reduce(DataFrame.unionByName, [_set(train, held, i) for i, (train, held) in sets.items()])
+        grown, more = run_tree_jobs(united, [(tags(m, i), i, m, given[m]) for m in together for i in sets], n_classes, seed, score_train=True)
+        statuses += more
+        if grown is not None:
+            split = F.when(F.col("train"), "train").when(F.col("fold") >= 0, "valid").otherwise("test")
+            grown = grown.withColumn("split", split).drop("train")
+            predictions = grown if predictions is None else predictions.withColumn("key", F.col("key").cast("string")).unionByName(grown)
     status = run_status(data.sparkSession, statuses)
     if predictions is None:
         raise RuntimeError(statuses[0]["error"])
@@ -316,14 +434,30 @@ def feature_group_cv(
     given = models if isinstance(models, Mapping) else {m: {} for m in models}
     folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", n_folds, seed), "folds", rebalance=True)
     jobs = []
-    for group in groups:
+    together = [m for m in given if grown_together(m)]
+    others = {m: p for m, p in given.items() if m not in together}
+    weightings = {"plain": {}, "balanced": {"class_weight": "balanced"}}
+    predictions = None
+    if together:
+        columns = [F.col("key").cast("string").alias("key"), "label", "fold"]
+        parts = [select_feature_group(folded, "features", g).select(*columns, "features", F.lit(k).alias("_g")) for k, g in enumerate(groups)]
+        repeated = reduce(DataFrame.unionByName, parts).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+        sets = repeated.select((F.col("_g") * n_folds + F.col("_i")).cast("int").alias("set"), "key", "features", "label", (F.col("fold") != F.col("_i")).alias("train"))
+        tree_jobs = [
+            ({"model": m, "feature_group": g, "weighting": w, "fold": i}, k * n_folds + i, m, {**given[m], **extra})
+            for k, g in enumerate(groups) for i in range(n_folds) for m in together for w, extra in weightings.items()
+        ]
+        predictions, statuses = run_tree_jobs(sets, tree_jobs, n_classes, seed, score_train=True)
+        if predictions is None:
+            raise RuntimeError(statuses[0]["error"])
+        predictions = predictions.withColumn("split", F.when(F.col("train"), "train").otherwise("test")).drop("train")
+    for group in groups if others else ():
         part = stage(select_feature_group(folded, "features", group), "group", rebalance=True)
         for i in range(n_folds):
             train, held = part.filter(F.col("fold") != i), part.filter(F.col("fold") == i)
             training = prepare_training(train)
-            for model, params in given.items():
-                for weighting in ("plain", "balanced"):
-                    extra = {"class_weight": "balanced"} if weighting == "balanced" else {}
+            for model, params in others.items():
+                for weighting, extra in weightings.items():
 
                     def run(model=model, params=params, extra=extra, training=training, train=train, held=held):
                         scorer = fit_model(model, training, {**params, **extra}, n_classes, seed)
@@ -332,7 +466,11 @@ def feature_group_cv(
                         )
 
                     jobs.append(({"model": model, "feature_group": group, "weighting": weighting, "fold": i}, run))
-    predictions, statuses = run_jobs(jobs, parallelism)
+    if jobs:
+        more, statuses = run_jobs(jobs, parallelism)
+        if more is not None:
+            more = more.withColumn("key", F.col("key").cast("string"))
+            predictions = more if predictions is None else predictions.unionByName(more)
     if predictions is None:
         raise RuntimeError(statuses[0]["error"])
     return _scored(predictions, ["model", "feature_group", "weighting", "fold", "split"], n_classes)

@@ -437,9 +437,10 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def _rows(sets: DataFrame) -> DataFrame:
-    """``set, row, key, label, train, features`` with the hash of the key."""
+    """``set, row, key, label, train, features``; ``row`` is the first 60 bits of the key's digest."""
+    digest = F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary"))
     return sets.select(
-        F.col("set").cast("int").alias("set"), F.xxhash64(F.col("key").cast("string")).alias("row"), F.col("key").cast("string").alias("key"),
+        F.col("set").cast("int").alias("set"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("row"), F.col("key").cast("string").alias("key"),
         F.col("label").cast("int").alias("label"), F.col("train").cast("boolean").alias("train"), F.col("features").cast("array<double>").alias("features"),
     )
 
