@@ -39,6 +39,28 @@ class Remembered(dict):
         return value
 
 
+def release_memory() -> None:
+    """Hand free memory back to the system: a worker lives on, and the next task would start on top of this one's peak."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # another C library, which needs no such call
+        pass
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a task, after which memory is handed back."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
 def small_batches(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes of text, or one row."""
     import numpy as np
@@ -93,7 +115,7 @@ def map_texts(
                 arrays += [pa.array(out[f.name], arrow.field(len(keep) + i).type) for i, f in enumerate(added.fields)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(releasing(run), schema)
 
 
 def filter_texts(
@@ -108,7 +130,7 @@ def filter_texts(
                 texts = [t or "" for t in part.column(text).to_pylist()]
                 yield part.filter(pa.array(function(texts), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:

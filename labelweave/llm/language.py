@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.llm.common import filter_texts, fold, map_texts, small_batches
+from labelweave.llm.common import filter_texts, fold, map_texts, releasing, small_batches
 from labelweave.runtime import stage
 
 #: Trigrams are hashed to so many bits; pairs of bytes are kept exactly.
@@ -125,7 +125,7 @@ def fit_languages(docs: DataFrame, lang: str = "lang", text: str = "text") -> La
                 names=["lang", "gram", "n"],
             )
 
-    counts = source.mapInArrow(count, "lang string, gram int, n bigint")
+    counts = source.mapInArrow(releasing(count), "lang string, gram int, n bigint")
     rows = stage(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams").toArrow()
     names = tuple(sorted(set(rows.column("lang").to_pylist())))
     size = 1 << 16

@@ -36,7 +36,7 @@ MISS = 1e-6
 #: Standard deviations of the signature's estimate that a candidate may be below the threshold.
 SLACK = 5.0
 #: Bytes of words and hashes that a task remembers.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 24 << 20
 #: Representatives that a part of a chunk sends on.
 REPRESENTATIVES = 8
 #: Ids that are broadcast at most when documents are looked up; beyond it the join shuffles.

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from labelweave.llm.common import releasing
 from labelweave.llm.tokens import MarkedIds, PieceIds, load_added, load_ranks
 
 #: Context sizes, powers of two.
@@ -196,4 +197,4 @@ def pack_documents(
         if pieces:
             yield table(pieces)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(releasing(run), schema)

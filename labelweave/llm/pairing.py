@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from labelweave.llm.common import releasing
+
 #: Rows of a chunk.
 CHUNK = 256
 
@@ -85,7 +87,7 @@ def map_groups(
             yield from close()
 
     dealt = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
-    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(releasing(run), schema)
 
 
 class Groups:

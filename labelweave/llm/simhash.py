@@ -20,7 +20,7 @@ from labelweave.runtime import stage
 
 BITS = 128
 #: Bytes of words and hashes that a task remembers.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 24 << 20
 #: bit i of byte value v as +1 or -1
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1)
 
