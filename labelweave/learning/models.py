@@ -1,4 +1,4 @@
-"""Model families behind one interface: trees of our own, the others on Spark ML.
+"""Model families behind one interface: trees and perceptrons of our own, the others on Spark ML.
 
 ``fit_model(name, train, params, n_classes)`` standardises on the training rows, fits, and returns a
 ``Scorer``: a function from rows ``(key, features, label)`` to
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelweave.functions.hashing import hash_hex
-from labelweave.learning.trees import TreeSpec, fit_jobs
+from labelweave.learning.jobs import Spec, fit_jobs
+from labelweave.learning.networks import NetSpec
+from labelweave.learning.trees import TreeSpec
 from labelweave.operators.neighbors import knn_classify
 from labelweave.operators.splits import balanced_class_weights
 from labelweave.runtime import stage
@@ -76,20 +78,6 @@ def _predicted(df: DataFrame, proba: Column) -> DataFrame:
     return scored.select("key", F.col("label").alias("y_true"), best.cast("int").alias("y_pred"), "proba")
 
 
-def _by_probability(model) -> Scorer:
-    """Scores from a probability vector; without one, a one-hot vector of the prediction."""
-
-    def score(df: DataFrame) -> DataFrame:
-        out = model.transform(_vectors(df))
-        if "probability" in out.columns:
-            return _predicted(out, vector_to_array("probability"))
-        n = max(2, model.numClasses)
-        one_hot = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: (c == F.col("prediction")).cast("double"))
-        return _predicted(out, one_hot)
-
-    return score
-
-
 def _one_vs_rest(train: DataFrame, n_classes: int, fit_binary: Callable[[DataFrame, int], Callable[[DataFrame], Column | DataFrame]]) -> Scorer:
     """Binary scorers per class, normalised to sum to one."""
     scorers = [
@@ -186,17 +174,40 @@ def tree_spec(name: str, params: Mapping[str, str], n_classes: int = 2, seed: in
     )
 
 
-#: Families whose jobs :mod:`labelweave.learning.trees` fits together.
+def net_spec(params: Mapping[str, str], n_classes: int = 2, seed: int = 42) -> NetSpec:
+    """What a perceptron trains with these parameters."""
+    return NetSpec(
+        n_classes,
+        tuple(int(params.get(f"layer_{i}_size", 100)) for i in range(int(params.get("n_layers", 1)))),
+        params.get("activation", "relu"),
+        float(params.get("alpha", 1e-4)),
+        params.get("solver", "adam"),
+        float(params.get("learning_rate_init", 1e-3)),
+        params.get("learning_rate", "constant"),
+        int(params.get("max_iter", 200)),
+        float(params.get("tol", 1e-4)),
+        seed,
+    )
+
+
 TREE_FAMILIES = ("decision_tree", "random_forest", *BOOSTING)
+#: Families whose jobs :mod:`labelweave.learning.jobs` fits together.
+TOGETHER = (*TREE_FAMILIES, "multi_layer_perceptron")
+
+
+def job_spec(name: str, params: Mapping[str, str], n_classes: int = 2, seed: int = 42) -> Spec:
+    """The job of a family that is fitted together with others."""
+    chosen = {**DEFAULT_PARAMS.get(name, {}), **params}
+    return net_spec(chosen, n_classes, seed) if name == "multi_layer_perceptron" else tree_spec(name, chosen, n_classes, seed)
 
 
 # ---------------------------------------------------------------- families
 
 
-def _fit_trees(name: str) -> Fit:
+def _fit_job(name: str) -> Fit:
     def fit(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: int) -> Scorer:
         rows = train.select(F.lit(0).alias("set"), "key", "features", "label", F.lit(True).alias("train"))
-        model = fit_jobs(rows, {0: (0, tree_spec(name, params, n_classes, seed))})[0]
+        model = fit_jobs(rows, {0: (0, job_spec(name, params, n_classes, seed))})[0]
         shared = train.sparkSession.sparkContext.broadcast(model)
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -205,7 +216,7 @@ def _fit_trees(name: str) -> Fit:
 
         return lambda df: _predicted(df, proba(F.col("features").cast("array<double>")))
 
-    fit.trees = True
+    fit.together = True
     return fit
 
 
@@ -226,22 +237,6 @@ def fit_knn(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: i
     return score
 
 
-def fit_mlp(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: int) -> Scorer:
-    width = train.select(F.size("features")).first()[0]
-    layers = int(params.get("n_layers", 1))
-    hidden = [int(params.get(f"layer_{i}_size", 100)) for i in range(layers)]
-    estimator = MultilayerPerceptronClassifier(
-        featuresCol="vector",
-        labelCol="label",
-        layers=[width, *hidden, n_classes],
-        maxIter=int(params.get("max_iter", 200)),
-        solver="gd" if params.get("solver") == "sgd" else "l-bfgs",
-        stepSize=float(params.get("learning_rate_init", 0.03)),
-        seed=seed,
-    )
-    return _by_probability(estimator.fit(_vectors(train)))
-
-
 def kernel_features(kernel: str, width: int, gamma: float, degree: int, n_features: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
     """Random features whose inner products approximate a kernel.
 
@@ -348,9 +343,8 @@ def fit_svm(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: i
 # ---------------------------------------------------------------- registry
 
 FAMILIES: dict[str, Fit] = {
-    **{name: _fit_trees(name) for name in TREE_FAMILIES},
+    **{name: _fit_job(name) for name in TOGETHER},
     "k_nearest_neighbors": fit_knn,
-    "multi_layer_perceptron": fit_mlp,
     "svc": fit_svm,
 }
 

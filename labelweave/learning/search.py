@@ -1,7 +1,7 @@
 """Hyper-parameter search, nested cross-validation and evaluation sweeps.
 
-The driver holds job lists, model objects and bounded specifications; rows stay in tables.  All tree jobs of a sweep, whatever their trial,
-fold or strategy, are fitted together (:mod:`labelweave.learning.trees`); jobs of other families run as Spark jobs from a bounded pool of
+The driver holds job lists, model objects and bounded specifications; rows stay in tables.  All tree and perceptron jobs of a sweep, whatever their
+trial, fold or strategy, are fitted together (:mod:`labelweave.learning.jobs`); jobs of other families run as Spark jobs from a bounded pool of
 threads.  Predictions go to staged tables that are scored together in one pass grouped by job.
 """
 
@@ -16,9 +16,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.learning.models import FAMILIES, TREE_FAMILIES, Training, fit_model, prepare_training, tree_spec
+from labelweave.learning.jobs import fit_predict
+from labelweave.learning.models import FAMILIES, TOGETHER, Training, fit_model, job_spec, prepare_training
 from labelweave.learning.spaces import DEFAULT_TRIALS, TRIALS_BY_MODEL, param_space, trial_table
-from labelweave.learning.trees import fit_predict
 from labelweave.operators import metrics
 from labelweave.operators.balance import balance
 from labelweave.operators.clean import select_feature_group
@@ -66,14 +66,14 @@ def run_jobs(jobs: Sequence[tuple[dict, Callable[[], DataFrame]]], parallelism:
 
 
 def grown_together(model: str) -> bool:
-    """Whether the jobs of a family are fitted in one pass: it is a tree family and not registered anew."""
-    return model in TREE_FAMILIES and getattr(FAMILIES[model], "trees", False)
+    """Whether the jobs of a family are fitted together: it is one of those and not registered anew."""
+    return model in TOGETHER and getattr(FAMILIES[model], "together", False)
 
 
-def run_tree_jobs(
+def run_together(
     sets: DataFrame, jobs: Sequence[tuple[dict, int, str, Mapping[str, str]]], n_classes: int, seed: int, score_train: bool = False
 ) -> tuple[DataFrame | None, list[dict]]:
-    """Fit ``(tags, set, model, params)`` jobs of tree families together: tagged predictions with ``train``, and a status row per job.
+    """Fit ``(tags, set, model, params)`` jobs together: tagged predictions with ``train``, and a status row per job.
 
     A job whose parameters cannot be read does not stop the others.
     """
@@ -81,7 +81,7 @@ def run_tree_jobs(
     specs, statuses = {}, []
     for number, (tags, of_set, model, params) in enumerate(jobs):
         try:
-            specs[number] = (of_set, tree_spec(model, params, n_classes, seed))
+            specs[number] = (of_set, job_spec(model, params, n_classes, seed))
             statuses.append({**tags, "status": "ok", "error": ""})
         except ValueError as error:
             statuses.append({**tags, "status": "error", "error": f"{type(error).__name__}: {error}"})
@@ -138,7 +138,7 @@ def search_trials(
     folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", inner, seed), "inner", rebalance=True)
     if grown_together(model):
         jobs = [({"trial": t, "fold": i}, i, model, p) for t, p in drawn for i in range(inner)]
-        predictions, statuses = run_tree_jobs(_fold_sets(folded, inner, strategy), jobs, n_classes, seed)
+        predictions, statuses = run_together(_fold_sets(folded, inner, strategy), jobs, n_classes, seed)
     else:
         # each training fold is balanced and its scaler fitted once, not once per trial
         train = {i: prepare_training(_balanced(folded.filter(F.col("fold") != i), strategy)) for i in range(inner)}
@@ -223,7 +223,7 @@ def nested_cv(
     the search only.
     """
     if grown_together(model):
-        return _nested_trees(model, data, n_trials, outer, inner, strategy, reduced, n_classes, refit_balanced, seed, overrides)
+        return _nested_together(model, data, n_trials, outer, inner, strategy, reduced, n_classes, refit_balanced, seed, overrides)
     folded = stage(stratified_kfold(data.select("key", "features", "label"), "key", "label", outer, seed), "outer", rebalance=True)
     bests, jobs = [], []
     for i in range(outer):
@@ -243,8 +243,8 @@ def nested_cv(
     return _scored(predictions, ["fold", "split"], n_classes), reduce(DataFrame.unionByName, bests)
 
 
-def _nested_trees(model, data, n_trials, outer, inner, strategy, reduced, n_classes, refit_balanced, seed, overrides) -> tuple[DataFrame, DataFrame]:
-    """Nested folds of a tree family: one pass fits every trial on every inner fold of every outer fold, a second one the winners."""
+def _nested_together(model, data, n_trials, outer, inner, strategy, reduced, n_classes, refit_balanced, seed, overrides) -> tuple[DataFrame, DataFrame]:
+    """Nested folds of a family whose jobs are fitted together: one pass fits every trial on every inner fold of every outer fold, a second one the winners."""
     spark = data.sparkSession
     n_trials = n_trials or TRIALS_BY_MODEL.get(model, DEFAULT_TRIALS)
     nested = stage(nested_folds(data.select("key", "features", "label"), "key", "label", outer, inner, seed), "nested", rebalance=True)
@@ -265,7 +265,7 @@ def _nested_trees(model, data, n_trials, outer, inner, strategy, reduced, n_clas
     trials = stage(_overridden(reduce(DataFrame.unionByName, tables), overrides), "trials")
     drawn = [(r.outer, r.trial, dict(r.params)) for r in trials.orderBy("outer", "trial").toLocalIterator()]
     jobs = [({"outer": i, "trial": t, "fold": j}, i * inner + j, model, p) for i, t, p in drawn for j in range(inner)]
-    predictions, statuses = run_tree_jobs(sets, jobs, n_classes, seed)
+    predictions, statuses = run_together(sets, jobs, n_classes, seed)
     if predictions is None:
         raise RuntimeError(f"every trial failed: {statuses[0]['error']}")
     scores = _trial_scores(predictions, ["outer", "trial"], inner, n_classes)
@@ -279,7 +279,7 @@ def _nested_trees(model, data, n_trials, outer, inner, strategy, reduced, n_clas
     else:
         again = nested.select(F.col("outer_fold").cast("int").alias("set"), F.col("key").cast("string").alias("key"), "features", "label", (F.col("role") == "train").alias("train"))
     refits = [({"fold": i}, i, model, p) for i, p in sorted(chosen.items())]
-    refitted, statuses = run_tree_jobs(again, refits, n_classes, seed, score_train=True)
+    refitted, statuses = run_together(again, refits, n_classes, seed, score_train=True)
     if refitted is None:
         raise RuntimeError(statuses[0]["error"])
     split = F.when(F.col("train"), "train").otherwise("test")
@@ -306,7 +306,7 @@ def holdout_grid(
     if grown_together(model):
         sets = reduce(DataFrame.unionByName, [_set(_balanced(train, s), test, i) for i, s in enumerate(strategies)])
         jobs = [({"model": model, "fold": fold, "strategy": s}, i, model, params) for fold, params in fold_params for i, s in enumerate(strategies)]
-        return _grid_scores(spark, *run_tree_jobs(sets, jobs, n_classes, seed), n_classes)
+        return _grid_scores(spark, *run_together(sets, jobs, n_classes, seed), n_classes)
     balanced: dict[str, Training | Exception] = {}
     for strategy in strategies:
         try:
@@ -400,7 +400,7 @@ def evaluate_default(
     predictions, statuses = run_jobs([(tags(m, fold), job(m, params, fold)) for m, params in others.items() for fold in sets], parallelism)
     if together:
         united = reduce(DataFrame.unionByName, [_set(train, held, i) for i, (train, held) in sets.items()])
-        grown, more = run_tree_jobs(united, [(tags(m, i), i, m, given[m]) for m in together for i in sets], n_classes, seed, score_train=True)
+        grown, more = run_together(united, [(tags(m, i), i, m, given[m]) for m in together for i in sets], n_classes, seed, score_train=True)
         statuses += more
         if grown is not None:
             split = F.when(F.col("train"), "train").when(F.col("fold") >= 0, "valid").otherwise("test")
@@ -443,11 +443,11 @@ def feature_group_cv(
         parts = [select_feature_group(folded, "features", g).select(*columns, "features", F.lit(k).alias("_g")) for k, g in enumerate(groups)]
         repeated = reduce(DataFrame.unionByName, parts).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
         sets = repeated.select((F.col("_g") * n_folds + F.col("_i")).cast("int").alias("set"), "key", "features", "label", (F.col("fold") != F.col("_i")).alias("train"))
-        tree_jobs = [
+        its_jobs = [
             ({"model": m, "feature_group": g, "weighting": w, "fold": i}, k * n_folds + i, m, {**given[m], **extra})
             for k, g in enumerate(groups) for i in range(n_folds) for m in together for w, extra in weightings.items()
         ]
-        predictions, statuses = run_tree_jobs(sets, tree_jobs, n_classes, seed, score_train=True)
+        predictions, statuses = run_together(sets, its_jobs, n_classes, seed, score_train=True)
         if predictions is None:
             raise RuntimeError(statuses[0]["error"])
         predictions = predictions.withColumn("split", F.when(F.col("train"), "train").otherwise("test")).drop("train")

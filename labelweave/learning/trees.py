@@ -6,7 +6,7 @@ quantiles of the set's training rows.
 * Large sets grow level by level: one pass over the rows sums statistics per (job, tree, node, feature, bin) inside each task, Spark adds them
   up, and the best split of every open node of every job is chosen from the sums.  The number of passes follows the depth (and the rounds of
   boosting), not the number of jobs; rows are never gathered.
-* A set of at most ``LOCAL_CELLS`` feature values is small enough that a task can hold all of it: there each of its jobs is grown in
+* A set of at most ``jobs.LOCAL_CELLS`` feature values is small enough that a task can hold all of it: there each of its jobs is grown in
   one task, with the same splits, and all jobs side by side.
 
 Random choices are hashes of (seed, tree, row or node), so both ways draw alike and a retried task repeats its draws.
@@ -15,8 +15,7 @@ Random choices are hashes of (seed, tree, row or node), so both ways draw alike
 from __future__ import annotations
 
 import math
-import pickle
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +25,6 @@ from pyspark.sql import functions as F
 
 from labelweave.runtime import stage
 
-#: Rows times features of a set whose jobs are grown in one task each.
-LOCAL_CELLS = 1 << 20
 #: Most bins of a feature, and statistics that a task holds in a pass.
 MOST_BINS, HELD = 65_535, 1 << 22
 #: Rounds of boosting after which the rows are written anew with the margins reached, so that a pass applies no more trees than these.
@@ -398,7 +395,7 @@ def fit_here(spec: TreeSpec, x: np.ndarray, label: np.ndarray, rows: np.ndarray,
 # ---------------------------------------------------------------- Spark
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix_of(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
@@ -417,7 +414,7 @@ def set_edges(rows: DataFrame, bins: Mapping[int, int]) -> dict[int, list[np.nda
     return out
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
     """Runs of equal keys of sorted batches."""
     held: list[pa.RecordBatch] = []
     held_key = None
@@ -436,121 +433,7 @@ def _by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield held_key, pa.Table.from_batches(held)
 
 
-def _rows(sets: DataFrame) -> DataFrame:
-    """``set, row, key, label, train, features``; ``row`` is the first 60 bits of the key's digest."""
-    digest = F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")).cast("binary"))
-    return sets.select(
-        F.col("set").cast("int").alias("set"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("row"), F.col("key").cast("string").alias("key"),
-        F.col("label").cast("int").alias("label"), F.col("train").cast("boolean").alias("train"), F.col("features").cast("array<double>").alias("features"),
-    )
-
-
-def _dealt(rows: DataFrame, jobs: Mapping[int, tuple[int, TreeSpec]], names: Sequence[str]) -> DataFrame:
-    """Rows of small sets, once for each of the set's jobs, a job's rows together and in the order of their keys."""
-    of_set: dict[int, list[int]] = {}
-    for job, (s, _) in jobs.items():
-        of_set.setdefault(s, []).append(job)
-    table = rows.sparkSession.createDataFrame([(s, j) for s, js in of_set.items() for j in js], "set int, job int")
-    # as many tasks as jobs, up to a few per core, so that adaptive planning does not put them into one
-    n = max(1, min(len(jobs), 4 * rows.sparkSession.sparkContext.defaultParallelism))
-    return rows.join(F.broadcast(table), "set").select("job", *names).repartition(n, "job").sortWithinPartitions("job", "row", "key")
-
-
-def fit_jobs(sets: DataFrame, jobs: Mapping[int, tuple[int, TreeSpec]], local_cells: int = LOCAL_CELLS) -> dict[int, TreeModel]:
-    """Fit every job ``{job: (set, spec)}`` on the training rows of its set; the models go to the driver.
-
-    ``sets`` has ``set, key, features, label, train``; every set has rows, and features of one length.
-    """
-    rows = stage(_rows(sets), "sets")
-    small, edges = _measured(rows, jobs, local_cells)
-    here = {j: v for j, v in jobs.items() if v[0] in small}
-    models = {}
-    if here:
-        shared = rows.sparkSession.sparkContext.broadcast((here, edges))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            jobs, edges = shared.value
-            for job, table in _by_key(batches, "job"):
-                model = _fit_table(jobs[job], edges, table)
-                yield pa.RecordBatch.from_arrays([pa.array([job], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], names=["job", "model"])
-
-        dealt = _dealt(rows.filter("train"), here, ["row", "key", "label", "features"])
-        models = {r.job: pickle.loads(r.model) for r in stage(dealt.mapInArrow(run, "job int, model binary"), "models").toLocalIterator()}
-    return models | _fit_by_levels(rows.filter("train"), {j: v for j, v in jobs.items() if j not in here}, edges)
-
-
-def _fit_table(job: tuple[int, TreeSpec], edges: dict, table: pa.Table) -> TreeModel:
-    x = _matrix(table.column("features").combine_chunks())
-    return fit_here(job[1], x, table.column("label").to_numpy(), table.column("row").to_numpy(), edges[job[0]])
-
-
-def _measured(rows: DataFrame, jobs: Mapping[int, tuple[int, TreeSpec]], local_cells: int) -> tuple[set[int], dict[int, list[np.ndarray]]]:
-    """The sets that a task can hold, and the edges of all sets."""
-    sizes = rows.groupBy("set").agg((F.count("*") * F.max(F.size("features"))).alias("cells")).collect()
-    bins: dict[int, int] = {}
-    for s, spec in jobs.values():
-        bins[s] = max(bins.get(s, 2), min(spec.bins, MOST_BINS))
-    return {r.set for r in sizes if r.cells <= local_cells}, set_edges(rows, bins)
-
-
-PREDICTED = "job int, key string, y_true int, y_pred int, proba array<double>, train boolean"
-
-
-def _predicted(job: int, table: pa.Table, p: np.ndarray) -> pa.RecordBatch:
-    n = len(p)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, job, np.int32)), table.column("key").combine_chunks(), table.column("label").combine_chunks(),
-            pa.array(p.argmax(1).astype(np.int32)), pa.array(list(p), pa.list_(pa.float64())), table.column("train").combine_chunks(),
-        ],
-        names=["job", "key", "y_true", "y_pred", "proba", "train"],
-    )
-
-
-def fit_predict(sets: DataFrame, jobs: Mapping[int, tuple[int, TreeSpec]], score_train: bool = False, local_cells: int = LOCAL_CELLS) -> DataFrame:
-    """Predictions of every job for the other rows of its set (and its training rows): ``job, key, y_true, y_pred, proba, train``.
-
-    ``sets`` as for :func:`fit_jobs`.  Jobs of small sets are fitted and scored in one task, so no model leaves it.
-    """
-    rows = stage(_rows(sets), "sets")
-    small, edges = _measured(rows, jobs, local_cells)
-    here = {j: v for j, v in jobs.items() if v[0] in small}
-    away = {j: v for j, v in jobs.items() if j not in here}
-    context = rows.sparkSession.sparkContext
-    parts = []
-    if here:
-        shared = context.broadcast((here, edges))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            jobs, edges = shared.value
-            for job, table in _by_key(batches, "job"):
-                train = table.column("train").to_numpy()
-                model = _fit_table(jobs[job], edges, table.filter(pa.array(train)))
-                scored = table if score_train else table.filter(pa.array(~train))
-                if scored.num_rows:
-                    yield _predicted(job, scored, model.proba(_matrix(scored.column("features").combine_chunks())))
-
-        parts.append(_dealt(rows, here, ["row", "key", "label", "train", "features"]).mapInArrow(run, PREDICTED))
-    if away:
-        held = context.broadcast(({j: away[j][0] for j in away}, _fit_by_levels(rows.filter("train"), away, edges)))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            of_job, models = held.value
-            for batch in batches:
-                table = pa.Table.from_batches([batch])
-                sets = batch.column("set").to_numpy()
-                for job, s in of_job.items():
-                    part = table.filter(pa.array(sets == s))
-                    if part.num_rows:
-                        yield _predicted(job, part, models[job].proba(_matrix(part.column("features").combine_chunks())))
-
-        wanted = rows if score_train else rows.filter("NOT train")
-        parts.append(wanted.mapInArrow(score, PREDICTED))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return stage(out, "predictions")
-
-
-def _fit_by_levels(rows: DataFrame, jobs: Mapping[int, tuple[int, TreeSpec]], edges: dict[int, list[np.ndarray]]) -> dict[int, TreeModel]:
+def fit_by_levels(rows: DataFrame, jobs: Mapping[int, tuple[int, TreeSpec]], edges: dict[int, list[np.ndarray]]) -> dict[int, TreeModel]:
     """Fit jobs on sets of any size, one pass over the rows per level (and round); see the module's text."""
     if not jobs:
         return {}
@@ -624,8 +507,8 @@ def _grow_level(rows: DataFrame, growing: dict[tuple[int, int], Tree | None], fi
             sets, label_of, row_of = (batch.column(c).to_numpy() for c in ("set", "label", "row"))
             for s in np.unique(sets).tolist():
                 at = np.flatnonzero(sets == s)
-                x, label, row = _matrix(batch.column("features").take(pa.array(at))), label_of[at], row_of[at]
-                base = _matrix(batch.column("base").take(pa.array(at)))
+                x, label, row = matrix_of(batch.column("features").take(pa.array(at))), label_of[at], row_of[at]
+                base = matrix_of(batch.column("base").take(pa.array(at)))
                 cells: dict[int, np.ndarray] = {}
                 margins: dict[int, np.ndarray] = {}
                 for t in of_set.get(s, ()):
@@ -666,7 +549,7 @@ def _grow_level(rows: DataFrame, growing: dict[tuple[int, int], Tree | None], fi
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, trees = level.value
-        for at, table in _by_key(batches, "at"):
+        for at, table in by_key(batches, "at"):
             t, node = at >> 31, at & (1 << 31) - 1
             job, number = names[t]
             spec = fixed.value[job][1]
@@ -719,7 +602,7 @@ def _with_margins(rows: DataFrame, fixed, done) -> DataFrame:
             out: list = [None] * batch.num_rows
             for s in np.unique(sets).tolist():
                 at = np.flatnonzero(sets == s)
-                x, base = (_matrix(batch.column(c).take(pa.array(at))) for c in ("features", "base"))
+                x, base = (matrix_of(batch.column(c).take(pa.array(at))) for c in ("features", "base"))
                 parts = [_margins(plans, models, since, j, x, base) for j in sorted(models) if plans[j][0] == s]
                 for i, row in zip(at, np.hstack(parts) if parts else np.empty((len(at), 0))):
                     out[i] = row

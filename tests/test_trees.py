@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from labelweave.learning import models
-from labelweave.learning.trees import TreeModel, TreeSpec, draws, fit_here, fit_jobs, fit_predict, gradients, job_edges, link
+from labelweave.learning.jobs import fit_jobs, fit_predict
+from labelweave.learning.trees import TreeModel, TreeSpec, draws, fit_here, gradients, job_edges, link
 
 ROWS = 260
 
