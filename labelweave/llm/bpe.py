@@ -8,19 +8,20 @@ Ordered aggregation gives each word's ids and, from the vocabulary, its decoded
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from labelweave.llm.common import map_texts
+from labelweave.llm.common import ENTRY_BYTES, map_texts
 from labelweave.llm.tokens import cut, load_ranks
 
-#: Cuts of texts whose results a task remembers.
-CACHE = 1_200_000
+#: Bytes of cuts and results that a worker remembers, in two generations.
+CACHE_BYTES = 160 << 20
 #: Words of more bytes need one round per merge; they are merged one by one outside the recursion.
 LONG_WORD = 128
-#: Words that one recursive query takes.
-WORDS_PER_QUERY = 40_000
+#: Words that one recursive query takes, and the rows that it may hold: a word has a row per byte in each of its rounds.
+WORDS_PER_QUERY, ROWS_PER_QUERY = 40_000, 1_500_000
 
 ENCODE = """
 WITH RECURSIVE step AS (
@@ -97,6 +98,7 @@ class Codec:
         # two generations: what the older one holds is taken over when it is met again, the rest is forgotten
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
         self.older: dict[str, tuple[int, bytes, bytes]] = {}
+        self.size = 0
         self.db = duckdb.connect()
         for setting in ("threads = 1", "memory_limit = '500MB'", "temp_directory = ''"):
             self.db.execute(f"SET {setting}")
@@ -120,8 +122,7 @@ class Codec:
             else:
                 ids = merge_long(raw, self.ranks)
                 out[w] = (len(ids), " ".join(map(str, ids)).encode(), b"".join(self.tokens[i] for i in ids))
-        for at in range(0, len(short), WORDS_PER_QUERY):
-            part = short[at : at + WORDS_PER_QUERY]
+        for part in self._parts(short):
             number = [i for i, (_, raw) in enumerate(part) for _ in raw]
             place = [j for _, raw in part for j in range(len(raw))]
             letter = [self.ranks[raw[j : j + 1]] for _, raw in part for j in range(len(raw))]
@@ -133,13 +134,31 @@ class Codec:
                 out[part[i][0]] = (n, ids.encode(), decoded)
         return out
 
+    @staticmethod
+    def _parts(words: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+        """The words in lists of bounded work, short ones first, so that words of a list take about as many rounds."""
+        part, rows = [], 0
+        for word in sorted(words, key=lambda w: len(w[1])):
+            more = len(word[1]) ** 2
+            if part and (len(part) == WORDS_PER_QUERY or rows + more > ROWS_PER_QUERY):
+                yield part
+                part, rows = [], 0
+            part.append(word)
+            rows += more
+        if part:
+            yield part
+
     def code(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         """Per text: number of ids, decimal ids joined by a space, decoded bytes."""
         pieces = [cut(t) for t in texts]
         pieces = [self.words(t) if p is None else p for t, p in zip(texts, pieces)]
         wanted = set().union(*pieces) if pieces else set()
-        if len(self.known) + len(wanted) > CACHE // 2:
-            self.known, self.older = {}, self.known
+        if self.size > CACHE_BYTES // 2:
+            self.known, self.older, self.size = {}, self.known, 0
+
+        def keep(key: str, value: tuple[int, bytes, bytes]) -> None:
+            self.known[key] = value
+            self.size += ENTRY_BYTES + 2 * len(key) + len(value[1]) + len(value[2])
 
         def take(keys) -> set:
             """What is known of ``keys`` is kept; returns the rest."""
@@ -147,17 +166,18 @@ class Codec:
             for k in keys:
                 if k not in self.known:
                     if k in self.older:
-                        self.known[k] = self.older[k]
+                        keep(k, self.older[k])
                     else:
                         rest.add(k)
             return rest
 
         fresh = {p: self.words(p) for p in take(wanted)}
-        self.known.update(self.encode_words(list(take(set().union(*fresh.values())))) if fresh else {})
+        for word, value in (self.encode_words(list(take(set().union(*fresh.values())))) if fresh else {}).items():
+            keep(word, value)
         for piece, words in fresh.items():
             if len(words) != 1:
                 parts = [self.known[w] for w in words]
-                self.known[piece] = (sum(p[0] for p in parts), b" ".join([p[1] for p in parts]), b"".join([p[2] for p in parts]))
+                keep(piece, (sum(p[0] for p in parts), b" ".join([p[1] for p in parts]), b"".join([p[2] for p in parts])))
         out = []
         for own in pieces:
             parts = [self.known[p] for p in own]

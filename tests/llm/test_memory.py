@@ -5,10 +5,12 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+import tiktoken
 
-from labelweave.llm import common, language, minhash
+from labelweave.llm import bpe, common, language, minhash, tokens
 
 
 def test_small_batches_hold_rows_and_bytes():
@@ -66,3 +68,14 @@ def test_clashing_columns_of_near_duplicates(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, _text string, _cls string, c0 int")
     got = minhash.drop_near_duplicates(df)
     assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+
+
+def test_bpe_of_texts_without_spaces():
+    """Different long words of characters of three bytes each, which need many rounds, in one batch."""
+    rng = np.random.default_rng(2)
+    texts = ["，".join("".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 30)) for _ in range(160)) for _ in range(64)]
+    codec = bpe.Codec(tokens.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    for (n, ids, raw), text in zip(codec.code(texts), texts):
+        want = encoding.encode_ordinary(text)
+        assert n == len(want) and ids.decode() == " ".join(map(str, want)) and raw == text.encode()
