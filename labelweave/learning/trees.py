@@ -234,6 +234,7 @@ def grow_here(spec: TreeSpec, number: int, x: np.ndarray, order: np.ndarray, sta
         return tree
     order = order[features]
     order = order[use[order]].reshape(len(features), -1)
+    columns = np.ascontiguousarray(x[:, features].T)
     kind = np.uint16 if len(x) < 65_535 else np.uint32
     closed = np.iinfo(kind).max
     place = np.zeros(len(x), kind)
@@ -247,21 +248,24 @@ def grow_here(spec: TreeSpec, number: int, x: np.ndarray, order: np.ndarray, sta
         before[:, 1:] = sums[:, starts[1:] - 1]
         size = np.diff(np.append(starts, order.shape[1]))
         total = tree.stats[nodes]
-        left = sums - np.repeat(before, size, axis=1)
-        bins = np.take_along_axis(x[:, features].T, order, 1)
-        gain = gains(spec, left, np.repeat(total, size, axis=0)[None])
-        last = np.append(node[1:] != node[:-1], True)
-        gain[:, :-1][bins[:, 1:] == bins[:, :-1]] = -np.inf
-        gain[:, last] = -np.inf
+        bins = np.take_along_axis(columns, order, 1)
+        # a cut is between two bins of one node, at a feature that the node tries
+        cut = np.zeros(bins.shape, bool)
+        cut[:, :-1] = (bins[:, 1:] != bins[:, :-1]) & (node[1:] == node[:-1])
         if spec.random_split:
             low, high = bins[:, starts], bins[:, starts + size - 1]
             u = draws(spec.seed, 6, number, tree.number[nodes][None, :], features[:, None])
             limit = np.repeat(low + np.floor(u * (high - low)).astype(bins.dtype), size, axis=1)
-            gain[:, :-1][(bins[:, :-1] > limit[:, :-1]) | (bins[:, 1:] <= limit[:, :-1])] = -np.inf
+            cut[:, :-1] &= (bins[:, :-1] <= limit[:, :-1]) & (bins[:, 1:] > limit[:, :-1])
         tried = node_features(spec, number, tree.number[nodes], features)
-        best = np.maximum.reduceat(gain, starts, axis=1)
         if tried is not None:
-            best[~tried] = -np.inf
+            cut &= np.repeat(tried, size, axis=1)
+        at_f, at_row = np.nonzero(cut)
+        of_node = np.repeat(np.arange(len(starts)), size)[at_row]
+        left = sums[at_f, at_row] - before[at_f, of_node]
+        gain = np.full(bins.shape, -np.inf)
+        gain[at_f, at_row] = gains(spec, left, total[of_node])
+        best = np.maximum.reduceat(gain, starts, axis=1)
         score = noisy(spec, number, tree.number[nodes], features, best)
         f = score.argmax(0)
         k = np.arange(len(nodes))
@@ -270,7 +274,7 @@ def grow_here(spec: TreeSpec, number: int, x: np.ndarray, order: np.ndarray, sta
         hit = gain[f.repeat(size), np.arange(order.shape[1])] == np.repeat(best[f, k], size)
         at = np.minimum.reduceat(np.where(hit, np.arange(order.shape[1]), order.shape[1]), starts)
         f, at, chosen = f[good], at[good], nodes[good]
-        cut_left, cut_bin = left[f, at], bins[f, at]
+        cut_left, cut_bin = sums[f, at] - before[f, np.flatnonzero(good)], bins[f, at]
         tree.split(chosen, features[f], cut_bin, cut_left)
         # rows go on with their child if it is open
         ends = np.full(len(tree.feature), closed, kind)
