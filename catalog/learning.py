@@ -190,6 +190,13 @@ def evaluate_default(spark, folder):
     return rounded(scored)
 
 
+@query("evaluate_default_trees")
+def evaluate_default_trees(spark, folder):
+    """The same sweep for a tree and a forest alone, which the benchmark times."""
+    scored, _ = search.evaluate_default(["decision_tree", "random_forest"], matrix(spark, folder))
+    return rounded(scored)
+
+
 @query("feature_group_cv")
 def feature_group_cv(spark, folder):
     """All feature groups, plain and with balanced classes, on five folds."""

@@ -7,24 +7,27 @@ threads.  Predictions go to staged tables that are scored together in one pass g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelweave.learning.importance import Domain, leaf_boxes, marginal_shares
 from labelweave.learning.jobs import fit_predict
 from labelweave.learning.models import FAMILIES, TOGETHER, Training, fit_model, job_spec, prepare_training
-from labelweave.learning.spaces import DEFAULT_TRIALS, TRIALS_BY_MODEL, param_space, trial_table
+from labelweave.learning.spaces import DEFAULT_TRIALS, TRIALS_BY_MODEL, Param, param_space, trial_table
 from labelweave.operators import metrics
 from labelweave.operators.balance import balance
 from labelweave.operators.clean import select_feature_group
 from labelweave.operators.leaderboards import best_fold, best_trial
 from labelweave.operators.splits import kfold, nested_folds, stratified_holdout, stratified_kfold
-from labelweave.runtime import stage
+from labelweave.runtime import new_path, stage
 
 #: Strategies compared on the holdout rows.
 HOLDOUT_STRATEGIES = ("none", "randomundersampler", "smoteenn", "tomeklinks")
@@ -174,27 +177,45 @@ def _without(name: str) -> Column:
     return F.map_filter("params", lambda k, v: k != F.lit(name))
 
 
-def param_importance(trials: DataFrame, model: str, reduced: bool = False, task: str = "binary", seed: int = 42) -> DataFrame:
-    """Importance of every varying parameter for the score: ``(param, value)``.
+def param_domain(p: Param) -> Domain:
+    """Where a search parameter is drawn from; choices by their number, logarithmic ones by their logarithm."""
+    if p.kind == "choice":
+        return Domain(tuple(float(i) for i in range(len(p.choices))))
+    if p.kind == "int" or p.step:
+        return Domain(tuple(p.low + i * p.step for i in range(int((p.high - p.low) / p.step + 1e-9) + 1)))
+    return Domain((), math.log(p.low), math.log(p.high)) if p.log else Domain((), p.low, p.high)
 
-    A random forest is fitted on the trials; parameters a trial does not use read as their median
-    place, zero.
+
+def param_importance(trials: DataFrame, model: str, reduced: bool = False, task: str = "binary", seed: int = 42, trees: int = 50) -> DataFrame:
+    """Importance of every varying parameter for the score, by functional analysis of variance: ``(param, value)``.
+
+    A random forest is fitted on the trials; the value is the mean share of a tree's variance over the search space that the parameter explains
+    alone.  A parameter that a trial does not use, or that cannot be read, counts as its lowest value or first choice; trials without a score are left
+    out.  The driver holds the forest's nodes.
     """
     space = [p for p in param_space(model, reduced, task) if p.kind != "fixed"]
-    numeric = [p.name for p in space if p.kind in ("int", "float")]
-    texts = [p.name for p in space if p.kind == "choice"]
-    wide = trials.select(
-        "score",
-        *[F.coalesce(F.col("params")[n].try_cast("double"), F.lit(0.0)).alias(n) for n in numeric],
-        *[F.coalesce(F.col("params")[n], F.lit("-")).alias(f"{n}_text") for n in texts],
-    )
-    for n in texts:
-        indexer = StringIndexer(inputCol=f"{n}_text", outputCol=n, stringOrderType="alphabetAsc")
-        wide = indexer.fit(wide).transform(wide)
-    names = [*numeric, *texts]
-    ready = VectorAssembler(inputCols=names, outputCol="vector").transform(wide)
-    forest = RandomForestRegressor(featuresCol="vector", labelCol="score", numTrees=50, seed=seed).fit(ready)
-    values = [(n, float(v)) for n, v in zip(names, forest.featureImportances.toArray())]
+
+    def value(p: Param) -> Column:
+        text = F.col("params")[p.name]
+        if p.kind == "choice":
+            return F.greatest(F.array_position(F.array(*[F.lit(c) for c in p.choices]), F.coalesce(text, F.lit(p.choices[0]))).cast("double") - 1, F.lit(0.0))
+        number = F.coalesce(text.try_cast("double"), F.lit(float(p.low)))
+        return F.ln(number) if p.log else number
+
+    wide = trials.filter("score IS NOT NULL AND NOT isnan(score)").select("score", F.array(*[value(p) for p in space]).alias("values"))
+    ready = stage(wide.select(F.col("score").cast("double").alias("score"), array_to_vector("values").alias("vector")), "trial_values")
+    forest = RandomForestRegressor(featuresCol="vector", labelCol="score", numTrees=trees, maxDepth=10, seed=seed, featureSubsetStrategy="all").fit(ready)
+    nodes: dict[int, list[dict]] = {}
+    path = new_path(trials.sparkSession, "forest")
+    forest.write().save(path)
+    node = "nodeData."
+    kept = [F.col(f"{node}{c}").alias(n) for c, n in (("id", "id"), ("leftChild", "left"), ("rightChild", "right"), ("prediction", "value"), ("split.featureIndex", "feature"))]
+    threshold = F.try_element_at(f"{node}split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold")
+    for r in trials.sparkSession.read.parquet(f"{path}/data").select("treeID", *kept, threshold).toLocalIterator():
+        nodes.setdefault(r.treeID, []).append({**r.asDict(), "feature": r.feature if r.left >= 0 else -1})
+    domains = [param_domain(p) for p in space]
+    shares = [marginal_shares(*leaf_boxes(tree, len(space)), domains) for tree in nodes.values()]
+    values = [(p.name, float(v)) for p, v in zip(space, np.mean(shares, 0))]
     return trials.sparkSession.createDataFrame(values, "param STRING, value DOUBLE")
 
 
