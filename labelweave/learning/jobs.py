@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.learning.networks import NetModel, NetSpec, fit_net_here, fit_nets_by_steps
+from labelweave.learning.kernels import SvmModel, SvmSpec
+from labelweave.learning.networks import NetModel, NetSpec, fit_asking_here, fit_by_asking
 from labelweave.learning.trees import MOST_BINS, TreeModel, TreeSpec, by_key, fit_by_levels, fit_here, matrix_of, set_edges
 from labelweave.runtime import stage
 
-Spec = TreeSpec | NetSpec
-Model = TreeModel | NetModel
+Spec = TreeSpec | NetSpec | SvmSpec
+Model = TreeModel | NetModel | SvmModel
 
 #: Rows times features of a set whose jobs are fitted in one task each.
 LOCAL_CELLS = 1 << 20
@@ -67,14 +68,14 @@ def fit_jobs(sets: DataFrame, jobs: Mapping[int, tuple[int, Spec]], local_cells:
 def _fit_table(job: tuple[int, Spec], edges: dict, table: pa.Table) -> Model:
     x = matrix_of(table.column("features").combine_chunks())
     label, rows = table.column("label").to_numpy(), table.column("row").to_numpy()
-    return fit_net_here(job[1], x, label, rows) if isinstance(job[1], NetSpec) else fit_here(job[1], x, label, rows, edges[job[0]])
+    return fit_here(job[1], x, label, rows, edges[job[0]]) if isinstance(job[1], TreeSpec) else fit_asking_here(job[1], x, label, rows)
 
 
 def _fit_away(rows: DataFrame, jobs: Mapping[int, tuple[int, Spec]], edges: dict) -> dict[int, Model]:
     """Jobs on sets that no task holds."""
     train = rows.filter("train")
-    nets = {j: v for j, v in jobs.items() if isinstance(v[1], NetSpec)}
-    return fit_by_levels(train, {j: v for j, v in jobs.items() if j not in nets}, edges) | fit_nets_by_steps(train, nets)
+    trees = {j: v for j, v in jobs.items() if isinstance(v[1], TreeSpec)}
+    return fit_by_levels(train, trees, edges) | fit_by_asking(train, {j: v for j, v in jobs.items() if j not in trees})
 
 
 def _measured(rows: DataFrame, jobs: Mapping[int, tuple[int, Spec]], local_cells: int) -> tuple[set[int], dict[int, list[np.ndarray]]]:
@@ -82,7 +83,7 @@ def _measured(rows: DataFrame, jobs: Mapping[int, tuple[int, Spec]], local_cells
     sizes = rows.groupBy("set").agg((F.count("*") * F.max(F.size("features"))).alias("cells")).collect()
     bins: dict[int, int] = {}
     for s, spec in jobs.values():
-        if isinstance(spec, NetSpec):
+        if not isinstance(spec, TreeSpec):
             continue
         bins[s] = max(bins.get(s, 2), min(spec.bins, MOST_BINS))
     return {r.set for r in sizes if r.cells <= local_cells}, set_edges(rows, bins)

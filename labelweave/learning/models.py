@@ -1,4 +1,4 @@
-"""Model families behind one interface: trees and perceptrons of our own, the others on Spark ML.
+"""Model families behind one interface: trees, perceptrons and support vector machines fitted together, neighbours by a join.
 
 ``fit_model(name, train, params, n_classes)`` standardises on the training rows, fits, and returns a
 ``Scorer``: a function from rows ``(key, features, label)`` to
@@ -13,20 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelweave.functions.hashing import hash_hex
 from labelweave.learning.jobs import Spec, fit_jobs
+from labelweave.learning.kernels import SvmSpec
 from labelweave.learning.networks import NetSpec
 from labelweave.learning.trees import TreeSpec
 from labelweave.operators.neighbors import knn_classify
-from labelweave.operators.splits import balanced_class_weights
-from labelweave.runtime import stage
 
 Scorer = Callable[[DataFrame], DataFrame]
 Fit = Callable[[DataFrame, Mapping[str, str], int, int], Scorer]
@@ -60,41 +57,12 @@ def standardize(train: DataFrame, df: DataFrame | None = None, features: str = "
 # ---------------------------------------------------------------- shared pieces
 
 
-def _vectors(df: DataFrame) -> DataFrame:
-    return df.withColumn("vector", array_to_vector("features"))
-
-
-def _weighted(train: DataFrame, params: Mapping[str, str]) -> DataFrame:
-    """Adds ``weight``: balanced classes, a factor on the positive class, or 1."""
-    if params.get("class_weight") == "balanced":
-        return balanced_class_weights(train, "label")
-    positive = float(params.get("scale_pos_weight", 1.0))
-    return train.withColumn("weight", F.when(F.col("label") == 1, positive).otherwise(1.0))
-
-
 def _predicted(df: DataFrame, proba: Column) -> DataFrame:
     scored = df.withColumn("proba", proba)
     best = F.array_position("proba", F.array_max("proba")) - 1
     return scored.select("key", F.col("label").alias("y_true"), best.cast("int").alias("y_pred"), "proba")
 
 
-def _one_vs_rest(train: DataFrame, n_classes: int, fit_binary: Callable[[DataFrame, int], Callable[[DataFrame], Column | DataFrame]]) -> Scorer:
-    """Binary scorers per class, normalised to sum to one."""
-    scorers = [
-        fit_binary(train.withColumn("label", (F.col("label") == c).cast("int")), c) for c in range(n_classes)
-    ]
-
-    def score(df: DataFrame) -> DataFrame:
-        out = df.select("key", "label", "features")
-        for c, scorer in enumerate(scorers):
-            out = scorer(out, f"_p{c}")
-        columns = [F.col(f"_p{c}") for c in range(n_classes)]
-        total = sum(columns[1:], columns[0])
-        return _predicted(out, F.array(*[F.coalesce(F.try_divide(c, total), F.lit(1.0 / n_classes)) for c in columns]))
-
-    return score
-
-
 #: Trees end at this depth where no other is given.
 MAX_DEPTH = 30
 
@@ -190,15 +158,32 @@ def net_spec(params: Mapping[str, str], n_classes: int = 2, seed: int = 42) -> N
     )
 
 
+def svm_spec(params: Mapping[str, str], n_classes: int = 2, seed: int = 42) -> SvmSpec:
+    """What a support vector machine fits with these parameters."""
+    return SvmSpec(
+        n_classes,
+        params.get("kernel", "rbf"),
+        float(params.get("C", 1.0)),
+        int(params.get("degree", 3)),
+        params.get("gamma", "scale"),
+        float(params.get("coef0", 0.0)),
+        epochs=int(params.get("max_iter", 1000)),
+        tol=float(params.get("tol", 1e-3)),
+        balanced=params.get("class_weight") == "balanced",
+        seed=seed,
+    )
+
+
 TREE_FAMILIES = ("decision_tree", "random_forest", *BOOSTING)
 #: Families whose jobs :mod:`labelweave.learning.jobs` fits together.
-TOGETHER = (*TREE_FAMILIES, "multi_layer_perceptron")
+TOGETHER = (*TREE_FAMILIES, "multi_layer_perceptron", "svc")
 
 
 def job_spec(name: str, params: Mapping[str, str], n_classes: int = 2, seed: int = 42) -> Spec:
     """The job of a family that is fitted together with others."""
     chosen = {**DEFAULT_PARAMS.get(name, {}), **params}
-    return net_spec(chosen, n_classes, seed) if name == "multi_layer_perceptron" else tree_spec(name, chosen, n_classes, seed)
+    make = {"multi_layer_perceptron": net_spec, "svc": svm_spec}.get(name)
+    return make(chosen, n_classes, seed) if make else tree_spec(name, chosen, n_classes, seed)
 
 
 # ---------------------------------------------------------------- families
@@ -237,115 +222,11 @@ def fit_knn(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: i
     return score
 
 
-def kernel_features(kernel: str, width: int, gamma: float, degree: int, n_features: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Random features whose inner products approximate a kernel.
-
-    rbf: random Fourier features.  poly: products of random signs projections (homogeneous
-    polynomial).  sigmoid: its first-order term, a scaled linear map.  linear: the identity.
-    """
-    rng = np.random.default_rng(seed)
-    if kernel == "rbf":
-        w = rng.normal(0.0, math.sqrt(2 * gamma), (width, n_features))
-        b = rng.uniform(0.0, 2 * math.pi, n_features)
-        return lambda x: np.cos(x @ w + b) * math.sqrt(2.0 / n_features)
-    if kernel == "poly":
-        signs = [rng.choice([-1.0, 1.0], (width, n_features)) for _ in range(degree)]
-
-        def products(x: np.ndarray) -> np.ndarray:
-            out = np.full((len(x), n_features), math.sqrt(gamma**degree / n_features))
-            for s in signs:
-                out = out * (x @ s)
-            return out
-
-        return products
-    if kernel == "sigmoid":
-        return lambda x: x * math.sqrt(gamma)
-    return lambda x: x
-
-
-def _mapped(df: DataFrame, mapping: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(column: pd.Series) -> pd.Series:
-        return pd.Series(list(mapping(np.stack(column.to_numpy()))))
-
-    return df.withColumn("features", project("features"))
-
-
-CALIBRATION_FOLDS = 3
-
-
-def fit_svm(train: DataFrame, params: Mapping[str, str], n_classes: int, seed: int) -> Scorer:
-    """Linear SVM on kernel features with a logistic calibration on out-of-fold margins."""
-    kernel = params.get("kernel", "rbf")
-    width = train.select(F.size("features")).first()[0]
-    if params.get("gamma", "scale") == "auto":
-        gamma = 1.0 / width
-    else:
-        flat = train.select(F.explode("features").alias("x"))
-        gamma = 1.0 / (width * (flat.agg(F.var_pop("x")).first()[0] or 1.0))
-    mapping = kernel_features(kernel, width, gamma, int(params.get("degree", 3)), max(256, width), seed)
-    project = (lambda df: df) if kernel == "linear" else (lambda df: _mapped(df, mapping))
-    rows = train.select("key", "features", "label")
-    if kernel != "linear":
-        rows = stage(project(rows), "kernel", rebalance=True)
-    n_rows = rows.count()
-
-    def svm() -> LinearSVC:
-        # libsvm's C weighs the sum of losses, Spark's regParam the norm against the mean loss
-        return LinearSVC(
-            featuresCol="vector",
-            labelCol="label",
-            weightCol="weight",
-            maxIter=int(params.get("max_iter", 100)),
-            tol=float(params.get("tol", 1e-3)),
-            regParam=1.0 / (float(params.get("C", 1.0)) * max(1, n_rows)),
-        )
-
-    def margin(model, df: DataFrame) -> DataFrame:
-        scored = model.transform(_vectors(df))
-        return scored.withColumn("margin", F.get(vector_to_array("rawPrediction"), F.lit(1))).drop(
-            "vector", "rawPrediction", "prediction"
-        )
-
-    def fit_class(binary: DataFrame, _class: int):
-        weighted = _weighted(binary, params)
-        fold = F.pmod(F.conv(F.substring(hash_hex(f"{seed}fold", "key"), 1, 8), 16, 10).cast("bigint"), F.lit(CALIBRATION_FOLDS))
-        folded = stage(weighted.withColumn("_fold", fold), "folded", rebalance=True)
-        parts = []
-        for i in range(CALIBRATION_FOLDS):
-            model = svm().fit(_vectors(folded.filter(F.col("_fold") != i)))
-            parts.append(margin(model, folded.filter(F.col("_fold") == i)).select("label", "margin"))
-        held_out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-        platt = LogisticRegression(featuresCol="m", labelCol="label").fit(
-            held_out.withColumn("m", array_to_vector(F.array("margin")))
-        )
-        slope, shift = float(platt.coefficients[0]), float(platt.intercept)
-        final = svm().fit(_vectors(folded))
-
-        def score(df: DataFrame, name: str) -> DataFrame:
-            out = margin(final, df)
-            return out.withColumn(name, 1.0 / (1.0 + F.exp(-(F.col("margin") * slope + shift)))).drop("margin")
-
-        return score
-
-    if n_classes == 2:
-        scorer = fit_class(rows, 1)
-
-        def score_binary(df: DataFrame) -> DataFrame:
-            out = scorer(project(df.select("key", "features", "label")), "_p")
-            return _predicted(out, F.array(1 - F.col("_p"), F.col("_p")))
-
-        return score_binary
-    multi = _one_vs_rest(rows, n_classes, fit_class)
-    return lambda df: multi(project(df.select("key", "features", "label")))
-
-
 # ---------------------------------------------------------------- registry
 
 FAMILIES: dict[str, Fit] = {
     **{name: _fit_job(name) for name in TOGETHER},
     "k_nearest_neighbors": fit_knn,
-    "svc": fit_svm,
 }
 
 #: Default parameters that differ from a family's own defaults.

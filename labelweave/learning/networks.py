@@ -1,4 +1,4 @@
-"""Multi-layer perceptrons for many jobs at once: tanh, relu or logistic layers, L2, and adam, sgd or L-BFGS.
+"""Multi-layer perceptrons, and the fitting by questions, for many jobs at once: tanh, relu or logistic layers, L2, and adam, sgd or L-BFGS.
 
 An optimiser is a generator that asks for the loss and gradient at its weights, on all rows or on one mini-batch.  Rows are dealt to mini-batches
 by a hash of (seed, epoch, row).  For a set that a task can hold the answers come from memory; for a larger one the questions of all jobs are answered
@@ -45,6 +45,22 @@ class NetSpec:
     def outputs(self) -> int:
         return 1 if self.n_classes == 2 else self.n_classes
 
+    def aid(self, landmarks: np.ndarray, varying: int) -> None:
+        """Networks need none."""
+
+    def training(self, width: int, n: int, counts: np.ndarray, aid: None) -> Generator:
+        return optimise(self, width, n)
+
+    def answer(self, question: Question, z: np.ndarray, label: np.ndarray, rows: np.ndarray, aid: None) -> tuple[float, np.ndarray, int]:
+        w, epoch, number, steps = question
+        if steps:
+            use = batches_of(self, epoch, steps, rows) == number
+            z, label = z[use], label[use]
+        return (*loss_sums(self, w, z, label), len(z))
+
+    def model(self, mean: np.ndarray, spread: np.ndarray, final: np.ndarray, aid: None) -> NetModel:
+        return NetModel(self, mean, spread, final)
+
     def shapes(self, width: int) -> list[tuple[int, int]]:
         sizes = [width, *self.hidden, self.outputs]
         return list(zip(sizes[:-1], sizes[1:]))
@@ -135,7 +151,7 @@ def optimise(spec: NetSpec, width: int, n: int) -> Generator[Question, tuple[flo
         return (loss + 0.5 * spec.alpha * float(shrunk @ shrunk)) / rows, (gradient + spec.alpha * shrunk) / rows
 
     if spec.solver == "lbfgs":
-        return (yield from _quasi_newton(spec, w, mean))
+        return (yield from minimise(spec.epochs, spec.tol, w, mean, (0, 0, 0)))
     steps = max(1, min(MOST_STEPS, -(-n // BATCH_ROWS)))
     rate, best, stalled, t = spec.rate, math.inf, 0, 0
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -167,12 +183,12 @@ def optimise(spec: NetSpec, width: int, n: int) -> Generator[Question, tuple[flo
     return w
 
 
-def _quasi_newton(spec: NetSpec, w: np.ndarray, mean) -> Generator[Question, tuple[float, np.ndarray, int], np.ndarray]:
-    """L-BFGS on all rows with a backtracking line search."""
-    loss, gradient = mean(w, (yield w, 0, 0, 0))
+def minimise(turns: int, tol: float, w: np.ndarray, mean, asked: tuple) -> Generator[tuple, tuple[float, np.ndarray, int], np.ndarray]:
+    """L-BFGS with a backtracking line search: asks ``(weights, *asked)``; ``mean`` makes loss and gradient of an answer."""
+    loss, gradient = mean(w, (yield w, *asked))
     pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for _ in range(spec.epochs):
-        if np.abs(gradient).max() <= spec.tol:
+    for _ in range(turns):
+        if np.abs(gradient).max() <= tol:
             break
         step = gradient.copy()
         back = []
@@ -192,7 +208,7 @@ def _quasi_newton(spec: NetSpec, w: np.ndarray, mean) -> Generator[Question, tup
             step, slope, pairs = gradient, float(gradient @ gradient), []
         for _ in range(25):
             there = w - size * step
-            new_loss, new_gradient = mean(there, (yield there, 0, 0, 0))
+            new_loss, new_gradient = mean(there, (yield there, *asked))
             if new_loss <= loss - 1e-4 * size * slope:
                 break
             size /= 2
@@ -229,55 +245,69 @@ def batches_of(spec: NetSpec, epoch: int, steps: int, rows: np.ndarray) -> np.nd
     return np.zeros(len(rows), int) if not steps else (draws(spec.seed, 7, epoch, rows) * steps).astype(int)
 
 
-def fit_net_here(spec: NetSpec, x: np.ndarray, label: np.ndarray, rows: np.ndarray) -> NetModel:
-    """Fit on training rows held in memory."""
-    mean = np.nan_to_num(np.nanmean(x, 0)) if len(x) else np.zeros(x.shape[1])
-    spread = np.sqrt(np.nan_to_num(np.nanmean((x - mean) ** 2, 0)))
+def fit_asking_here(spec, x: np.ndarray, label: np.ndarray, rows: np.ndarray):
+    """Fit a network or a support vector machine on training rows held in memory."""
+    present = ~np.isnan(x)
+    number = np.maximum(present.sum(0), 1)
+    mean = np.where(present, x, 0).sum(0) / number
+    spread = np.sqrt((np.where(present, x - mean, 0) ** 2).sum(0) / number)
+    varying = int((spread > 0).sum())
     spread[spread == 0] = 1.0
     z = scaled(x, mean, spread)
-    training = optimise(spec, z.shape[1], len(z))
-    question = next(training)
-    dealt, dealt_for = None, None
-    while True:
-        w, epoch, batch, steps = question
-        if dealt_for != (epoch, steps):
-            dealt, dealt_for = batches_of(spec, epoch, steps, rows), (epoch, steps)
-        use = dealt == batch if steps else slice(None)
-        own, labels = z[use], label[use]
-        try:
-            question = training.send((*loss_sums(spec, w, own, labels), len(own)))
-        except StopIteration as end:
-            return NetModel(spec, mean, spread, end.value)
-
-
-def fit_nets_by_steps(rows: DataFrame, jobs: Mapping[int, tuple[int, NetSpec]]) -> dict[int, NetModel]:
+    aid = spec.aid(z[np.argsort(rows, kind="stable")[: getattr(spec, "landmarks", 0)]], varying)
+    training = spec.training(z.shape[1], len(z), np.bincount(label, minlength=spec.n_classes), aid)
+    answer = None
+    try:
+        while True:
+            answer = spec.answer(training.send(answer), z, label, rows, aid)
+    except StopIteration as end:
+        return spec.model(mean, spread, end.value, aid)
+
+
+def fit_by_asking(rows: DataFrame, jobs: Mapping) -> dict:
     """Fit jobs on sets of any size (``set, row, label, features``): each pass answers one question of every job."""
     if not jobs:
         return {}
     values = rows.select("set", F.posexplode("features").alias("f", "x")).filter("x IS NOT NULL AND NOT isnan(x)")
     moments = stage(values.groupBy("set", "f").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")), "moments").toArrow().to_pylist()
     sizes = {r.set: (r.n, r.d) for r in rows.groupBy("set").agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).collect()}
+    counts: dict[int, dict[int, int]] = {}
+    for r in rows.groupBy("set", "label").count().collect():
+        counts.setdefault(r.set, {})[r.label] = r["count"]
     means = {s: np.zeros(d) for s, (_, d) in sizes.items()}
-    spreads = {s: np.ones(d) for s, (_, d) in sizes.items()}
+    spreads = {s: np.zeros(d) for s, (_, d) in sizes.items()}
     for r in moments:
-        means[r["set"]][r["f"]], spreads[r["set"]][r["f"]] = r["m"], r["s"] or 1.0
-    training = {j: optimise(spec, sizes[s][1], sizes[s][0]) for j, (s, spec) in jobs.items()}
+        means[r["set"]][r["f"]], spreads[r["set"]][r["f"]] = r["m"], r["s"]
+    varying = {s: int((v > 0).sum()) for s, v in spreads.items()}
+    for v in spreads.values():
+        v[v == 0] = 1.0
+    most: dict[int, int] = {}
+    for s, spec in jobs.values():
+        most[s] = max(most.get(s, 0), getattr(spec, "landmarks", 0))
+    marks = {}
+    for s, n in most.items():
+        # the digests' order is as good as a draw; so many rows at most come to the driver
+        few = rows.filter(F.col("set") == s).select("row", "features").orderBy("row").limit(n).collect() if n else []
+        marks[s] = scaled(np.array([r.features for r in few], float).reshape(len(few), len(means[s])), means[s], spreads[s])
+    aids = {j: spec.aid(marks[s][: getattr(spec, "landmarks", 0)], varying[s]) for j, (s, spec) in jobs.items()}
+    told = {j: np.array([counts[s].get(c, 0) for c in range(spec.n_classes)]) for j, (s, spec) in jobs.items()}
+    training = {j: spec.training(sizes[s][1], sizes[s][0], told[j], aids[j]) for j, (s, spec) in jobs.items()}
     questions = {j: next(t) for j, t in training.items()}
     models = {}
     while questions:
-        answers = _answers(rows, jobs, questions, means, spreads)
+        answers = _answers(rows, jobs, questions, means, spreads, aids)
         for j in list(questions):
             asked = questions.pop(j)
             try:
                 questions[j] = training[j].send(answers.get(j, (0.0, np.zeros_like(asked[0]), 0)))
             except StopIteration as end:
                 s, spec = jobs[j]
-                models[j] = NetModel(spec, means[s], spreads[s], end.value)
+                models[j] = spec.model(means[s], spreads[s], end.value, aids[j])
     return models
 
 
-def _answers(rows: DataFrame, jobs, questions: dict[int, Question], means, spreads) -> dict[int, tuple[float, np.ndarray, int]]:
-    shared = rows.sparkSession.sparkContext.broadcast((dict(jobs), questions, means, spreads))
+def _answers(rows: DataFrame, jobs, questions: dict[int, tuple], means, spreads, aids) -> dict[int, tuple[float, np.ndarray, int]]:
+    shared = rows.sparkSession.sparkContext.broadcast((dict(jobs), questions, means, spreads, aids))
     schema = "job int, n bigint, loss double, gradient array<double>"
 
     def table(sums: dict[int, list]) -> pa.RecordBatch:
@@ -294,18 +324,18 @@ def _answers(rows: DataFrame, jobs, questions: dict[int, Question], means, sprea
         sums[job] = [loss, gradient, n] if held is None else [held[0] + loss, held[1] + gradient, held[2] + n]
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        jobs, questions, means, spreads = shared.value
+        jobs, questions, means, spreads, aids = shared.value
         sums: dict[int, list] = {}
         for batch in batches:
             sets, label_of, row_of = (batch.column(c).to_numpy() for c in ("set", "label", "row"))
             for s in np.unique(sets).tolist():
                 at = np.flatnonzero(sets == s)
                 z = scaled(matrix_of(batch.column("features").take(pa.array(at))), means[s], spreads[s])
-                for j, (w, epoch, number, steps) in questions.items():
+                for j, question in questions.items():
                     if jobs[j][0] == s:
-                        use = batches_of(jobs[j][1], epoch, steps, row_of[at]) == number if steps else np.ones(len(at), bool)
-                        if use.any():
-                            add(sums, j, *loss_sums(jobs[j][1], w, z[use], label_of[at][use]), int(use.sum()))
+                        loss, gradient, n = jobs[j][1].answer(question, z, label_of[at], row_of[at], aids[j])
+                        if n:
+                            add(sums, j, loss, gradient, n)
         if sums:
             yield table(sums)
 

@@ -9,7 +9,7 @@ import pytest
 
 from labelweave.learning import models
 from labelweave.learning.jobs import fit_predict
-from labelweave.learning.networks import NetSpec, first_weights, fit_net_here, loss_sums, margins, optimise
+from labelweave.learning.networks import NetSpec, first_weights, fit_asking_here, loss_sums, margins, optimise
 from labelweave.learning.trees import link
 from tests.test_trees import ROWS, frame, table
 
@@ -40,7 +40,7 @@ def test_solvers_come_near_the_optimum_of_a_convex_problem(solver):
         shrink = alpha * np.array([1, 1, 1, 0.0])
         w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(shrink), a.T @ (p - y) + shrink * w)
     spec = NetSpec(2, (), alpha=alpha, solver=solver, rate=0.05, epochs=600, tol=1e-7)
-    got = fit_net_here(spec, x, y, np.arange(200))
+    got = fit_asking_here(spec, x, y, np.arange(200))
     assert np.abs(got.proba(x)[:, 1] - 1 / (1 + np.exp(-a @ w))).max() < 0.02
 
 
@@ -65,14 +65,14 @@ CHANGES = [
 def test_every_parameter_changes_the_fit(change):
     x, y = table(seed=2)
     base = {"max_iter": "15", "layer_0_size": "12", "learning_rate_init": "0.01"}
-    fits = [fit_net_here(models.net_spec({**base, **more}), x, y, np.arange(len(y))).proba(x) for more in ({}, change)]
+    fits = [fit_asking_here(models.net_spec({**base, **more}), x, y, np.arange(len(y))).proba(x) for more in ({}, change)]
     assert np.abs(fits[0] - fits[1]).max() > 1e-4
 
 
 def test_schedules_change_the_rate():
     x, y = table(seed=3)
     base = {"solver": "sgd", "learning_rate_init": "0.3", "max_iter": "120", "layer_0_size": "5"}
-    fits = {s: fit_net_here(models.net_spec({**base, "learning_rate": s}), x, y, np.arange(len(y))).proba(x)[:, 1] for s in ("constant", "invscaling", "adaptive")}
+    fits = {s: fit_asking_here(models.net_spec({**base, "learning_rate": s}), x, y, np.arange(len(y))).proba(x)[:, 1] for s in ("constant", "invscaling", "adaptive")}
     assert np.abs(fits["constant"] - fits["invscaling"]).max() > 1e-3 and np.abs(fits["constant"] - fits["adaptive"]).max() > 1e-6
 
 
@@ -81,7 +81,7 @@ def test_learns_rings_that_no_line_divides():
     x = rng.normal(0, 1, (600, 2))
     y = ((x**2).sum(1) > 1.4).astype(int) + ((x**2).sum(1) > 3.5)
     spec = NetSpec(3, (20,), "tanh", rate=0.01, epochs=200)
-    model = fit_net_here(spec, x[:400], y[:400], np.arange(400))
+    model = fit_asking_here(spec, x[:400], y[:400], np.arange(400))
     assert (model.proba(x[400:]).argmax(1) == y[400:]).mean() > 0.9
     assert np.allclose(link(margins(spec, model.weights, x[:3])).sum(1), 1) and math.isfinite(model.weights.sum())
 
