@@ -17,7 +17,7 @@ from labelweave.llm.common import ENTRY_BYTES, map_texts
 from labelweave.llm.tokens import cut, load_ranks
 
 #: Bytes of cuts and results that a worker remembers, in two generations.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 256 << 20
 #: Words of more bytes need one round per merge; they are merged one by one outside the recursion.
 LONG_WORD = 128
 #: Words that one recursive query takes, and the rows that it may hold: a word has a row per byte in each of its rounds.
