@@ -21,7 +21,7 @@ CACHE_BYTES = 256 << 20
 #: Words of more bytes need one round per merge; they are merged one by one outside the recursion.
 LONG_WORD = 128
 #: Words that one recursive query takes, and the rows that it may hold: a word has a row per byte in each of its rounds.
-WORDS_PER_QUERY, ROWS_PER_QUERY = 40_000, 1_500_000
+WORDS_PER_QUERY, ROWS_PER_QUERY = 40_000, 3_000_000
 
 ENCODE = """
 WITH RECURSIVE step AS (
