@@ -194,7 +194,31 @@ def closeness(spark, folder):
 
 @query("diameter", with_inputs("SELECT max(dist) AS diameter FROM dist", **{k: PATH_INPUTS[k] for k in ("e", "arcs", "walks", "dist")}))
 def diameter(spark, folder):
-    return paths.diameter(turns(spark, folder))
+    return paths.diameter(stage(turns(spark, folder), "edges"))
+
+
+@query(
+    "eccentricities",
+    with_inputs("SELECT vertex, eccentricity FROM close", **{k: PATH_INPUTS[k] for k in ("e", "arcs", "walks", "dist", "close")}),
+)
+def eccentricities(spark, folder):
+    return paths.eccentricities(stage(turns(spark, folder), "edges"))
+
+
+@query(
+    "closeness_sketch",
+    with_inputs(
+        "SELECT vertex, round(closeness, 6) AS closeness, reached, total FROM (SELECT source AS vertex, 1.0::DOUBLE / sum(dist) AS closeness, count(*) - 1 AS reached, sum(dist)::BIGINT AS total FROM dist GROUP BY source)",
+        **{k: PATH_INPUTS[k] for k in ("e", "arcs", "walks", "dist")},
+    ),
+)
+def closeness_sketch(spark, folder):
+    return rounded(paths.closeness_sketch(stage(turns(spark, folder), "edges")))
+
+
+@query("components", with_inputs("SELECT vertex, min(source) AS component FROM dist GROUP BY vertex", **{k: PATH_INPUTS[k] for k in ("e", "arcs", "walks", "dist")}))
+def components(spark, folder):
+    return graph.components(stage(turns(spark, folder), "edges"))
 
 
 @query(

@@ -27,6 +27,34 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("vertex")).distinct()
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``(vertex, component)``: the smallest vertex that can be reached, itself included.
+
+    Alternating stars: every vertex links its larger neighbours to the smallest vertex around it, then its smaller ones.  Links only move
+    to smaller vertices, so hubs stay stars, and the rounds grow with the logarithm of a component's length.
+    """
+
+    def state_of(links: DataFrame) -> tuple:
+        return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first())
+
+    links = stage(dedupe_edges(edges).filter("src <> dst"), "links")
+    seen = state_of(links)
+    while True:
+        arcs = links.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+        lowest = arcs.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("low"))
+        # pairs (larger vertex, smaller vertex)
+        large = stage(arcs.filter("dst > src").join(lowest, "src").select(F.col("dst").alias("up"), F.col("low").alias("down")).distinct(), "large")
+        root = large.groupBy("up").agg(F.min("down").alias("low"))
+        small = large.join(root, "up").filter("down <> low").select(F.col("low").alias("src"), F.col("down").alias("dst"))
+        links = stage(small.union(root.select(F.col("low").alias("src"), F.col("up").alias("dst"))).distinct(), "links")
+        now = state_of(links)
+        if now == seen:
+            break
+        seen = now
+    found = links.select(F.col("dst").alias("vertex"), F.col("src").alias("component"))
+    return vertices(edges).join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+
+
 def edge_key_collisions(edges: DataFrame) -> DataFrame:
     """Concatenated keys shared by different pairs, with the number of pairs."""
     pairs = dedupe_edges(edges)

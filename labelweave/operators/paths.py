@@ -3,19 +3,25 @@
 All of them rest on one level-synchronous search from many sources at once.  Its state is a table
 keyed by (source, vertex); each round is two equi-joins and one aggregate, staged to the shared
 folder.  The state of all sources is vertices x vertices in the worst case, so the sources are
-handled in batches; the batches together are exact.
+handled in batches; the batches together are exact.  Where the state or the work of all sources is too
+much there are three ways around it: bounds on eccentricities, which need few searches and stay exact,
+sketches of neighbourhoods, and sampled sources with a bound on the error.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.operators.graph import vertices
+from labelweave.operators.graph import components, degree, vertices
 from labelweave.runtime import stage
 
+#: rows that the state of one batch of sources may have
+STATE_ROWS = 200_000_000
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     pairs = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
@@ -53,7 +59,7 @@ def bfs_distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def _dependencies(arcs: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """Sum over sources of each vertex's share in shortest paths (backward accumulation)."""
+    """Sums over sources of each vertex's share in shortest paths and of its square (backward accumulation)."""
     parts = []
     below = None
     for level in reversed(levels[1:]):
@@ -71,12 +77,21 @@ def _dependencies(arcs: DataFrame, levels: list[DataFrame]) -> DataFrame:
                 *level.columns, (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")
             )
         below = stage(current, "share")
-        parts.append(below.groupBy("vertex").agg(F.sum("share").alias("share")))
+        parts.append(below.groupBy("vertex").agg(F.sum("share").alias("share"), F.sum(F.col("share") * F.col("share")).alias("squares")))
     if not parts:
-        return levels[0].select("vertex", F.lit(0.0).alias("share"))
+        return levels[0].select("vertex", F.lit(0.0).alias("share"), F.lit(0.0).alias("squares"))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _batches(chosen: DataFrame, n_sources: int, n_vertices: int, batch: int | None) -> list[DataFrame]:
+    """The sources in parts of about ``batch``, by default as many as ``STATE_ROWS`` allows."""
+    batch = batch or max(1, STATE_ROWS // max(n_vertices, 1))
+    n_batches = max(1, -(-n_sources // batch))
+    if n_batches == 1:
+        return [chosen]
+    return [chosen.filter(F.pmod(F.xxhash64("vertex"), F.lit(n_batches)) == i) for i in range(n_batches)]
+
+
 def path_measures(
     edges: DataFrame,
     batch: int | None = None,
@@ -89,21 +104,18 @@ def path_measures(
 
     ``closeness`` is 1 / sum of distances over the reachable vertices (times their number when
     ``normalized``), null for an isolated vertex.  ``betweenness`` counts each pair once.
-    ``batch`` bounds the number of sources per search; every batch is exact, so the result does not
-    depend on it.  With ``pivots`` only those sources are searched and the betweenness is scaled by
+    ``batch`` bounds the number of sources per search (default: what ``STATE_ROWS`` allows); every batch is
+    exact, so the result does not depend on it.  With ``pivots`` only those sources are searched and the betweenness is scaled by
     vertices / pivots; closeness is then known for the pivots only.
     """
     arcs = _both_ways(edges)
     every = stage((vertices(edges) if all_vertices is None else all_vertices).select("vertex").distinct(), "vertices")
     chosen = every if pivots is None else stage(pivots.select("vertex").distinct(), "pivots")
-    n_sources = chosen.count()
-    n_batches = 1 if not batch else max(1, -(-n_sources // batch))
-    scale = 1.0 if pivots is None else every.count() / max(n_sources, 1)
+    n_vertices = every.count()
+    n_sources = n_vertices if pivots is None else chosen.count()
+    scale = 1.0 if pivots is None else n_vertices / max(n_sources, 1)
     distances, shares = [], []
-    for i in range(n_batches):
-        part = chosen if n_batches == 1 else chosen.filter(
-            F.pmod(F.xxhash64("vertex"), F.lit(n_batches)) == i
-        )
+    for part in _batches(chosen, n_sources, n_vertices, batch):
         levels = _levels(arcs, part)
         reached = reduce(DataFrame.unionByName, levels)
         distances.append(
@@ -135,6 +147,143 @@ def betweenness(edges: DataFrame, batch: int | None = None, pivots: DataFrame |
     return path_measures(edges, batch, pivots=pivots).select("vertex", "betweenness")
 
 
-def diameter(edges: DataFrame, batch: int | None = None) -> DataFrame:
-    """Longest shortest path within the components."""
-    return path_measures(edges, batch, with_betweenness=False).agg(F.max("eccentricity").alias("diameter"))
+def eccentricity_bounds(edges: DataFrame, exact: bool = False) -> tuple[DataFrame, int]:
+    """``(vertex, component, low, high)`` around every eccentricity, and the number of searches made.
+
+    A search from one vertex per component bounds the eccentricity of all of its vertices: with ``d`` the distance to
+    the source and ``e`` the source's eccentricity it lies between max(d, e - d) and e + d.  Sources are chosen in turn by the
+    highest upper and the lowest lower bound.  The searches end when no upper bound exceeds the largest lower one, which then is
+    the diameter, or with ``exact`` when all bounds have met.  As a round has one source per component, its state has
+    one row per vertex.  Only one number per round comes to the driver.
+    """
+    arcs = _both_ways(edges)
+    state = stage(
+        components(edges)
+        .join(degree(edges), "vertex", "left")
+        .select("vertex", "component", "degree", F.lit(0).alias("low"), F.lit(2**30).alias("high")),
+        "bounds",
+    )
+    longest, searches, by_high = 0, 0, True
+    while True:
+        unsettled = state.filter(F.col("low") < F.col("high")) if exact else state.filter(F.col("high") > longest)
+        first = F.col("high") if by_high else -F.col("low")
+        sources = stage(
+            unsettled.groupBy("component").agg(F.max(F.struct(first.alias("first"), "degree", "vertex")).alias("best")).select("best.vertex"), "sources"
+        )
+        n_sources = sources.count()
+        if n_sources == 0:
+            return state.drop("degree"), searches
+        searches += n_sources
+        found = reduce(DataFrame.unionByName, _levels(arcs, sources)).select("source", "vertex", "dist")
+        depth = found.groupBy("source").agg(F.max("dist").alias("ecc"))
+        news = found.join(depth, "source").select("vertex", "dist", "ecc")
+        state = stage(
+            state.join(news, "vertex", "left").select(
+                "vertex",
+                "component",
+                "degree",
+                F.greatest("low", "dist", F.col("ecc") - F.col("dist")).alias("low"),
+                F.least("high", F.col("ecc") + F.col("dist")).alias("high"),
+            ),
+            "bounds",
+        )
+        longest = state.agg(F.max("low")).first()[0]
+        by_high = not by_high
+
+
+def eccentricities(edges: DataFrame) -> DataFrame:
+    """``(vertex, eccentricity)`` within the components, exact, by as many searches as the bounds need."""
+    return eccentricity_bounds(edges, exact=True)[0].select("vertex", F.col("low").alias("eccentricity"))
+
+
+def diameter(edges: DataFrame) -> DataFrame:
+    """Longest shortest path within the components (null without vertices), exact, by few searches."""
+    return eccentricity_bounds(edges)[0].agg(F.max("low").alias("diameter"))
+
+
+def closeness_sketch(edges: DataFrame, precision: int = 12) -> DataFrame:
+    """``(vertex, closeness, reached, total)`` from sketches of neighbourhoods instead of searches.
+
+    Every vertex holds a HyperLogLog sketch (2 ** ``precision`` registers) of the vertices within ``t`` steps; step ``t + 1``
+    unites it with those of its neighbours, and the growth of its estimate counts the vertices at that distance.  The state is one
+    sketch per vertex, and only vertices whose sketch grew send it on.  Neighbourhoods that a sparse sketch holds (some hundred vertices)
+    are counted exactly; beyond that the relative error of a count is about 1.04 / sqrt(2 ** precision).
+    """
+    arcs = _both_ways(edges)
+    state = stage(
+        vertices(edges)
+        .groupBy("vertex")
+        .agg(F.hll_sketch_agg("vertex", precision).alias("sketch"))
+        .select("vertex", "sketch", F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("total"), F.lit(True).alias("grew")),
+        "sketches",
+    )
+    step = 0
+    while not state.filter("grew").isEmpty():
+        step += 1
+        sent = (
+            state.filter("grew")
+            .join(arcs, F.col("vertex") == F.col("a"))
+            .groupBy(F.col("b").alias("vertex"))
+            .agg(F.hll_union_agg("sketch").alias("sent"))
+        )
+        united = state.join(sent, "vertex", "left").select(
+            "vertex", F.coalesce(F.hll_union("sketch", "sent"), "sketch").alias("sketch"), "size", "total"
+        )
+        now = F.greatest(F.hll_sketch_estimate("sketch"), F.col("size"))
+        state = stage(
+            united.withColumn("now", now).select(
+                "vertex",
+                "sketch",
+                F.col("now").alias("size"),
+                (F.col("total") + step * (F.col("now") - F.col("size"))).alias("total"),
+                (F.col("now") > F.col("size")).alias("grew"),
+            ),
+            "sketches",
+        )
+    return state.select("vertex", F.try_divide(F.lit(1.0), F.col("total")).alias("closeness"), (F.col("size") - 1).alias("reached"), "total")
+
+
+def betweenness_sampled(
+    edges: DataFrame, epsilon: float = 0.01, confidence: float = 0.9, first: int = 256, batch: int | None = None, seed: int = 42
+) -> DataFrame:
+    """``(vertex, betweenness, error)`` from sampled sources, as many as the wanted error needs.
+
+    ``betweenness`` counts pairs as ``betweenness`` does.  With probability ``confidence`` all vertices at once are off by at most
+    their ``error``, and no ``error`` exceeds ``epsilon`` times the (n - 1)(n - 2) / 2 pairs.  Sources are drawn without replacement by a hash and doubled until
+    an empirical Bernstein bound for such draws holds at every vertex; a vertex's share in the paths of one source, over n - 2,
+    lies between 0 and 1.  Once all vertices are sources the result is exact and ``error`` is 0.
+    """
+    arcs = _both_ways(edges)
+    every = stage(vertices(edges), "vertices")
+    n = every.count()
+    place = F.pmod(F.xxhash64("vertex", F.lit(seed)), F.lit(2**31)) / 2**31
+    rounds = 1 + max(0, math.ceil(math.log2(max(n, 1) / first)))
+    # the bound holds for both sides of every vertex in every round
+    log_term = math.log(10 * max(n, 1) * rounds / (1 - confidence))
+    kappa = 7 / 3 + 3 / math.sqrt(2)
+    range_ = max(n - 2, 1)
+    sums = every.select("vertex", F.lit(0.0).alias("share"), F.lit(0.0).alias("squares"))
+    drawn, low = 0, 0.0
+    for i in range(rounds):
+        high = 1.0 if i == rounds - 1 else min(1.0, first * 2**i / n)
+        chosen = stage(every.filter((place >= low) & (place < high)), "sources")
+        n_chosen = chosen.count()
+        parts = [_dependencies(arcs, _levels(arcs, part)) for part in _batches(chosen, n_chosen, n, batch)]
+        united = reduce(DataFrame.unionByName, [sums, *parts])
+        sums = stage(united.groupBy("vertex").agg(F.sum("share").alias("share"), F.sum("squares").alias("squares")), "shares")
+        drawn, low = drawn + n_chosen, high
+        if drawn == n:
+            error = F.lit(0.0)
+            break
+        if drawn == 0:
+            continue
+        unseen = 1 - (drawn - 1) / n if drawn <= n / 2 else (1 - drawn / n) * (1 + 1 / drawn)
+        mean = F.col("share") / (drawn * range_)
+        variance = F.greatest(F.col("squares") / (drawn * range_**2) - mean * mean, F.lit(0.0))
+        error = F.sqrt(variance * (2 * unseen * log_term / drawn)) + kappa * log_term / drawn
+        # the mean over n sources, in shares of the pairs without the vertex
+        if sums.agg(F.max(error)).first()[0] * n / (n - 1) <= epsilon:
+            break
+    return sums.select(
+        "vertex", (F.col("share") * (n / (2 * max(drawn, 1)))).alias("betweenness"), (error * (n * range_ / 2)).alias("error")
+    )

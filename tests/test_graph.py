@@ -108,3 +108,71 @@ def test_degree_statistics(spark):
     assert graph.assortativity(edges).first()[0] == pytest.approx(-1.0)
     summary = graph.graph_summary(edges).first()
     assert (summary.n_vertices, summary.n_edges) == (6, 5)
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_components_and_eccentricities(spark, name):
+    near = _neighbors(GRAPHS[name])
+    edges = spark.createDataFrame([*GRAPHS[name], (90, 90)], "src INT, dst INT")
+    roots = {v: min(_bfs(near, v)[0]) for v in near} | {90: 90}
+    assert {r.vertex: r.component for r in graph.components(edges).collect()} == roots
+    depths = {v: max(_bfs(near, v)[0].values()) for v in near} | {90: 0}
+    assert {r.vertex: r.eccentricity for r in paths.eccentricities(edges).collect()} == depths
+    assert paths.diameter(edges).first().diameter == max(depths.values())
+
+
+def _large_graph(n: int, extra: int, seed: int):
+    """A hub, a long tail and random links among ``n`` vertices."""
+    draw = random.Random(seed)
+    tree = {(draw.randrange(max(0, v - 40), v), v) for v in range(1, n)}
+    return sorted(tree | {tuple(sorted(draw.sample(range(n), 2))) for _ in range(extra)} | {(0, v) for v in range(1, n, 9)})
+
+
+def test_diameter_by_few_searches(spark):
+    pairs = _large_graph(600, 60, 5)
+    near = _neighbors(pairs)
+    bounds, searches = paths.eccentricity_bounds(spark.createDataFrame(pairs, "src INT, dst INT"))
+    assert bounds.agg({"low": "max"}).first()[0] == max(max(_bfs(near, v)[0].values()) for v in near)
+    assert searches <= 60
+
+
+def test_diameter_without_edges(spark):
+    assert paths.diameter(spark.createDataFrame([], "src INT, dst INT")).first().diameter is None
+
+
+def test_closeness_sketch_error(spark):
+    pairs = _large_graph(1500, 900, 6)
+    near = _neighbors(pairs)
+    got = paths.closeness_sketch(spark.createDataFrame([*pairs, (9000, 9001)], "src INT, dst INT")).collect()
+    exact = {v: 1 / sum(_bfs(near, v)[0].values()) for v in near} | {9000: 1.0, 9001: 1.0}
+    errors = sorted(abs(r.closeness / exact[r.vertex] - 1) for r in got)
+    assert len(got) == len(exact)
+    assert errors[int(0.95 * len(errors))] <= 0.05 and sum(errors) / len(errors) <= 0.03
+
+
+def _accumulated(near):
+    """Betweenness of every vertex, counted from each source in turn."""
+    total = dict.fromkeys(near, 0.0)
+    for s in near:
+        dist, routes = _bfs(near, s)
+        share = dict.fromkeys(dist, 0.0)
+        for w in sorted(dist, key=dist.get, reverse=True):
+            for v in near[w]:
+                if dist[v] == dist[w] - 1:
+                    share[v] += routes[v] / routes[w] * (1 + share[w])
+            if w != s:
+                total[w] += share[w] / 2
+    return total
+
+
+@pytest.mark.parametrize("epsilon,sampled", [(0.08, True), (0.0001, False)])
+def test_sampled_betweenness_keeps_its_bound(spark, epsilon, sampled):
+    n = 1600 if sampled else 150
+    pairs = _large_graph(n, n // 3, 7)
+    exact = _accumulated(_neighbors(pairs))
+    got = paths.betweenness_sampled(spark.createDataFrame(pairs, "src INT, dst INT"), epsilon, 0.9, first=100 if not sampled else 700).collect()
+    assert len(got) == len(exact)
+    for r in got:
+        assert abs(r.betweenness - exact[r.vertex]) <= r.error + 1e-6 * (1 + exact[r.vertex])
+        assert r.error <= epsilon * (n - 1) * (n - 2) / 2 * 1.0001
+    assert any(r.error > 0 for r in got) == sampled
