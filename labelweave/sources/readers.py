@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelweave.operators.ordering import running_totals
+from labelweave.runtime import stage
 
 #: Shape of every curated list after standardisation.
 LIST_SCHEMA = T.StructType(
@@ -116,14 +118,21 @@ def read_network_json(
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes ``(id, name)`` and edges ``(src_id, dst_id)`` of a network container.
 
-    A container is a list of aspects, some with ``nodes`` and some with ``edges``.  Containers with
-    one aspect per line (``multi_line=False``) are read in parallel splits.
+    A container is a list of aspects, some with ``nodes`` and some with ``edges``.  It may be one JSON text of any size and
+    layout, or (``multi_line=False``) hold one aspect per line.  Both are read in parallel splits.
     """
+    if multi_line:
+        elements = stage(aspect_elements(spark, path).filter("aspect IN ('nodes', 'edges')"), "elements")
+        node = F.from_json("element", "`@id` BIGINT, n STRING")
+        edge = F.from_json("element", "s BIGINT, t BIGINT")
+        nodes = elements.filter("aspect = 'nodes'").select(node.alias("x")).select(F.col("x.`@id`").alias("id"), F.col("x.n").alias("name"))
+        edges = elements.filter("aspect = 'edges'").select(edge.alias("x")).select(F.col("x.s").alias("src_id"), F.col("x.t").alias("dst_id"))
+        return nodes, edges
     schema = (
         "nodes ARRAY<STRUCT<`@id`: BIGINT, n: STRING, r: STRING>>, "
         "edges ARRAY<STRUCT<`@id`: BIGINT, s: BIGINT, t: BIGINT>>"
     )
-    aspects = spark.read.schema(schema).json(path, multiLine=multi_line)
+    aspects = spark.read.schema(schema).json(path)
     nodes = aspects.filter("nodes IS NOT NULL").select(F.explode("nodes").alias("x")).select(
         F.col("x.`@id`").alias("id"), F.col("x.n").alias("name")
     )
@@ -133,6 +142,59 @@ def read_network_json(
     return nodes, edges
 
 
+def _count(text: Column, characters: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
+def aspect_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, aspect, element)``: every object of every aspect of ``[{"aspect": [{...}, ...]}, ...]`` as JSON text.
+
+    The text is cut at every closing brace by Spark's reader, so one file is read by many tasks at byte ranges.  What a piece means depends on
+    all text before it in three ways, and each is a running total over the pieces in file order: an odd number of quotes says that it
+    begins inside a string, the brackets outside strings give its depth, and the headings count the aspects.  Pieces up to a return to
+    the depth of an aspect's list make up one element, so elements may nest objects and strings may hold braces.  Empty aspects and other
+    values of an aspect yield no rows; names of aspects hold no escapes.
+    """
+    at = [F.col("file"), F.col("start"), F.col("seq")]
+    read = spark.read.option("lineSep", "}").text(path)
+    pieces = read.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("seq"),
+        # an escape is never cut in two, as no brace is escaped
+        F.col("value").alias("text"),
+        F.regexp_replace("value", r"\\.", "").alias("bare"),
+    )
+    quoted = running_totals(pieces, ["file"], at, {"quotes": _count(F.col("bare"), '"').cast("bigint")})
+    inside_before = F.pmod(F.col("quotes") - _count(F.col("bare"), '"'), F.lit(2)) == 1
+    inside_after = F.pmod("quotes", F.lit(2)) == 1
+    whole = F.concat(F.when(inside_before, '"').otherwise(""), "bare", F.when(inside_after, '"').otherwise("}"))
+    outside = F.regexp_replace(whole, '(?s)"[^"]*"', '""')
+    step = (_count(outside, "[{") - _count(outside, "]}")).cast("bigint")
+    marked = quoted.select("file", "start", "seq", "text", inside_after.alias("inside"), step.alias("step"))
+    nested = running_totals(marked, ["file"], at, {"depth": F.col("step")})
+    closes = (~F.col("inside") & (F.col("depth") <= 3)).cast("bigint")
+    grouped = running_totals(nested.withColumn("closes", closes), ["file"], at, {"closed": F.col("closes")})
+    element = F.col("closed") - F.col("closes")
+    joined = grouped.groupBy("file", element.alias("seq")).agg(
+        F.sort_array(F.collect_list(F.struct("start", F.col("seq").alias("piece"), "text"))).alias("pieces"),
+        # the depth before the first piece and after the last one
+        F.min_by(F.col("depth") - F.col("step"), F.struct("start", F.col("seq"))).alias("before"),
+        F.max_by("depth", F.struct("start", F.col("seq"))).alias("after"),
+    )
+    text = F.concat(F.array_join(F.transform("pieces", lambda p: p["text"]), "}"), F.lit("}"))
+    heading = r'(?s)"([^"\\]+)"\s*:\s*\[\s*(?=\{)'
+    # a heading lies between the end of one list and the first element of the next
+    heads = (F.col("after") == 3) & ((F.col("before") < 3) | F.col("text").rlike(r"^\s*\]"))
+    found = joined.withColumn("text", text).select("file", "seq", "text", "after", heads.alias("heads"))
+    counted = running_totals(found, ["file"], [F.col("file"), F.col("seq")], {"aspect_no": F.col("heads").cast("bigint")})
+    counted = stage(counted.filter("after = 3"), "aspects")
+    # one row per aspect
+    names = counted.filter("heads").select("file", "aspect_no", F.regexp_extract("text", heading, 1).alias("aspect"))
+    body = F.when(F.col("heads"), F.regexp_replace("text", "(?s)^.*?" + heading[4:], "")).otherwise(F.regexp_replace("text", r"^[\s,]*", ""))
+    return counted.join(names, ["file", "aspect_no"]).select("file", "aspect", body.alias("element"))
+
+
 def _folder_name(part: Column) -> Column:
     """Folder name, also of a ``column=value`` partition folder."""
     return F.regexp_replace(F.url_decode(part), r"^\w+=", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
@@ -128,6 +130,35 @@ def test_readers_on_files(spark, tmp_path):
     assert _rows(synonyms.resolve_edge_names(edges, nodes), "src", "dst") == [("b", "a")]
 
 
+def test_one_network_file_in_many_splits(spark, tmp_path):
+    names = ['plain', 'a } in "text"', 'back\\slash\\', '[{"nodes":[{', 'line\nbreak', 'é}{', '"', '}"}', "\\}"]
+    nodes = [{"@id": i, "n": names[i % len(names)] + str(i), "r": "x"} for i in range(700)]
+    edges = [{"@id": i, "s": i % 700, "t": i * 7 % 700, "v": {"deep": [{"w": "}"}]}} for i in range(1500)]
+    container = [
+        {"numberVerification": [{"longNumber": 281474976710655}]},
+        {"nodes": nodes[:300]},
+        {"edges": []},
+        {"cyViews": [{"nodes": [{"@id": 5, "n": "not a node"}], "properties": {"edges": [{"s": 1, "t": 1}]}}]},
+        {"edges": edges, "nodes": nodes[300:]},
+        {"status": [{"error": "", "success": True}]},
+    ]
+    for indent in (None, 1):
+        path = tmp_path / f"net{indent}.json"
+        path.write_text(json.dumps(container, indent=indent, ensure_ascii=False))
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16kb")
+        try:
+            assert spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions() > 4
+            got_nodes, got_edges = readers.read_network_json(spark, str(path))
+            assert sorted(map(tuple, got_nodes.collect())) == sorted((x["@id"], x["n"]) for x in nodes)
+            assert sorted(map(tuple, got_edges.collect())) == sorted((x["s"], x["t"]) for x in edges)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "empty.json").write_text("[]")
+    got_nodes, got_edges = readers.read_network_json(spark, str(tmp_path / "empty.json"))
+    assert got_nodes.count() == 0 and got_edges.count() == 0
+
+
 def test_prediction_file_priority(spark, tmp_path):
     folder = tmp_path / "20250101_000000_x_default_binary" / "k-nearest_neighbors"
     folder.mkdir(parents=True)
