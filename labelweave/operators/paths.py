@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelweave.operators.graph import components, degree, vertices
+from labelweave.operators.graph import components, vertices
 from labelweave.runtime import stage
 
 #: rows that the state of one batch of sources may have
@@ -150,45 +150,54 @@ def betweenness(edges: DataFrame, batch: int | None = None, pivots: DataFrame |
 def eccentricity_bounds(edges: DataFrame, exact: bool = False) -> tuple[DataFrame, int]:
     """``(vertex, component, low, high)`` around every eccentricity, and the number of searches made.
 
-    A search from one vertex per component bounds the eccentricity of all of its vertices: with ``d`` the distance to
-    the source and ``e`` the source's eccentricity it lies between max(d, e - d) and e + d.  Sources are chosen in turn by the
-    highest upper and the lowest lower bound.  The searches end when no upper bound exceeds the largest lower one, which then is
-    the diameter, or with ``exact`` when all bounds have met.  As a round has one source per component, its state has
-    one row per vertex.  Only one number per round comes to the driver.
+    A search bounds the eccentricity of every vertex of its component: with ``d`` the distance to the source and ``e`` the
+    source's eccentricity it lies between max(d, e - d) and e + d.  Before any search it is at most the component's size less the
+    vertex's number of neighbours.  A round searches from the vertices with the highest upper and the lowest lower bound of every component that is
+    not settled.  The rounds end when no upper bound exceeds the largest lower one, which then is the diameter, or with
+    ``exact`` when all bounds have met.  The state of a round is two rows per vertex; only two numbers come to the driver.
     """
     arcs = _both_ways(edges)
+    member = stage(components(edges), "components")
+    size = member.groupBy("component").agg(F.count("*").alias("size"))
+    near = arcs.groupBy(F.col("a").alias("vertex")).agg(F.count("*").alias("degree"))
+    alone = F.col("degree").isNull()
     state = stage(
-        components(edges)
-        .join(degree(edges), "vertex", "left")
-        .select("vertex", "component", "degree", F.lit(0).alias("low"), F.lit(2**30).alias("high")),
+        member.join(size, "component")
+        .join(near, "vertex", "left")
+        .select(
+            "vertex",
+            "component",
+            F.coalesce("degree", F.lit(0)).alias("degree"),
+            F.when(alone, 0).otherwise(1).alias("low"),
+            F.when(alone, 0).otherwise((F.col("size") - F.col("degree")).cast("int")).alias("high"),
+        ),
         "bounds",
     )
-    longest, searches, by_high = 0, 0, True
+    longest, searches = state.agg(F.max("low")).first()[0], 0
     while True:
         unsettled = state.filter(F.col("low") < F.col("high")) if exact else state.filter(F.col("high") > longest)
-        first = F.col("high") if by_high else -F.col("low")
-        sources = stage(
-            unsettled.groupBy("component").agg(F.max(F.struct(first.alias("first"), "degree", "vertex")).alias("best")).select("best.vertex"), "sources"
+        ends = unsettled.groupBy("component").agg(
+            F.max(F.struct("high", "degree", "vertex")).alias("far"), F.max(F.struct(-F.col("low"), "degree", "vertex")).alias("mid")
         )
+        sources = stage(ends.select(F.explode(F.array("far.vertex", "mid.vertex")).alias("vertex")).distinct(), "sources")
         n_sources = sources.count()
         if n_sources == 0:
             return state.drop("degree"), searches
         searches += n_sources
         found = reduce(DataFrame.unionByName, _levels(arcs, sources)).select("source", "vertex", "dist")
         depth = found.groupBy("source").agg(F.max("dist").alias("ecc"))
-        news = found.join(depth, "source").select("vertex", "dist", "ecc")
+        news = (
+            found.join(depth, "source")
+            .groupBy("vertex")
+            .agg(F.max(F.greatest("dist", F.col("ecc") - F.col("dist"))).alias("above"), F.min(F.col("ecc") + F.col("dist")).alias("below"))
+        )
         state = stage(
             state.join(news, "vertex", "left").select(
-                "vertex",
-                "component",
-                "degree",
-                F.greatest("low", "dist", F.col("ecc") - F.col("dist")).alias("low"),
-                F.least("high", F.col("ecc") + F.col("dist")).alias("high"),
+                "vertex", "component", "degree", F.greatest("low", "above").alias("low"), F.least("high", "below").alias("high")
             ),
             "bounds",
         )
         longest = state.agg(F.max("low")).first()[0]
-        by_high = not by_high
 
 
 def eccentricities(edges: DataFrame) -> DataFrame:

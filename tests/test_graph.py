@@ -110,7 +110,7 @@ def test_degree_statistics(spark):
     assert (summary.n_vertices, summary.n_edges) == (6, 5)
 
 
-@pytest.mark.parametrize("name", GRAPHS)
+@pytest.mark.parametrize("name", ["triangle with pendant", "two components"])
 def test_components_and_eccentricities(spark, name):
     near = _neighbors(GRAPHS[name])
     edges = spark.createDataFrame([*GRAPHS[name], (90, 90)], "src INT, dst INT")
@@ -129,11 +129,11 @@ def _large_graph(n: int, extra: int, seed: int):
 
 
 def test_diameter_by_few_searches(spark):
-    pairs = _large_graph(600, 60, 5)
+    pairs = _large_graph(300, 30, 5)
     near = _neighbors(pairs)
     bounds, searches = paths.eccentricity_bounds(spark.createDataFrame(pairs, "src INT, dst INT"))
     assert bounds.agg({"low": "max"}).first()[0] == max(max(_bfs(near, v)[0].values()) for v in near)
-    assert searches <= 60
+    assert searches <= 40
 
 
 def test_diameter_without_edges(spark):
