@@ -158,7 +158,7 @@ def knn_join(
         ]
     )
     if n_data == 0:
-        return spark.createDataFrame([], result_schema.add("rank", "int"))
+        return spark.createDataFrame([], result_schema.add("rank", T.IntegerType()))
     # pivots: a bounded number of points in hash order (top-n, no full sort)
     n_pivots = int(min(max_pivots, max(1, -(-n_data // block_rows))))
     chosen = base.orderBy(hash_hex(seed, "id"), "id").select("features").limit(n_pivots).collect()
@@ -227,6 +227,124 @@ def knn_join(
     return first_rows(partial, ["query_id"], ["distance", "neighbor_id"], k, rank_column="rank")
 
 
+def _probe_codes(margins: np.ndarray, probes: int) -> np.ndarray:
+    """Bucket of every row, then the ``probes`` buckets across the nearest planes, one or two at a time."""
+    n, bits = margins.shape
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    own = (margins > 0) @ weights
+    cost = np.abs(margins)
+    flips = [(i,) for i in range(bits)] + [(i, j) for i in range(bits) for j in range(i)]
+    probes = min(probes, len(flips))
+    if not probes:
+        return own[:, None]
+    price = np.stack([cost[:, list(f)].sum(1) for f in flips], axis=1)
+    masks = np.array([weights[list(f)].sum() for f in flips])
+    best = np.argpartition(price, probes - 1, axis=1)[:, :probes]
+    return np.concatenate([own[:, None], own[:, None] ^ masks[best]], axis=1)
+
+
+def _hashed(df: DataFrame, planes: np.ndarray, cuts: np.ndarray, probes: int) -> DataFrame:
+    """``(tab, bucket, id, features)`` with one row per table and probed bucket."""
+    schema = T.StructType([T.StructField("tab", T.IntegerType()), T.StructField("bucket", T.LongType()), *df.schema.fields])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.iloc[start : start + 1024]
+                vectors = np.stack(part["features"].to_numpy())
+                for t in range(len(planes)):
+                    codes = _probe_codes(vectors @ planes[t].T - cuts[t], probes)
+                    out = part.loc[part.index.repeat(codes.shape[1])]
+                    yield pd.DataFrame({"tab": np.int32(t), "bucket": codes.ravel(), "id": out["id"], "features": out["features"]})
+
+    return df.mapInPandas(run, schema)
+
+
+def _hash_blocks(hashed: DataFrame, prefix: str, block_rows: int) -> DataFrame:
+    """Buckets in blocks of about ``block_rows`` points, so that one large bucket becomes many rows."""
+    hashed = stage(hashed, "hashed")
+    sizes = hashed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / block_rows).alias("n_blocks"))
+    block = F.pmod(F.xxhash64("id"), F.col("n_blocks")).alias("block")
+    packed = hashed.join(sizes, ["tab", "bucket"]).groupBy("tab", "bucket", block).agg(F.collect_list(F.struct("id", "features")).alias("points"))
+    return packed.select(
+        "tab",
+        "bucket",
+        F.col("block").alias(f"{prefix}_block"),
+        F.col("points.id").alias(f"{prefix}_ids"),
+        F.flatten(F.col("points.features")).alias(f"{prefix}_values"),
+    )
+
+
+def knn_join_hashed(
+    queries: DataFrame,
+    data: DataFrame,
+    k: int,
+    key: str = "key",
+    features: str = "features",
+    exclude_self: bool = False,
+    tables: int = 6,
+    probes: int = 8,
+    bucket_rows: int = 256,
+    sample_rows: int = 4096,
+    block_rows: int = BLOCK_ROWS,
+    seed: int = 42,
+) -> DataFrame:
+    """``(query_id, neighbor_id, distance, rank)``: nearly always the ``k`` nearest points, by hashed buckets.
+
+    A table cuts space by random planes through the medians of at most ``sample_rows`` points, in as many bits as leave
+    about ``bucket_rows`` points per bucket.  A point lies in one bucket per table; a query looks into its own and into the ``probes`` buckets across the
+    nearest planes.  Distances are exact and ordered by (distance, neighbor id).  More ``tables`` and ``probes`` raise recall
+    and cost; a query that meets fewer than ``k`` points is answered by ``knn_join``.  Of equal points only the ``k`` (+ 1) smallest ids
+    can be an answer, so copies do not fill a bucket.
+    """
+    def prepared(df: DataFrame) -> DataFrame:
+        return df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("features"))
+
+    base = stage(prepared(data), "points")
+    asked = base if queries is data else stage(prepared(queries), "asked")
+    n_data = _checked(base)
+    if asked is not base:
+        _checked(asked)
+    n_bits = min(40, max(1, int(np.ceil(np.log2(max(n_data, 2) / bucket_rows)))))
+    sample = base.orderBy(hash_hex(seed, "id"), "id").select("features").limit(sample_rows).collect()
+    if not sample:
+        return knn_join(queries, data, k, key, features, exclude_self=exclude_self)
+    points = np.array([row.features for row in sample], dtype=float)
+    planes = np.random.default_rng(seed).normal(size=(tables, n_bits, points.shape[1]))
+    cuts = np.median(points @ planes.transpose(0, 2, 1), axis=1)
+    dims = points.shape[1]
+
+    need = k + 1 if exclude_self else k
+    d_blocks = _hash_blocks(_hashed(first_rows(base, ["features"], ["id"], need), planes, cuts, 0), "d", block_rows)
+    q_blocks = _hash_blocks(_hashed(asked, planes, cuts, probes), "q", block_rows)
+    joined = q_blocks.join(d_blocks, ["tab", "bucket"]).select("q_ids", "q_values", "d_ids", "d_values")
+    id_type = base.schema["id"].dataType
+    schema = T.StructType(
+        [T.StructField("query_id", asked.schema["id"].dataType), T.StructField("neighbor_id", id_type), T.StructField("distance", T.DoubleType())]
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pair in batch.itertuples(index=False):
+                q_ids, d_ids = np.asarray(pair.q_ids), np.asarray(pair.d_ids)
+                if q_ids.dtype == object:
+                    q_ids, d_ids = q_ids.astype(str), d_ids.astype(str)
+                q = np.asarray(pair.q_values, dtype=float).reshape(-1, dims)
+                d = np.asarray(pair.d_values, dtype=float).reshape(-1, dims)
+                rows, cols, dist = _block_best(q_ids, q, d_ids, d, k, 2, exclude_self)
+                yield pd.DataFrame({"query_id": q_ids[rows], "neighbor_id": d_ids[cols], "distance": dist})
+
+    # the same neighbour may come from several tables; both steps use one shuffle by query
+    met = joined.mapInPandas(run, schema).repartition("query_id").dropDuplicates(["query_id", "neighbor_id"])
+    near = stage(first_rows(met, ["query_id"], ["distance", "neighbor_id"], k, rank_column="rank"), "near")
+    full = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = stage(asked.join(full, "id", "left_anti"), "short")
+    if short.isEmpty():
+        return near
+    rest = knn_join(short, base, k, "id", "features", exclude_self=exclude_self, block_rows=block_rows)
+    return near.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(rest)
+
+
 def knn_classify(
     train: DataFrame,
     test: DataFrame,

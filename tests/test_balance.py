@@ -44,6 +44,30 @@ def test_knn_join_is_exact(spark, p, block_rows):
         assert [d for _, d, _ in rows] == pytest.approx([d for d, _ in expected[key]])
 
 
+def test_hashed_knn_recall(spark):
+    """Overlapping clusters and a third of the points identical, many buckets, few of them probed."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 1.0, (500, 12)) for c in (0, 1, 2, 3)] + [np.full((1000, 12), 1.5)])
+    points = _points(spark, x)
+    got = neighbors.knn_join_hashed(points, points, 5, exclude_self=True, bucket_rows=24, probes=6).toPandas()
+    assert len(got) == 5 * len(x) and not got.duplicated(["query_id", "neighbor_id"]).any()
+    pairs = {(f"k{i:04d}", n) for i, n in zip(got.query_id.str[1:].astype(int), got.neighbor_id)}
+    q, d = got.query_id.str[1:].astype(int), got.neighbor_id.str[1:].astype(int)
+    assert np.allclose(got.distance, np.sqrt(((x[q] - x[d]) ** 2).sum(1)))
+    exact = {(a, n) for a, near in _brute(x, 5, 2, True).items() for _, n in near}
+    assert len(pairs & exact) / len(exact) >= 0.9
+    # copies have exactly their smallest other ids
+    assert set(got[got.query_id == "k2999"].neighbor_id) == {f"k{i}" for i in range(2000, 2005)}
+
+
+def test_hashed_knn_answers_short_queries_exactly(spark):
+    x = np.concatenate([np.arange(60.0)[:, None], [[500.0]]])
+    got = neighbors.knn_join_hashed(_points(spark, x), _points(spark, x), 40, tables=1, probes=0, bucket_rows=4).toPandas()
+    assert (got.groupby("query_id").size() == 40).all()
+    none = _points(spark, x).limit(0)
+    assert neighbors.knn_join_hashed(_points(spark, x), none, 3).count() == 0
+
+
 def test_knn_join_of_other_queries_and_few_points(spark):
     data = _points(spark, np.array([[0.0], [1.0]]))
     queries = spark.createDataFrame([("q", [0.2])], "key STRING, features ARRAY<DOUBLE>")
