@@ -18,6 +18,9 @@ from labelweave.operators.neighbors import knn_join
 from labelweave.operators.ordering import row_numbers
 from labelweave.runtime import stage
 
+MAX_CLASSES = 1000
+
+
 def _points(df: DataFrame) -> DataFrame:
     return stage(
         df.select(
@@ -30,14 +33,16 @@ def _points(df: DataFrame) -> DataFrame:
 
 
 def class_counts(df: DataFrame) -> dict[int, int]:
-    """Class sizes, one small row per class: balancing makes a plan for each class, so there are few of them."""
-    rows = df.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()
+    """Class sizes; balancing makes a plan for each class, so more than ``MAX_CLASSES`` of them are an error."""
+    rows = df.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes: is the label column right?")
     return {r.label: r.n for r in rows}
 
 
 def undersample_random(df: DataFrame, seed: int = 42) -> DataFrame:
     """Every class down to the size of the smallest."""
-    smallest = min(class_counts(df).values())
+    smallest = df.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
     numbered = row_numbers(
         df.withColumn("_hash", hash_hex(seed, "key")), ["label"], ["_hash", "key"], "_rn"
     )

@@ -158,3 +158,10 @@ def test_dispatcher(spark):
         balance.balance(points, "absent")
     with pytest.raises(ValueError):
         balance.smote(_points(spark, np.zeros((5, 1)), [0, 0, 0, 0, 1]))
+
+
+def test_too_many_classes_are_an_error(spark):
+    rows = spark.range(1200).selectExpr("id AS label", "id AS key")
+    with pytest.raises(ValueError, match="classes"):
+        balance.class_counts(rows)
+    assert balance.undersample_random(rows).count() == 1200
