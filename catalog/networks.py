@@ -231,6 +231,12 @@ def betweenness(spark, folder):
     return rounded(paths.betweenness(turns(spark, folder)))
 
 
+@query("betweenness_sampled")
+def betweenness_sampled(spark, folder):
+    # no SQL text: the sample is beyond it, tests hold values and bounds against exact ones
+    return rounded(paths.betweenness_sampled(stage(turns(spark, folder), "edges"), epsilon=0.05))
+
+
 @query(
     "vertex_feature_table",
     with_inputs(
