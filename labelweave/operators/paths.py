@@ -3,7 +3,7 @@
 All of them rest on one level-synchronous search from many sources at once.  Its state is a table
 keyed by (source, vertex); each round is two equi-joins and one aggregate, staged to the shared
 folder.  The state of all sources is vertices x vertices in the worst case, so the sources are
-handled in batches; the batches together are exact.  Where the state or the work of all sources is too
+handled in batches, as many as the sizes of the components ask for; the batches together are exact.  Where the state or the work of all sources is too
 much there are three ways around it: bounds on eccentricities, which need few searches and stay exact,
 sketches of neighbourhoods, and sampled sources with a bound on the error.
 """
@@ -83,10 +83,21 @@ def _dependencies(arcs: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _batches(chosen: DataFrame, n_sources: int, n_vertices: int, batch: int | None) -> list[DataFrame]:
-    """The sources in parts of about ``batch``, by default as many as ``STATE_ROWS`` allows."""
-    batch = batch or max(1, STATE_ROWS // max(n_vertices, 1))
-    n_batches = max(1, -(-n_sources // batch))
+def _batches(edges: DataFrame, chosen: DataFrame, n_sources: int, n_vertices: int, batch: int | None) -> list[DataFrame]:
+    """The sources in parts of about ``batch``, by default as many as ``STATE_ROWS`` allows.
+
+    A search stays in its component, so the state of a source has at most as many rows as its component has vertices; components are
+    asked for only where all sources with all vertices would be too much.
+    """
+    if batch:
+        n_batches = max(1, -(-n_sources // batch))
+    elif n_sources * n_vertices <= STATE_ROWS:
+        n_batches = 1
+    else:
+        member = stage(components(edges), "components")
+        sizes = member.groupBy("component").agg(F.count("*").alias("size"))
+        reach = chosen.join(member, "vertex", "left").join(sizes, "component", "left").agg(F.sum(F.coalesce("size", F.lit(1)))).first()[0]
+        n_batches = max(1, -(-(reach or 0) // STATE_ROWS))
     if n_batches == 1:
         return [chosen]
     return [chosen.filter(F.pmod(F.xxhash64("vertex"), F.lit(n_batches)) == i) for i in range(n_batches)]
@@ -115,7 +126,7 @@ def path_measures(
     n_sources = n_vertices if pivots is None else chosen.count()
     scale = 1.0 if pivots is None else n_vertices / max(n_sources, 1)
     distances, shares = [], []
-    for part in _batches(chosen, n_sources, n_vertices, batch):
+    for part in _batches(edges, chosen, n_sources, n_vertices, batch):
         levels = _levels(arcs, part)
         reached = reduce(DataFrame.unionByName, levels)
         distances.append(
@@ -277,7 +288,7 @@ def betweenness_sampled(
         high = 1.0 if i == rounds - 1 else min(1.0, first * 2**i / n)
         chosen = stage(every.filter((place >= low) & (place < high)), "sources")
         n_chosen = chosen.count()
-        parts = [_dependencies(arcs, _levels(arcs, part)) for part in _batches(chosen, n_chosen, n, batch)]
+        parts = [_dependencies(arcs, _levels(arcs, part)) for part in _batches(edges, chosen, n_chosen, n, batch)]
         united = reduce(DataFrame.unionByName, [sums, *parts])
         sums = stage(united.groupBy("vertex").agg(F.sum("share").alias("share"), F.sum("squares").alias("squares")), "shares")
         drawn, low = drawn + n_chosen, high

@@ -176,3 +176,16 @@ def test_sampled_betweenness_keeps_its_bound(spark, epsilon, sampled):
         assert abs(r.betweenness - exact[r.vertex]) <= r.error + 1e-6 * (1 + exact[r.vertex])
         assert r.error <= epsilon * (n - 1) * (n - 2) / 2 * 1.0001
     assert any(r.error > 0 for r in got) == sampled
+
+
+def test_many_small_components_are_one_batch(spark, monkeypatch):
+    """The state of a search ends with its component, so 40 paths of three vertices are 360 rows, not 120 x 120."""
+    edges = spark.createDataFrame([(10 * i + j, 10 * i + j + 1) for i in range(40) for j in range(2)], "src long, dst long")
+    searches = []
+    levels = paths._levels
+    monkeypatch.setattr(paths, "STATE_ROWS", 400)
+    monkeypatch.setattr(paths, "_levels", lambda arcs, sources: searches.append(1) or levels(arcs, sources))
+    got = {r.vertex: (r.betweenness, r.closeness, r.eccentricity) for r in paths.path_measures(edges).collect()}
+    assert len(searches) == 1
+    ends, middle = (0.0, 1 / 3, 2), (1.0, 1 / 2, 1)
+    assert got == {10 * i + j: middle if j == 1 else ends for i in range(40) for j in range(3)}
