@@ -165,3 +165,19 @@ def test_too_many_classes_are_an_error(spark):
     with pytest.raises(ValueError, match="classes"):
         balance.class_counts(rows)
     assert balance.undersample_random(rows).count() == 1200
+
+
+def test_knn_join_ships_points_once_per_strip(spark):
+    """Blocks of points are not joined in pairs, and copies of one point do not fill a task."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(300, 6)), np.repeat(rng.normal(size=(1, 6)), 200, 0)])
+    points = _points(spark, x)
+    near = neighbors.knn_join(points, points, 3, exclude_self=True, block_rows=20)
+    plan = near._jdf.queryExecution().toString()
+    assert "q_block" not in plan and "d_block" not in plan
+    got = near.toPandas()
+    between = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(between, np.inf)
+    ids = points.orderBy(F.col("key")).select("key").toPandas()["key"].tolist()
+    assert len(got) == 3 * len(x) and set(got["query_id"]) == set(ids)
+    assert np.allclose(np.sort(got["distance"]), np.sort(np.sort(between, 1)[:, :3].ravel()))
