@@ -52,6 +52,26 @@ def test_growing_by_levels_equals_growing_in_a_task(spark):
             assert sum(r.proba) == pytest.approx(1) and r.y_pred == int(np.argmax(r.proba))
 
 
+def test_nodes_that_a_task_holds_are_finished_in_one_pass(spark, monkeypatch):
+    """Sets beyond a task, nodes within it: the same trees in two or three passes instead of one per level."""
+    from labelweave.learning import trees
+
+    x, y = table()
+    chosen = [s for s in SPECS.values() if s.n_classes == 2 and s.kind != "boost"] + [TreeSpec("boost", n_trees=2, depth=4, l2=1.0), TreeSpec("tree")]
+    sets = frame(spark, x, y, sets=2)
+    jobs = {2 * i + k: (k, s) for i, s in enumerate(chosen) for k in (0, 1)}
+    passes = []
+    level = trees._grow_level
+    monkeypatch.setattr(trees, "_grow_level", lambda *a: passes.append(1) or level(*a))
+    here = {(r.job, r.key): r for r in fit_predict(sets, jobs, score_train=True).collect()}
+    away = fit_predict(sets, jobs, score_train=True, local_cells=150 * x.shape[1]).collect()
+    # a tree without a limit of its depth alone takes more levels
+    assert 2 <= len(passes) <= 10
+    assert len(here) == len(away) == len(jobs) * ROWS
+    for r in away:
+        assert np.allclose(r.proba, here[r.job, r.key].proba, atol=1e-9), (jobs[r.job], r.key)
+
+
 def greedy(spec: TreeSpec, x, stats, edges, depth=0):
     """A tree by plain recursion over all cuts: nested ``(feature, threshold, left, right)`` or a leaf's sums."""
     total = stats.sum(0)
