@@ -271,6 +271,8 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("test_predictions", "predictions").alias("p"),
         F.struct("position", "y_true", "y_pred", F.col("proba").alias("y_pred_proba")).alias("one"),
     ).filter("p IS NOT NULL OR coalesce(one.y_true, one.y_pred) IS NOT NULL OR one.y_pred_proba IS NOT NULL")
+    # the files are opened and parsed once
+    tagged = stage(tagged, "tagged")
     best = tagged.groupBy("run", "model").agg(F.min("priority").alias("priority"))
     # all files of the best name: a folder may hold one file per fold or task
     chosen = join_null_safe(tagged, best, ["run", "model", "priority"])

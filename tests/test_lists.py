@@ -187,6 +187,16 @@ def test_written_predictions_are_read_back(spark, tmp_path):
     assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_prediction_files_are_parsed_once(spark, tmp_path):
+    """Choosing the best name of a folder and reading its examples share one pass over the files."""
+    folder = tmp_path / "run" / "catboost"
+    folder.mkdir(parents=True)
+    (folder / "predictions.json").write_text('{"test_predictions": {"y_true": [1, 0], "y_pred": [1, 1], "y_pred_proba": [[0.2, 0.8], [0.4, 0.6]]}}')
+    out = readers.read_predictions(spark, str(tmp_path))
+    assert all("/run/catboost/" not in f for f in out.inputFiles())
+    assert sorted((r.run, r.model, r.position, r.y_true) for r in out.collect()) == [("run", "catboost", 0, 1), ("run", "catboost", 1, 0)]
+
+
 def test_prediction_files_in_the_run_folder_stand_in_for_absent_models(spark, tmp_path):
     run = tmp_path / "20250101_000000_x_optimized_binary"
     (run / "svc").mkdir(parents=True)
