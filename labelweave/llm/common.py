@@ -160,38 +160,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Alternating large-star and small-star steps over a staged edge table.  Each round groups by the larger
     endpoint only for a minimum (aggregated per task first) and joins it back, so a vertex with very many
-    links is never collected; the number of rounds grows with the logarithm of the component size.
+    links is never collected; the number of rounds grows with the logarithm of the component size.  The rounds end
+    when every vertex has at most one smaller neighbour, and larger ones only if it has none.
     """
     both = lambda df: df.select("u", "v").union(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    edges = stage(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "links")
-    vertices = stage(both(edges).select(F.col("u").alias("vertex")).distinct(), "vertices")
-    previous = None
+    # repeated links are dropped by the first small star
+    edges = stage(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v"), "links")
     for _ in range(max_rounds):
-        # large star: a vertex's larger neighbours point to the least of the vertex and its neighbours
-        sides = both(edges)
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = stage(
-            sides.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(),
-            "large_star",
-        )
-        # small star: a vertex and its smaller neighbours point to the least of them
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
-        edges = stage(
-            joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(joined.select("u", F.col("m").alias("v")))
-            .filter("u <> v")
-            .distinct(),
-            "small_star",
+        smaller = F.when(F.col("v") < F.col("u"), F.col("v"))
+        least = both(edges).groupBy("u").agg(
+            F.least("u", F.min("v")).alias("m"), F.max(smaller).alias("most"), F.max(F.col("v") > F.col("u")).alias("parent")
         )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == previous:
+        least = stage(least, "least")
+        if least.filter("most > m OR (parent AND m < u)").isEmpty():
             break
-        previous = now
+        # large star: a vertex's larger neighbours point to the least of the vertex and its neighbours
+        large = both(edges).filter("v > u").join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stage(large, "large_star")
+        # small star: a vertex and its smaller neighbours point to the least of them
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        others = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stage(others.union(least.select("u", F.col("m").alias("v"))).distinct(), "small_star")
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
-    return vertices.join(roots, "vertex", "left").select(
-        "vertex", F.coalesce("component", "vertex").alias("component")
-    )
+    return least.select(F.col("u").alias("vertex"), F.col("m").alias("component"))

@@ -243,19 +243,19 @@ def _deal_families(sets: DataFrame, large: DataFrame) -> DataFrame:
     """
     size = lambda n: F.ceil(F.col(n) / CHUNK)
     prefixes = [F.xxhash64(F.substring("sig", 1, 2 * k)).alias(f"p{k}") for k in PREFIXES]
-    rows = sets.select("cls", "family", *prefixes).join(large.select("family"), "family")
-    rows = stage(rows.withColumn("at", F.lit(0).cast("long")).withColumn("chunk", F.lit(None).cast("long")), "prefixes")
+    rows = stage(sets.select("cls", "family", *prefixes).join(large.select("family"), "family"), "prefixes")
+    above = dict(zip(PREFIXES, [F.lit(0).cast("long"), *[F.col(f"p{k}") for k in PREFIXES]]))
+    # the subtrees of all levels at once: those below one that is dealt already are counted, but not used
+    levels = F.array(*[F.struct(F.lit(k).alias("k"), above[k].alias("at"), F.col(f"p{k}").alias("p")) for k in PREFIXES])
+    below = stage(rows.select("family", F.inline(levels)).groupBy("family", "k", "at", "p").agg(F.count("*").alias("n")), "subtrees")
+    rest = below.filter(F.col("n") <= CHUNK).groupBy("family", "k", "at").agg(F.sum("n").alias("rest"))
+    below = stage(below.join(rest, ["family", "k", "at"], "left"), "subtrees")
+    dealt = []
     for k in PREFIXES:
-        below = rows.filter("chunk IS NULL").groupBy("family", f"p{k}").agg(F.count("*").alias("n"), F.first("at").alias("at"))
-        below = stage(below, "subtrees")
-        rest = below.filter(F.col("n") <= CHUNK).groupBy("family", "at").agg(F.sum("n").alias("rest"))
-        dense = below.filter(F.col("n") > CHUNK).select("family", f"p{k}", F.lit(True).alias("dense"))
-        rows = rows.join(rest, ["family", "at"], "left").join(dense, ["family", f"p{k}"], "left")
-        bin_of = F.xxhash64(F.lit(k), "at", F.pmod(F.col(f"p{k}"), size("rest")))
-        dealt = F.when(F.col("chunk").isNull() & F.col("dense").isNull(), bin_of)
-        rows = rows.withColumn("chunk", F.coalesce("chunk", dealt)).withColumn("at", F.when(F.col("chunk").isNull(), F.col(f"p{k}")).otherwise(F.col("at")))
-        rows = stage(rows.drop("rest", "dense"), "dealt")
-    rows = rows.select("cls", "family", F.coalesce("chunk", "at").alias("chunk"))
+        level = below.filter(F.col("k") == k).select("family", F.col("p").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"rest{k}"))
+        rows = rows.join(level, ["family", f"p{k}"])
+        dealt.append(F.when(F.col(f"n{k}") <= CHUNK, F.xxhash64(F.lit(k), above[k], F.pmod(F.col(f"p{k}"), size(f"rest{k}")))))
+    rows = stage(rows.select("cls", "family", F.coalesce(*dealt, F.col(f"p{PREFIXES[-1]}")).alias("chunk")), "dealt")
     # chunks that are too large by now, with the longest prefix in common or by chance
     counts = stage(rows.groupBy("family", "chunk").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * CHUNK), "full_chunks")
     rows = rows.join(counts, ["family", "chunk"], "left")
@@ -291,6 +291,7 @@ def _linked(docs: DataFrame, words: int, percent: int, depth: int) -> tuple[Data
     dealt = _deal_families(sets, large) if split else sets.withColumn("chunk", F.lit(0).cast("long"))
     first = _confirmed(dealt, ["family", "chunk"], percent, least)
     links = first.filter("b IS NOT NULL")
+    parts = None
     if split:
         # representatives of the parts of all chunks of a large family meet
         heads = first.filter("b IS NULL").select(F.col("a").alias("cls"))
@@ -315,9 +316,11 @@ def _linked(docs: DataFrame, words: int, percent: int, depth: int) -> tuple[Data
         outer = chunked.filter("part <> main").select(
             *columns, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), own.alias("i"), F.lit(1).alias("side")
         )
-        third = _confirmed(inner.unionByName(outer), ["family", "i", "j"], percent, least)
-        links = links.union(third.filter("b IS NOT NULL"))
-    parts = components(links)
+        third = _confirmed(inner.unionByName(outer), ["family", "i", "j"], percent, least).filter("b IS NOT NULL")
+        if not third.isEmpty():
+            links, parts = links.union(third), None
+    # nothing is linked anew if the last look found no link
+    parts = components(links) if parts is None else parts
     reach = classes.join(parts, F.col("cls") == F.col("vertex"))
     # the smallest id, null only if there is no other, with the smallest class that has it
     first_of = lambda: F.struct(F.col("least_id").isNull().alias("unnamed"), F.col("least_id").alias("doc_id"), "cls")

@@ -49,6 +49,15 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert {got[i] for i in range(100, 161)} == {100} and {got[i] for i in range(200, 260)} == {7} and got[7] == 7
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    staged, stage = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df, name: (staged.append(name), stage(df, name))[1])
+    edges = [(7, i) for i in range(20, 60)] + [(i, 3) for i in range(100, 140)] + [(3, 100), (7, 7)]
+    got = dict(common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    assert got == {7: 7, 3: 3} | {i: 7 for i in range(20, 60)} | {i: 3 for i in range(100, 140)}
+    assert staged == ["links", "least"]
+
+
 # ------------------------------------------------------------------ language
 
 def test_language_accuracy_held_out(tables):
