@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelweave.operators.clean import drop_self_loops
+from labelweave.operators.ordering import row_numbers
 from labelweave.operators.synonyms import translate_edges
 from labelweave.runtime import stage
 
@@ -147,19 +148,19 @@ def local_clustering(edges: DataFrame) -> DataFrame:
     Every edge points from the end of lower degree to the end of higher degree.  A vertex then has
     at most sqrt(2 m) out-neighbours, even a hub that touches a third of all edges, so the
     out-neighbour arrays are bounded.  Triangles are the intersections of the two arrays at an
-    edge; no pairs of neighbours are emitted.
+    edge; no pairs of neighbours are emitted.  Vertices are named by their place in that order (an int below
+    2^31 of them), and an edge takes only the neighbours along that do not come before its higher end.
     """
-    d = stage(degree(edges), "degree")
-    ranked = edges.join(d.withColumnsRenamed({"vertex": "src", "degree": "ds"}), "src").join(
-        d.withColumnsRenamed({"vertex": "dst", "degree": "dd"}), "dst"
+    d = stage(row_numbers(degree(edges), [], ["degree", "vertex"], "place"), "degree")
+    if d.count() < 2**31:
+        d = d.withColumn("place", F.col("place").cast("int"))
+    ranked = edges.join(d.select(F.col("vertex").alias("src"), F.col("place").alias("ps")), "src").join(
+        d.select(F.col("vertex").alias("dst"), F.col("place").alias("pd")), "dst"
     )
-    low_first = F.struct("ds", "src") < F.struct(F.col("dd").alias("ds"), F.col("dst").alias("src"))
-    oriented = ranked.select(
-        F.when(low_first, F.col("src")).otherwise(F.col("dst")).alias("low"),
-        F.when(low_first, F.col("dst")).otherwise(F.col("src")).alias("high"),
-    )
-    out = stage(oriented.groupBy("low").agg(F.collect_set("high").alias("out")), "out")
-    hops = out.filter(F.size("out") > 1).select("low", "out", F.explode("out").alias("high"))
+    oriented = ranked.select(F.least("ps", "pd").alias("low"), F.greatest("ps", "pd").alias("high"))
+    out = stage(oriented.groupBy("low").agg(F.sort_array(F.collect_set("high")).alias("out")), "out")
+    hops = out.filter(F.size("out") > 1).select("low", "out", F.posexplode("out").alias("at", "high"))
+    hops = hops.select("low", "high", F.slice("out", F.col("at") + 1, F.size("out")).alias("out"))
     ends = hops.join(out.withColumnsRenamed({"low": "high", "out": "out2"}), "high")
     common = ends.select("low", "high", F.array_intersect("out", "out2").alias("common")).filter(
         F.size("common") > 0
@@ -168,15 +169,15 @@ def local_clustering(edges: DataFrame) -> DataFrame:
         F.inline(
             F.concat(
                 F.array(
-                    F.struct(F.col("low").alias("vertex"), F.size("common").cast("bigint").alias("t")),
-                    F.struct(F.col("high").alias("vertex"), F.size("common").cast("bigint").alias("t")),
+                    F.struct(F.col("low").alias("place"), F.size("common").cast("bigint").alias("t")),
+                    F.struct(F.col("high").alias("place"), F.size("common").cast("bigint").alias("t")),
                 ),
-                F.transform("common", lambda w: F.struct(w.alias("vertex"), F.lit(1).cast("bigint").alias("t"))),
+                F.transform("common", lambda w: F.struct(w.alias("place"), F.lit(1).cast("bigint").alias("t"))),
             )
         )
     )
-    triangles = credits.groupBy("vertex").agg(F.sum("t").alias("triangles"))
-    full = d.join(triangles, "vertex", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
+    triangles = credits.groupBy("place").agg(F.sum("t").alias("triangles"))
+    full = d.join(triangles, "place", "left").select("vertex", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
     pairs = F.col("degree") * (F.col("degree") - 1)
     return full.withColumn(
         "clustering", F.coalesce(F.try_divide(F.lit(2.0) * F.col("triangles"), pairs), F.lit(0.0))

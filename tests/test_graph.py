@@ -189,3 +189,20 @@ def test_many_small_components_are_one_batch(spark, monkeypatch):
     assert len(searches) == 1
     ends, middle = (0.0, 1 / 3, 2), (1.0, 1 / 2, 1)
     assert got == {10 * i + j: middle if j == 1 else ends for i in range(40) for j in range(3)}
+
+
+def test_local_clustering_sends_places_and_no_lower_neighbours(spark, monkeypatch):
+    rng = random.Random(4)
+    big = 10**15
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(250)}
+    staged, stage = {}, graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    got = {r.vertex - big: r for r in graph.local_clustering(spark.createDataFrame([(a + big, b + big) for a, b in pairs], "src bigint, dst bigint")).collect()}
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for p in pairs for v in p}
+    for v, others in near.items():
+        triangles = sum((a, b) in pairs for a in others for b in others)
+        assert (got[v].degree, got[v].triangles) == (len(others), triangles)
+    assert len(got) == len(near)
+    # ids are long, places are not; in their order the neighbours along an edge are a tail of the array
+    assert dict(staged["out"].dtypes) == {"low": "int", "out": "array<int>"}
+    assert all(r.out == sorted(r.out) and r.low < r.out[0] for r in staged["out"].collect())
