@@ -248,8 +248,10 @@ def _deal_families(sets: DataFrame, large: DataFrame) -> DataFrame:
     # the subtrees of all levels at once: those below one that is dealt already are counted, but not used
     levels = F.array(*[F.struct(F.lit(k).alias("k"), above[k].alias("at"), F.col(f"p{k}").alias("p")) for k in PREFIXES])
     below = stage(rows.select("family", F.inline(levels)).groupBy("family", "k", "at", "p").agg(F.count("*").alias("n")), "subtrees")
-    rest = below.filter(F.col("n") <= CHUNK).groupBy("family", "k", "at").agg(F.sum("n").alias("rest"))
-    below = stage(below.join(rest, ["family", "k", "at"], "left"), "subtrees")
+    # few rows, as each stands for more than a chunk; staged, so that its size is seen: by a shuffle a parent would be one task's
+    rest = below.filter(F.col("n") <= CHUNK).groupBy("family", "k", "at").agg(F.sum("n").alias("rest")).filter(F.col("rest") > CHUNK)
+    below = below.join(stage(rest, "rests"), ["family", "k", "at"], "left").withColumn("rest", F.coalesce("rest", F.lit(1)))
+    below = stage(below, "subtrees")
     dealt = []
     for k in PREFIXES:
         level = below.filter(F.col("k") == k).select("family", F.col("p").alias(f"p{k}"), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"rest{k}"))
