@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelweave.operators.ordering import running_totals
-from labelweave.runtime import stage
+from labelweave.runtime import new_path, stage
 
 #: Shape of every curated list after standardisation.
 LIST_SCHEMA = T.StructType(
@@ -122,7 +125,7 @@ def read_network_json(
     layout, or (``multi_line=False``) hold one aspect per line.  Both are read in parallel splits.
     """
     if multi_line:
-        elements = stage(aspect_elements(spark, path).filter("aspect IN ('nodes', 'edges')"), "elements")
+        elements = aspect_elements(spark, path)
         node = F.from_json("element", "`@id` BIGINT, n STRING")
         edge = F.from_json("element", "s BIGINT, t BIGINT")
         nodes = elements.filter("aspect = 'nodes'").select(node.alias("x")).select(F.col("x.`@id`").alias("id"), F.col("x.n").alias("name"))
@@ -142,57 +145,160 @@ def read_network_json(
     return nodes, edges
 
 
-def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _pieces(values: pa.Array, inside: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For pieces of text that end before a closing brace: whether each ends inside a string, and what it adds to the depth; ``inside`` is how the first begins."""
+    # an escape is never cut in two, as no brace is escaped
+    bare = pc.replace_substring_regex(values, r"\\.", "")
+    quotes = pc.count_substring(bare, '"').to_numpy()
+    after = (quotes.cumsum() + inside) % 2 == 1
+    before = np.append(inside, after[:-1])
+    whole = pc.binary_join_element_wise(pa.array(np.where(before, '"', "")), bare, pa.array(np.where(after, '"', "}")), "")
+    outside = pc.replace_substring_regex(whole, '"[^"]*"', "")
+    up, down = (sum(pc.count_substring(outside, c).to_numpy().astype(np.int64) for c in chars) for chars in ("[{", "]}"))
+    return after, up - down
+
+
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Array]]:
+    """The pieces of each batch by the file and the split that they are read from, both in order."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        start = batch.column("start").to_numpy()
+        # two files of one task may begin at the same place
+        file = batch.column("file").dictionary_encode()
+        number = file.indices.to_numpy()
+        cuts = np.flatnonzero((start[1:] != start[:-1]) | (number[1:] != number[:-1])) + 1
+        for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(start)]):
+            yield (file.dictionary[int(number[x])].as_py(), int(start[x])), batch.column("value").slice(x, y - x)
+
+
+def _split_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per split: whether its quotes are odd, and what it adds to the depth if it begins outside, or inside, a string."""
+    sums: dict[tuple[str, int], list] = {}
+    for key, values in _splits(batches):
+        now = sums.setdefault(key, [False, True, 0, 0])
+        for h in (0, 1):
+            after, step = _pieces(values, now[h])
+            now[h], now[2 + h] = bool(after[-1]), now[2 + h] + int(step.sum())
+    for (file, start), (odd, _, outside, inside) in sums.items():
+        row = [pa.array([file], pa.string()), pa.array([start], pa.int64()), pa.array([odd], pa.bool_()), pa.array([outside], pa.int64()), pa.array([inside], pa.int64())]
+        yield pa.RecordBatch.from_arrays(row, names=["file", "start", "odd", "outside", "inside"])
+
+
+SPLIT_SUMS = "file string, start bigint, odd boolean, outside bigint, inside bigint"
+#: Depth of the objects' list of an aspect.
+LIST_DEPTH = 3
+HEADING = r'"([^"\\]+)"\s*:\s*\[\s*(?=\{)'
 
 
 def aspect_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, aspect, element)``: every object of every aspect of ``[{"aspect": [{...}, ...]}, ...]`` as JSON text.
 
     The text is cut at every closing brace by Spark's reader, so one file is read by many tasks at byte ranges.  What a piece means depends on
-    all text before it in three ways, and each is a running total over the pieces in file order: an odd number of quotes says that it
-    begins inside a string, the brackets outside strings give its depth, and the headings count the aspects.  Pieces up to a return to
-    the depth of an aspect's list make up one element, so elements may nest objects and strings may hold braces.  Empty aspects and other
-    values of an aspect yield no rows; names of aspects hold no escapes.
+    all text before it: an odd number of quotes says that it begins inside a string, and the brackets outside strings give its depth.  A first pass
+    sums both for every split, one small row each; a second one begins each split with the totals of those before it.  Pieces up to a return to
+    the depth of an aspect's list make up one element, so elements may nest objects and strings may hold braces.  Only the text at the ends of a split,
+    which may go on in the next, is shuffled.  Empty aspects and other values of an aspect yield no rows; names of aspects hold no escapes.
     """
-    at = [F.col("file"), F.col("start"), F.col("seq")]
-    read = spark.read.option("lineSep", "}").text(path)
-    pieces = read.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("seq"),
-        # an escape is never cut in two, as no brace is escaped
-        F.col("value").alias("text"),
-        F.regexp_replace("value", r"\\.", "").alias("bare"),
-    )
-    quoted = running_totals(pieces, ["file"], at, {"quotes": _count(F.col("bare"), '"').cast("bigint")})
-    inside_before = F.pmod(F.col("quotes") - _count(F.col("bare"), '"'), F.lit(2)) == 1
-    inside_after = F.pmod("quotes", F.lit(2)) == 1
-    whole = F.concat(F.when(inside_before, '"').otherwise(""), "bare", F.when(inside_after, '"').otherwise("}"))
-    outside = F.regexp_replace(whole, '(?s)"[^"]*"', '""')
-    step = (_count(outside, "[{") - _count(outside, "]}")).cast("bigint")
-    marked = quoted.select("file", "start", "seq", "text", inside_after.alias("inside"), step.alias("step"))
-    nested = running_totals(marked, ["file"], at, {"depth": F.col("step")})
-    closes = (~F.col("inside") & (F.col("depth") <= 3)).cast("bigint")
-    grouped = running_totals(nested.withColumn("closes", closes), ["file"], at, {"closed": F.col("closes")})
-    element = F.col("closed") - F.col("closes")
-    joined = grouped.groupBy("file", element.alias("seq")).agg(
-        F.sort_array(F.collect_list(F.struct("start", F.col("seq").alias("piece"), "text"))).alias("pieces"),
+    # both passes need the same splits, whatever executors come or go between them
+    session = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if session.conf.isModifiable(name):
+            session.conf.set(name, value)
+    session.conf.set("spark.sql.files.minPartitionNum", max(1, spark.sparkContext.defaultParallelism))
+    read = session.read.option("lineSep", "}").text(path)
+    pieces = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    begins: dict[tuple[str, int], tuple[bool, int]] = {}
+    last, inside, depth = None, False, 0
+    # one small row per split
+    for r in sorted(pieces.mapInArrow(_split_sums, SPLIT_SUMS).collect(), key=lambda r: (r.file, r.start)):
+        if r.file != last:
+            last, inside, depth = r.file, False, 0
+        begins[(r.file, r.start)] = (inside, depth)
+        depth += r.inside if inside else r.outside
+        inside ^= r.odd
+    known = spark.sparkContext.broadcast(begins)
+    # part 0 ends an element begun before its split, or lies in its midst; 1: whole elements; 2: what begins an element at the split's end; 3: the last heading
+    schema = "file string, start bigint, part int, closed boolean, text string, before bigint, after bigint, aspect string"
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part, aspect, open_text = None, 0, None, []
+        inside, depth, first = False, 0, 0
+
+        def rows(part: int, closed: bool, texts: list, before: list, after: list, aspects: list) -> pa.RecordBatch:
+            n = len(texts)
+            columns = [
+                pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([closed] * n, pa.bool_()),
+                pa.array(texts, pa.string()), pa.array(before, pa.int64()), pa.array(after, pa.int64()), pa.array(aspects, pa.string()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["file", "start", "part", "closed", "text", "before", "after", "aspect"])
+
+        def end() -> Iterator[pa.RecordBatch]:
+            if open_text:
+                yield rows(0 if part == 0 else 2, False, ["}".join(open_text) + "}"], [first], [depth], [None])
+            if aspect is not None:
+                yield rows(3, False, [""], [depth], [depth], [aspect])
+
+        for now, values in _splits(batches):
+            if now != key:
+                yield from end()
+                key, part, aspect, open_text = now, 0, None, []
+                inside, depth = known.value[key]
+                first = depth
+            after, step = _pieces(values, inside)
+            level = depth + step.cumsum()
+            texts, at = values.to_pylist(), 0
+            found, before, aspects = [], [], []
+            ends = np.flatnonzero(~after & (level <= LIST_DEPTH))
+            for e, reached in zip(ends.tolist(), level[ends].tolist()):
+                text = "}".join([*open_text, *texts[at : e + 1]]) + "}"
+                if part == 0:
+                    yield rows(0, True, [text], [first], [reached], [None])
+                    part = 1
+                elif reached == LIST_DEPTH:
+                    # a heading lies between the end of one list and the first element of the next
+                    if first < LIST_DEPTH or text.lstrip(" \t\n\x0b\f\r").startswith("]"):
+                        heading = re.search(HEADING, text, re.ASCII)
+                        aspect = heading.group(1) if heading else ""
+                    found.append(text)
+                    before.append(first)
+                    aspects.append(aspect)
+                at, first, open_text = e + 1, reached, []
+            open_text += texts[at:]
+            inside, depth = bool(after[-1]), int(level[-1])
+            if found:
+                yield rows(1, True, found, before, [LIST_DEPTH] * len(found), aspects)
+        if key is not None:
+            yield from end()
+
+    written = new_path(spark, "elements")
+    pieces.mapInArrow(elements, schema).write.parquet(written)
+    known.unpersist()
+    found = spark.read.schema(schema).parquet(written)
+    # one or two rows of every split: the elements that end in a split as its first ones, with the aspects that they and the next ones belong to
+    closed = F.col("closed").cast("bigint")
+    number = F.sum(closed).over(Window.partitionBy("file").orderBy("start", "part")) - closed
+    ends = found.filter("part IN (0, 2)").withColumn("number", number)
+    at = F.struct("start", "part")
+    over = ends.groupBy("file", "number").agg(
+        F.max("start").alias("start"),
+        F.when(F.bool_or("closed"), 0).otherwise(2).alias("part"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "part", "text"))), lambda p: p["text"]), "").alias("text"),
         # the depth before the first piece and after the last one
-        F.min_by(F.col("depth") - F.col("step"), F.struct("start", F.col("seq"))).alias("before"),
-        F.max_by("depth", F.struct("start", F.col("seq"))).alias("after"),
+        F.min_by("before", at).alias("before"),
+        F.max_by("after", at).alias("after"),
     )
-    text = F.concat(F.array_join(F.transform("pieces", lambda p: p["text"]), "}"), F.lit("}"))
-    heading = r'(?s)"([^"\\]+)"\s*:\s*\[\s*(?=\{)'
-    # a heading lies between the end of one list and the first element of the next
-    heads = (F.col("after") == 3) & ((F.col("before") < 3) | F.col("text").rlike(r"^\s*\]"))
-    found = joined.withColumn("text", text).select("file", "seq", "text", "after", heads.alias("heads"))
-    counted = running_totals(found, ["file"], [F.col("file"), F.col("seq")], {"aspect_no": F.col("heads").cast("bigint")})
-    counted = stage(counted.filter("after = 3"), "aspects")
-    # one row per aspect
-    names = counted.filter("heads").select("file", "aspect_no", F.regexp_extract("text", heading, 1).alias("aspect"))
-    body = F.when(F.col("heads"), F.regexp_replace("text", "(?s)^.*?" + heading[4:], "")).otherwise(F.regexp_replace("text", r"^[\s,]*", ""))
-    return counted.join(names, ["file", "aspect_no"]).select("file", "aspect", body.alias("element"))
+    heads = (F.col("before") < LIST_DEPTH) | F.col("text").rlike(r"^\s*\]")
+    name = F.when((F.col("after") == LIST_DEPTH) & heads, F.regexp_extract("text", "(?s)" + HEADING, 1))
+    columns = ["file", "start", "part", "text", "before", "after", "aspect"]
+    told = over.withColumn("aspect", name).select(*columns).unionByName(found.filter("part = 3").select(*columns))
+    so_far = F.last("aspect", ignorenulls=True).over(Window.partitionBy("file").orderBy("start", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    told = stage(told.withColumn("aspect", so_far).filter("part <> 3"), "ends")
+    begun = told.filter("part = 0").select("file", "start", F.col("aspect").alias("begun"))
+    whole = found.filter("part = 1").join(begun, ["file", "start"], "left").withColumn("aspect", F.coalesce("aspect", "begun")).select(*columns)
+    every = whole.unionByName(told.filter(F.col("after") == LIST_DEPTH)).filter("aspect IS NOT NULL")
+    body = F.when(heads, F.regexp_replace("text", "(?s)^.*?" + HEADING, "")).otherwise(F.regexp_replace("text", r"^[\s,]*", ""))
+    return every.select("file", "aspect", body.alias("element"))
 
 
 def _folder_name(part: Column) -> Column:

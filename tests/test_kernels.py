@@ -90,3 +90,20 @@ def test_three_classes_and_awkward_rows(spark):
     for cells in (0, 1 << 20):
         (r,) = fit_predict(sets, {0: (0, SvmSpec(epochs=5))}, local_cells=cells).collect()
         assert sum(r.proba) == pytest.approx(1)
+
+
+def test_machines_are_asked_together():
+    x, y = np.random.default_rng(1).normal(size=(60, 3)), np.arange(60) % 3
+    spec = SvmSpec(3, landmarks=20)
+    aid = spec.aid(x[:20], 3)
+    asked, training, answer = [], spec.training(3, 60, np.bincount(y), aid), None
+    kept = spec.kept(x, y, np.arange(60), aid)
+    try:
+        while True:
+            question = training.send(answer)
+            asked.append(len(question[1]))
+            answer = spec.answer(question, kept)
+    except StopIteration as end:
+        assert len(end.value) == 3
+    # three classes, each with its three folds and the whole; then three curves
+    assert asked[0] == 12 and asked[-1] <= 3 and 3 in asked

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labelweave.functions.text import parse_run_folder, strategy_name
 from labelweave.operators import clean, dedupe, labels, synonyms
+from labelweave.runtime import stage
 from labelweave.sources import readers, writers
 
 DICTIONARY = [
@@ -231,3 +232,22 @@ def test_feature_groups_and_fill(spark):
         clean.select_feature_group(df, "x", "absent")
     holes = spark.createDataFrame([("k", [1.0, None])], "key STRING, x ARRAY<DOUBLE>")
     assert clean.fill_missing(holes, "x").select(F.col("x")).first().x == [1.0, 0.0]
+
+
+def test_container_shuffles_only_the_ends_of_splits(spark, tmp_path, monkeypatch):
+    names = ['a } b', '[x] "q"', "{", "plain", '] "nodes": [{']
+    nodes = [{"@id": i, "n": names[i % len(names)], "r": {"p": [1, {"q": "}"}]}} for i in range(300)]
+    container = [{"status": [{"success": True}]}, {"nodes": nodes[:170]}, {"edges": [{"s": i, "t": i + 1} for i in range(200)]}, {"nodes": []}, {"nodes": nodes[170:]}]
+    (tmp_path / "net.json").write_text(json.dumps(container, indent=1))
+    staged = []
+    monkeypatch.setattr(readers, "stage", lambda df, name="stage", **more: staged.append(df.count()) or stage(df, name, **more))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got_nodes, got_edges = readers.read_network_json(spark, str(tmp_path / "net.json"))
+        assert sorted(tuple(r) for r in got_nodes.collect()) == [(n["@id"], n["n"]) for n in nodes]
+        assert sorted(tuple(r) for r in got_edges.collect()) == [(i, i + 1) for i in range(200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # one or two elements of every split, of 500 in all
+    assert max(staged) <= 2 * (-(-(tmp_path / "net.json").stat().st_size // 4000) + 1) < 100

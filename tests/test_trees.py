@@ -217,3 +217,34 @@ def test_awkward_sets(spark):
 def test_draws_are_even():
     u = draws(1, 2, np.arange(20_000))
     assert abs(u.mean() - 0.5) < 0.01 and 0 < u.min() and u.max() < 1 and len(np.unique(u)) == 20_000
+
+
+def test_boosting_by_sums_grows_the_trees_of_sorted_rows(monkeypatch):
+    from labelweave.learning import trees
+
+    random = np.random.default_rng(5)
+    x = np.round(random.normal(size=(400, 6)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + random.normal(size=400) > 0).astype(int)
+    edges = [np.unique(x[:, f])[:-1] for f in range(6)]
+    for more in ({}, {"l1": 0.3, "gamma": 0.1, "min_leaf": 7, "row_share": 0.6, "column_share": 0.7}, {"noise": 1.0, "temperature": 1.0, "subset": "sqrt"}):
+        spec = TreeSpec("boost", n_trees=4, depth=5, l2=1.0, **more)
+        grown, cells = [], []
+        count = np.bincount
+        for by_sums in (True, False):
+            with monkeypatch.context() as patch:
+                if not by_sums:
+                    patch.setattr(trees, "_grow_by_sums", lambda *a: None)
+                patch.setattr(np, "bincount", lambda *a, **k: cells.append(by_sums) or count(*a, **k))
+                grown.append(fit_here(spec, x, y, np.arange(400), edges).trees)
+        assert cells.count(True) > cells.count(False) + 20
+        for a, b in zip(*grown):
+            assert all(np.array_equal(p, q) for p, q in zip(a[:3], b[:3])) and np.allclose(a[3], b[3])
+
+
+def test_jobs_that_pass_over_the_rows_by_turns_take_larger_sets_in_a_task(spark):
+    from labelweave.learning import jobs
+    from labelweave.learning.networks import NetSpec
+
+    rows = jobs._rows(spark.createDataFrame([(0, str(i), [float(i), 1.0], i % 2, True) for i in range(100)], "set int, key string, features array<double>, label int, train boolean"))
+    given = {0: (0, TreeSpec("boost")), 1: (0, TreeSpec("forest")), 2: (0, NetSpec())}
+    assert [sorted(jobs._measured(rows, given, cells)[0]) for cells in (200, 199, 25, 24, 0)] == [[0, 1, 2], [0, 2], [0, 2], [], []]
