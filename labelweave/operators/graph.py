@@ -161,7 +161,8 @@ def local_clustering(edges: DataFrame) -> DataFrame:
     out = stage(oriented.groupBy("low").agg(F.sort_array(F.collect_set("high")).alias("out")), "out")
     hops = out.filter(F.size("out") > 1).select("low", "out", F.posexplode("out").alias("at", "high"))
     hops = hops.select("low", "high", F.slice("out", F.col("at") + 1, F.size("out")).alias("out"))
-    ends = hops.join(out.withColumnsRenamed({"low": "high", "out": "out2"}), "high")
+    # an array per edge is far larger than the file it is unpacked from, by whose size it would be sent through the driver
+    ends = hops.hint("merge").join(out.withColumnsRenamed({"low": "high", "out": "out2"}), "high")
     common = ends.select("low", "high", F.array_intersect("out", "out2").alias("common")).filter(
         F.size("common") > 0
     )

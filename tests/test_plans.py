@@ -47,6 +47,15 @@ def test_lists_are_resolved_in_one_pass(spark):
     assert plan.count("BroadcastExchange") <= 3
 
 
+def test_unpacked_neighbour_arrays_are_not_broadcast(spark):
+    """An array per edge takes the driver's memory however small the staged file is."""
+    edges = stage(spark.range(400).select((F.col("id") % 20).alias("src"), (F.floor(F.col("id") / 20) + 100).alias("dst")), "edges")
+    plan = _plan(graph.local_clustering(edges))
+    assert "posexplode(out" in plan
+    for line in plan.splitlines():
+        assert not ("BroadcastHashJoin" in line and "array_intersect" in line), line
+
+
 def test_library_text():
     """No local checkpoints, no collection of row-scale frames, no cross joins."""
     for path in (ROOT / "labelweave").rglob("*.py"):
